@@ -110,7 +110,7 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
             "concat(' ', cast(o_totalprice as string), ' ') as price_text",
             "case when o_custkey % 3 = 0 then 'Yes' when o_custkey % 3 = 1 then ' inactive' else 'maybe' end as flag",
             "substring(cast(o_orderdate as string), 1, 10) as order_day",
-            "o_totalprice / 1000 as thousands",
+            "o_totalprice / 100 as hundreds",
         ],
         None,
     ),

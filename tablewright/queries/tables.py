@@ -37,7 +37,7 @@ PART = [
 LABELS = [("doc_id", "numeric"), ("quality", "numeric"), ("toxic", "numeric")]
 TEXTS = [
     ("o_orderkey", "numeric"), ("mixed", "text"), ("fee", "text"), ("price_text", "text"), ("flag", "text"),
-    ("order_day", "text"), ("thousands", "numeric"),
+    ("order_day", "text"), ("hundreds", "numeric"),
 ]
 
 
