@@ -35,9 +35,8 @@ def excess_kurtosis(x: str) -> Column:
 
 
 def pearson(a: str, b: str) -> Column:
-    """Pairwise-complete correlation; NULL when a side does not vary (``corr`` would raise)."""
-    spread = f"stddev_samp(case when {b} is not null then {a} end) * stddev_samp(case when {a} is not null then {b} end)"
-    return F.expr(f"try_divide(covar_samp({a}, {b}), {spread})")
+    """Correlation over rows where both are present; NULL when a side does not vary (``corr`` would raise)."""
+    return F.expr(f"try_divide(covar_samp({a}, {b}), stddev_samp({a}) * stddev_samp({b}))")
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.missing import name_col, number, number_sql, numeric_columns, quoted
+from ..functions.missing import name_col, number, numeric_columns, quoted
 from ..functions.stats import pearson, percent, skew
 from .ordering import column_fences
 
@@ -73,8 +73,8 @@ def trend(chart: DataFrame, x: str, metric: str = "metric") -> DataFrame:
 
 def relationship(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson r with a strength label, and the number of complete pairs (three at least)."""
-    a, b = number_sql(df, x), number_sql(df, y)
-    one = df.agg(pearson(a, b).alias("r"), F.expr(f"count_if({a} is not null and {b} is not null)").alias("n"))
+    rows = df.select(number(df, x).alias("x"), number(df, y).alias("y")).where("x is not null and y is not null")
+    one = rows.agg(pearson("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
     r = F.col("r")
     size = F.when(F.abs(r) >= 0.7, "Strong").when(F.abs(r) >= 0.4, "Moderate").when(F.abs(r) >= 0.15, "Weak")
     sign = F.when(r > 0, " Positive").otherwise(" Negative")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from ..functions.missing import NUMERIC, kinds, name_col, number, number_sql, numeric_columns, present
-from ..functions.stats import pearson, percent
+from ..functions.missing import NUMERIC, kinds, name_col, number, numeric_columns, present
 from .charts import _limits
-from .statistics import outlier_summary
+from .statistics import outlier_summary, pair_correlations
 
 
 def target_summary(df: DataFrame, target: str) -> DataFrame:
@@ -65,13 +62,9 @@ def by_bins(df: DataFrame, target: str, dimension: str) -> DataFrame:
 
 def correlates(df: DataFrame, target: str, n: int = 4) -> DataFrame:
     """(column, r): the columns with the largest absolute correlation with the target."""
-    t = number_sql(df, target)
     others = [c for c in numeric_columns(df) if c != target]
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), pearson(number_sql(df, c), t).alias("r")) for c in others]
-    )
-    pairs = df.agg(cells.alias("cells")).select(F.inline("cells")).where(F.col("r").isNotNull())
-    return pairs.orderBy(F.abs("r").desc(), "column").limit(n)
+    pairs = pair_correlations(df, [(c, target) for c in others])
+    return pairs.orderBy(F.abs("r").desc(), "var1").limit(n).select(F.col("var1").alias("column"), "r")
 
 
 def _groups(df: DataFrame, target: str, dimension: str) -> DataFrame:

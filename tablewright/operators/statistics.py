@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import day_span
-from ..functions.missing import NUMERIC, name_col, number, number_sql, numeric_columns, value
+from ..functions.missing import NUMERIC, name_col, number, number_sql, numeric_columns, text_literal, value
 from ..functions.stats import (
     correlation_strength,
     kurtosis_category,
@@ -103,20 +103,27 @@ def correlations(df: DataFrame, columns: list[str] | None = None, method: str =
     columns = columns or numeric_columns(df)
     if method == "spearman":
         return _spearman(df, columns)
-    return _pearson_pairs(df, list(combinations(columns, 2)))
+    return pair_correlations(df, list(combinations(columns, 2)))
 
 
-def _pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(var1, var2, r, n) for the given pairs over the rows complete in both columns.
+
+    Each row yields one (pair, x, y) per pair; one grouped aggregate with a partial step does the rest. That
+    keeps one small aggregate in generated code, where an aggregate with several columns per pair would not.
+    """
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
-        entries = []
-        for a, b in pairs[start : start + PAIRS_PER_PASS]:
-            x, y = number_sql(df, a), number_sql(df, b)
-            n = F.expr(f"count_if({x} is not null and {y} is not null)")
-            entries.append(
-                F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), pearson(x, y).alias("r"), n.alias("n"))
-            )
-        parts.append(df.agg(F.array(*entries).alias("pairs")).select(F.inline("pairs")))
+        chunk = pairs[start : start + PAIRS_PER_PASS]
+        points = [
+            f"named_struct('pair', {i}, 'x', {number_sql(df, a)}, 'y', {number_sql(df, b)})"
+            for i, (a, b) in enumerate(chunk)
+        ]
+        rows = df.select(F.expr(f"inline(array({', '.join(points)}))")).where("x is not null and y is not null")
+        grouped = rows.groupBy("pair").agg(pearson("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+        labels = [f"named_struct('a', {text_literal(a)}, 'b', {text_literal(b)})" for a, b in chunk]
+        label = F.expr(f"array({', '.join(labels)})[pair]")
+        parts.append(grouped.select(label["a"].alias("var1"), label["b"].alias("var2"), "r", "n"))
     return reduce(DataFrame.unionByName, parts).where(F.col("r").isNotNull())
 
 
@@ -143,16 +150,18 @@ def _ranked_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
         one = ranks.where(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), F.col("rank").alias(f"__r{i}"))
         rows = rows.join(one, f"__v{i}").drop(f"__v{i}")
     ranked = rows.toDF(*[columns[int(name[3:])] for name in rows.columns])
-    return _pearson_pairs(ranked, list(combinations(columns, 2)))
+    return pair_correlations(ranked, list(combinations(columns, 2)))
 
 
 def full_matrix(pairs: DataFrame) -> DataFrame:
     """Both triangles and the diagonal of a correlation table, long format."""
-    mirrored = pairs.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r")
-    upper = pairs.select("var1", "var2", "r")
-    used = upper.select(F.explode(F.array("var1", "var2")).alias("var1")).distinct()
-    diagonal = used.select("var1", F.col("var1").alias("var2"), F.lit(1.0).alias("r"))
-    return upper.unionByName(mirrored).unionByName(diagonal)
+    a, b, one = F.col("var1"), F.col("var2"), F.lit(1.0)
+
+    def cell(x: Column, y: Column, r: Column) -> Column:
+        return F.struct(x.alias("var1"), y.alias("var2"), r.alias("r"))
+
+    sides = F.array(cell(a, b, F.col("r")), cell(b, a, F.col("r")), cell(a, a, one), cell(b, b, one))
+    return pairs.select(F.inline(sides)).dropDuplicates(["var1", "var2"])
 
 
 def strongest_pairs(pairs: DataFrame, n: int = 5, threshold: float = 0.0) -> DataFrame:
