@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.missing import kinds, name_col, number, numeric_columns, present, value
+from ..functions.missing import name_col, number, numeric_columns, present
 from ..functions.stats import percent
 from ..functions.text import fixed
-from .ordering import column_fences, exact_quantiles, value_counts, value_positions
+from .ordering import column_fences, exact_quantiles, spread, value_counts, value_positions
 from .statistics import correlations, full_matrix
 
 AGGREGATES = {
@@ -267,24 +266,18 @@ def _groups(by: str | None, colour: str | None) -> list[str]:
 def box(df: DataFrame, metric: str, by: str | None = None, colour: str | None = None) -> DataFrame:
     """Quartiles, fences, whisker ends and outlier count per group."""
     keys = _groups(by, colour)
-    rows = points(df, [metric], None) if not keys else _box_rows(df, metric, keys)
-    f = column_fences(rows, [metric], keys)
-    k = [name_col(x) for x in keys]
-    placed = _with_fences(rows, f, keys)
-    v = name_col(metric)
-    inside = (v >= F.col("lower")) & (v <= F.col("upper"))
-    stats = placed.groupBy(*k).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.first("q1").alias("q1"),
-        F.first("median").alias("median"),
-        F.first("q3").alias("q3"),
-        F.first("lower").alias("lower"),
-        F.first("upper").alias("upper"),
-        F.min(F.when(inside, v)).alias("whisker_low"),
-        F.max(F.when(inside, v)).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
+    return spread(_box_rows(df, metric, keys), [metric], keys).select(
+        *[name_col(x) for x in keys],
+        F.col("total").alias("n"),
+        "q1",
+        "median",
+        "q3",
+        "lower",
+        "upper",
+        F.col("inside_low").alias("whisker_low"),
+        F.col("inside_high").alias("whisker_high"),
+        "outliers",
     )
-    return stats
 
 
 def _box_rows(df: DataFrame, metric: str, keys: list[str]) -> DataFrame:
@@ -292,21 +285,16 @@ def _box_rows(df: DataFrame, metric: str, keys: list[str]) -> DataFrame:
     return rows.where(number(rows, metric).isNotNull()).withColumn(metric, number(rows, metric))
 
 
-def _with_fences(rows: DataFrame, f: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach each group's fences. One group uses a scalar, several an equi-join on the keys."""
-    fields = ["q1", "q3", "lower", "upper"]
-    f = f.withColumn("median", F.col("quantiles")[1])
-    if keys:
-        return rows.join(f.select(*[name_col(k) for k in keys], "median", *fields), keys)
-    s = f.select(F.struct("median", *fields).alias("s")).scalar()
-    return rows.withColumns({x: s[x] for x in ("median", *fields)})
-
-
 def box_outliers(df: DataFrame, metric: str, by: str | None = None, colour: str | None = None) -> DataFrame:
-    """The outlier points of a box chart."""
+    """The outlier points of a box chart. One group uses a scalar, several an equi-join on the keys."""
     keys = _groups(by, colour)
-    rows = points(df, [metric], None) if not keys else _box_rows(df, metric, keys)
-    placed = _with_fences(rows, column_fences(rows, [metric], keys), keys)
+    rows = _box_rows(df, metric, keys)
+    f = column_fences(rows, [metric], keys)
+    if keys:
+        placed = rows.join(f.select(*[name_col(k) for k in keys], "lower", "upper"), keys)
+    else:
+        s = f.select(F.struct("lower", "upper").alias("s")).scalar()
+        placed = rows.withColumns({x: s[x] for x in ("lower", "upper")})
     v = name_col(metric)
     return placed.where((v < F.col("lower")) | (v > F.col("upper"))).select(*[name_col(c) for c in rows.columns])
 

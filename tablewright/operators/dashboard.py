@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import names
 from ..functions.dates import day_span
-from ..functions.missing import kinds, name_col, number, present, value
+from ..functions.missing import number, present, value
 from ..functions.stats import percent
 from ..functions.text import fixed
-from .charts import bar, first_points, histogram
-from .ordering import column_fences, exact_quantiles, value_counts
+from .charts import histogram
+from .ordering import exact_quantiles, spread, value_counts
 from .profile import (
     named,
     _typed,
     as_timestamp,
     column_stats,
     duplicate_summary,
-    outlier_counts,
     table_summary,
 )
 from .quality import Audit
@@ -56,9 +55,8 @@ def _with_roles(df: DataFrame, profile: DataFrame) -> DataFrame:
     return profile.withColumn("role", role)
 
 
-def ranked_columns(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """(position, column, role, score) for present numeric and categorical columns, best first in each role."""
-    p = _with_roles(df, profile if profile is not None else _profile(df))
+def _with_scores(df: DataFrame, roles: DataFrame) -> DataFrame:
+    """Add how well a present numeric or categorical column suits a headline; NULL for the others."""
     c = F.col
     filled = 1.0 - c("missing").cast("double") / c("rows")
 
@@ -74,8 +72,13 @@ def ranked_columns(df: DataFrame, profile: DataFrame | None = None) -> DataFrame
     size = F.when(c("distinct").between(2, 12), 10.0).when(c("distinct").between(13, 25), 5.0).otherwise(0.0)
     categorical = size + points_if(named(df.columns, names.is_category), 8.0) + filled * 2.0
     score = F.when(c("role") == "numeric", numeric).when(c("role") == "categorical", categorical)
-    kept = p.where(c("role").isin("numeric", "categorical") & (c("non_null") > 0))
-    return kept.select("position", "column", "role", "distinct", score.alias("score")).orderBy(
+    return roles.withColumn("score", F.when(c("non_null") > 0, score))
+
+
+def ranked_columns(df: DataFrame) -> DataFrame:
+    """(position, column, role, distinct, score) of numeric and categorical columns, best first in each role."""
+    scored = _with_scores(df, _with_roles(df, _profile(df))).where(F.col("score").isNotNull())
+    return scored.select("position", "column", "role", "distinct", "score").orderBy(
         "role", F.col("score").desc(), "position"
     )
 
@@ -84,17 +87,14 @@ class Layout:
     """Column choices for one table. One small job (a row per column) while the plan is built."""
 
     def __init__(self, df: DataFrame):
-        rows = _with_roles(df, _profile(df))
-        score = ranked_columns(df, _profile(df)).select("column", "score")
-        found = rows.join(score, "column", "left").select("position", "column", "role", "score", "semantic_type").collect()
-        found.sort(key=lambda r: (-(r["score"] or 0.0), r["position"]))
-        in_order = sorted(found, key=lambda r: r["position"])
-        self.numeric = [r["column"] for r in found if r["role"] == "numeric" and r["score"] is not None]
-        self.categorical = [r["column"] for r in found if r["role"] == "categorical" and r["score"] is not None]
+        scored = _with_scores(df, _with_roles(df, _profile(df)))
+        in_order = scored.orderBy("position").select("position", "column", "role", "score").collect()
+        best = sorted((r for r in in_order if r["score"] is not None), key=lambda r: (-r["score"], r["position"]))
+        self.numeric = [r["column"] for r in best if r["role"] == "numeric"]
+        self.categorical = [r["column"] for r in best if r["role"] == "categorical"]
         self.datetime = [r["column"] for r in in_order if r["role"] == "datetime"]
         self.numeric_in_order = [r["column"] for r in in_order if r["role"] == "numeric"]
         self.categorical_in_order = [r["column"] for r in in_order if r["role"] == "categorical"]
-        self.types = [(r["column"], r["semantic_type"]) for r in in_order]
 
 
 def short_number(c: Column) -> Column:
@@ -362,8 +362,7 @@ def anomaly_cards(df: DataFrame, layout: Layout | None = None) -> DataFrame:
     none = F.lit(None)
     parts = []
     if columns:
-        f = column_fences(df, columns).where(F.col("total") >= 4)
-        counted = outlier_counts(df, f, columns).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("n"))
+        counted = spread(df, columns).where(F.col("total") >= 4).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("n"))
         parts.append(counted.select(*_card(1, F.lit("Total Potential Outliers"), none, F.col("n"), none)))
     whole = table_summary(df)
     for i, label, field, pct in (

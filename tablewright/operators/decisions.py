@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names
-from ..functions.missing import DATETIME, NUMERIC, TEXT, is_blank, kinds, name_col, numeric_columns, strip, value
+from ..functions.missing import DATETIME, NUMERIC, TEXT, is_blank, kinds, name_col, strip, value
 from ..functions.stats import percent, tiers
 from ..functions.text import strip_number
 from .outliers import cap, clip, remove_outliers
 from .preparation import drop_columns, drop_duplicates, fill_missing
-from .profile import column_counts, distinct_rows, full_profile, ranked
+from .profile import column_counts, full_profile, ranked
 from .quality import (
     WHOLE_TABLE,
     Audit,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.missing import name_col, number, numeric_columns, quoted
 from ..functions.stats import pearson, percent, skew
-from .ordering import column_fences
+from .ordering import spread
 
 
 def _fact(label: str, subject: Column, value: Column, extra: Column | None = None) -> list[Column]:
@@ -91,14 +91,9 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     """Symmetry, interquartile range and outlier share of a numeric column (four values at least)."""
     v = number(df, column)
     one_col = df.select(v.alias(column))
-    f = column_fences(one_col, [column]).select(F.struct("quantiles", "q1", "q3", "iqr", "lower", "upper").alias("f"))
-    f = f.scalar()
-    c = name_col(column)
-    one = one_col.agg(
-        skew(quoted(column)).alias("skewness"),
-        F.count(c).alias("n"),
-        F.count_if((c < f["lower"]) | (c > f["upper"])).alias("outliers"),
-    ).withColumn("iqr", f["iqr"])
+    f = spread(one_col, [column]).select("total", "outliers", "iqr")
+    skewness = one_col.agg(skew(quoted(column))).scalar()
+    one = f.select(F.col("total").alias("n"), "outliers", "iqr", skewness.alias("skewness"))
     s = F.col("skewness")
     label = (
         F.when(s > 0.8, "Right-Skewed (Positive tail)")

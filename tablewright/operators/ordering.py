@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.missing import name_col, number, value
+from ..functions.missing import name_col, number, number_sql, text_literal, value
 
 # Up to this many distinct values a column's value table fits easily in one task.
 SMALL_VALUE_TABLE = 100_000
@@ -32,13 +32,18 @@ def _range_count(df: DataFrame) -> int:
 
 
 def _survey(df: DataFrame, exprs: dict[str, Column]) -> dict[str, tuple[int, list[float]]]:
-    """Per expression: estimated distinct values and range limits. One small row comes back."""
+    """Per expression: estimated distinct values and range limits. One small row comes back.
+
+    Limits come from the values whose hash falls into one of 64 slots: a repeatable sample that is cheap to
+    sketch. Where it holds too few values there are fewer ranges, which only happens to small inputs.
+    """
     pieces = _range_count(df)
     probs = [i / pieces for i in range(1, pieces)]
     aggs = []
     for i, c in enumerate(exprs.values()):
+        sampled = F.when(F.xxhash64(c).bitwiseAND(63) == 0, c)
         aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
-        aggs.append(F.percentile_approx(c, probs, 10 * pieces).alias(f"p{i}"))
+        aggs.append(F.percentile_approx(sampled, probs, 10 * pieces).alias(f"p{i}"))
     row = df.agg(*aggs).first()
     return {name: (row[f"d{i}"], row[f"p{i}"] or []) for i, name in enumerate(exprs)}
 
@@ -60,8 +65,8 @@ def with_ranges(df: DataFrame, limits: dict[str, list[float]], out: dict[str, st
     return ranged.withColumns({out[n]: F.col(out[n]).cast("int") for n in names})
 
 
-def _counted(df: DataFrame, columns: list[str], by: list[str], limits: dict) -> DataFrame:
-    """(by..., column, __range, value, n): one row per distinct value."""
+def _counted(df: DataFrame, columns: dict[str, int], by: list[str], limits: dict) -> DataFrame:
+    """(by..., column, __range, value, n): one row per distinct value; ``column`` is the column's number."""
     wide = df.select(*[name_col(b) for b in by], *[number(df, c).alias(f"__v{i}") for i, c in enumerate(columns)])
     wide = with_ranges(
         wide,
@@ -70,11 +75,14 @@ def _counted(df: DataFrame, columns: list[str], by: list[str], limits: dict) ->
     )
     cells = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), F.col(f"__r{i}").alias(RANGE), F.col(f"__v{i}").alias("value"))
-            for i, c in enumerate(columns)
+            F.struct(F.lit(place).alias("column"), F.col(f"__r{i}").alias(RANGE), F.col(f"__v{i}").alias("value"))
+            for i, place in enumerate(columns.values())
         ]
     )
-    long = wide.select(*[name_col(b) for b in by], F.inline(cells)).where(F.col("value").isNotNull())
+    # Both tests are repeated by later joins; having them here keeps one shared exchange of the counts.
+    long = wide.select(*[name_col(b) for b in by], F.inline(cells)).where(
+        F.col("value").isNotNull() & F.col(RANGE).isNotNull()
+    )
     return long.groupBy(*[name_col(b) for b in by], "column", RANGE, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -110,9 +118,20 @@ def value_positions(df: DataFrame, columns: list[str], by: list[str] | None = No
     by = list(by or [])
     df = df.dropna(subset=by) if by else df
     survey = _survey(df, {c: number(df, c) for c in columns})
-    counts = _counted(df, columns, by, {c: survey[c][1] for c in columns})
+    counts = _counted(df, _numbered(columns), by, {c: survey[c][1] for c in columns})
     placed = _placed(counts, _starts(counts, by), by)
-    return placed.select(*[name_col(b) for b in by], "column", "value", "n", "below", "total")
+    return _titled(placed, columns).select(*[name_col(b) for b in by], "column", "value", "n", "below", "total")
+
+
+def _numbered(columns: list[str]) -> dict[str, int]:
+    """Short keys for columns: grouping and shuffling by a number is cheaper than by a name."""
+    return {c: i for i, c in enumerate(columns)}
+
+
+def _titled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Column numbers back to names."""
+    listed = ", ".join(text_literal(c) for c in columns)
+    return df.withColumn("column", F.expr(f"array({listed})[`column`]"))
 
 
 def exact_quantiles(
@@ -123,39 +142,45 @@ def exact_quantiles(
     A column whose distinct values fit in one task uses ``percentile``; any other column uses ranges.
     """
     by = list(by or [])
+    parts = [q for _, q in _quantile_parts(df, columns, probs, by)]
+    return _titled(reduce(DataFrame.unionByName, parts), columns)
+
+
+def _quantile_parts(
+    df: DataFrame, columns: list[str], probs: list[float], by: list[str]
+) -> list[tuple[DataFrame, DataFrame]]:
+    """(value counts, quantiles) for the columns with few and for those with many distinct values."""
     df = df.dropna(subset=by) if by else df
     survey = _survey(df, {c: number(df, c) for c in columns})
-    small = [c for c in columns if survey[c][0] <= SMALL_VALUE_TABLE]
-    large = [c for c in columns if survey[c][0] > SMALL_VALUE_TABLE]
+    places = _numbered(columns)
+    small = {c: i for c, i in places.items() if survey[c][0] <= SMALL_VALUE_TABLE}
+    large = {c: i for c, i in places.items() if survey[c][0] > SMALL_VALUE_TABLE}
     parts = []
     if small:
-        parts.append(_small_quantiles(df, small, probs, by))
+        counts = _value_table(df, small, by)
+        parts.append((counts, _small_quantiles(counts, probs, by)))
     if large:
-        parts.append(_ranged_quantiles(df, large, probs, by, {c: survey[c][1] for c in large}))
-    return reduce(DataFrame.unionByName, parts)
+        counts = _counted(df, large, by, {c: survey[c][1] for c in large})
+        parts.append((counts, _ranged_quantiles(counts, probs, by)))
+    return parts
 
 
-def _small_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(number(df, c)).alias("total"),
-                F.percentile(number(df, c), F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles"),
-            )
-            for c in columns
-        ]
-    )
+def _value_table(df: DataFrame, columns: dict[str, int], by: list[str]) -> DataFrame:
+    """(by..., column, value, n): equal values counted before and after the shuffle."""
+    cells = [f"named_struct('column', {i}, 'value', {number_sql(df, c)})" for c, i in columns.items()]
     keys = [name_col(b) for b in by]
-    grouped = df.groupBy(*keys).agg(cells.alias("__cells"))
-    out = grouped.select(*keys, F.inline("__cells"))
-    return out.where(F.col("total") > 0) if by else out
+    long = df.select(*keys, F.expr(f"inline(array({', '.join(cells)}))")).where("value is not null")
+    return long.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranged_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str], limits: dict
-) -> DataFrame:
-    counts = _counted(df, columns, by, limits)
+def _small_quantiles(counts: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """``percentile`` over (value, count) pairs: it sees each distinct value once."""
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    grouped = counts.groupBy(*[name_col(b) for b in by], "column")
+    return grouped.agg(F.sum("n").alias("total"), F.percentile("value", wanted, F.col("n")).alias("quantiles"))
+
+
+def _ranged_quantiles(counts: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
     starts = _starts(counts, by)
     steps = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
     wanted = [(F.floor(s), F.ceil(s)) for s in steps]
@@ -184,27 +209,56 @@ def _ranged_quantiles(
     return found.select(*keys, F.col("total"), F.array(*values).alias("quantiles"))
 
 
-def keyed(df: DataFrame, key: str, *fields: str) -> Column:
-    """A small (one row per column name) table as a map, usable in any other plan.
+QUARTILES = (0.25, 0.5, 0.75)
 
-    This is an uncorrelated scalar subquery: no join, and the map is bounded by the number of columns.
-    """
-    entry = F.struct(F.col(key), F.struct(*[F.col(f) for f in fields]))
-    return df.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
 
-
-def fences(quartiles: DataFrame) -> DataFrame:
-    """Add q1, q3, iqr, lower and upper to a table with ``quantiles`` = [q1, ..., q3]."""
-    q1, q3 = F.col("quantiles")[0], F.element_at("quantiles", -1)
+def fences(quantiles: DataFrame, probs: tuple[float, ...] = QUARTILES) -> DataFrame:
+    """Add q1, median, q3, iqr, lower and upper to a table of quantiles at ``probs``."""
+    q1, median, q3 = [F.col("quantiles")[probs.index(p)] for p in QUARTILES]
     iqr = q3 - q1
-    return quartiles.withColumns(
-        {"q1": q1, "q3": q3, "iqr": iqr, "lower": q1 - iqr * 1.5, "upper": q3 + iqr * 1.5}
+    return quantiles.withColumns(
+        {"q1": q1, "median": median, "q3": q3, "iqr": iqr, "lower": q1 - iqr * 1.5, "upper": q3 + iqr * 1.5}
     )
 
 
 def column_fences(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by..., column, total, quantiles, q1, q3, iqr, lower, upper) with quantiles = quartiles."""
-    return fences(exact_quantiles(df, columns, [0.25, 0.5, 0.75], by))
+    """(by..., column, total, quantiles, q1, median, q3, iqr, lower, upper)."""
+    return fences(exact_quantiles(df, columns, list(QUARTILES), by))
+
+
+def spread(
+    df: DataFrame, columns: list[str], by: list[str] | None = None, probs: tuple[float, ...] = QUARTILES
+) -> DataFrame:
+    """Fences plus outliers, min, max, and the smallest and largest value inside the fences.
+
+    Outliers are counted on the value counts that the quantiles are made of, so the data is not read again.
+    """
+    by = list(by or [])
+    keys = [*by, "column"]
+    v, n = F.col("value"), F.col("n")
+    inside = (v >= F.col("lower")) & (v <= F.col("upper"))
+    parts = []
+    for counts, quantiles in _quantile_parts(df, columns, list(probs), by):
+        f = fences(quantiles, probs)
+        measured = counts.join(f.select(*[name_col(k) for k in keys], "lower", "upper"), keys)
+        sides = measured.groupBy(*[name_col(k) for k in keys]).agg(
+            F.coalesce(F.sum(F.when(~inside, n)), F.lit(0)).alias("outliers"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.min(F.when(inside, v)).alias("inside_low"),
+            F.max(F.when(inside, v)).alias("inside_high"),
+        )
+        parts.append(f.join(sides, keys))
+    return _titled(reduce(DataFrame.unionByName, parts), columns)
+
+
+def keyed(df: DataFrame, key: str, *fields: str) -> Column:
+    """A small (one row per column name) table as a map, usable in any other plan.
+
+    This is an uncorrelated scalar subquery: no join, and the map is bounded by the number of columns.
+    """
+    entry = F.struct(F.col(key), F.struct(*[F.col(f) for f in fields]))
+    return df.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:

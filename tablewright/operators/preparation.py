@@ -16,7 +16,6 @@ from ..functions.missing import (
     BOOLEAN,
     DATETIME,
     NUMERIC,
-    TEXT,
     is_blank,
     kinds,
     name_col,

@@ -28,7 +28,7 @@ from ..functions.missing import (
 )
 from ..functions.stats import excess_kurtosis, percent, sample_std, sample_variance, skew
 from ..functions.text import CURRENCY_SYMBOLS, strip_number
-from .ordering import column_fences, keyed, top_values
+from .ordering import column_fences, spread, top_values
 
 # Pairs of words (after trimming and lower-casing) that mean yes / no.
 BOOLEAN_SETS = (
@@ -295,9 +295,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
     """Count, mean, std, min, quartiles, max, skew and number of zeros per numeric column."""
     columns = columns or numeric_columns(df)
     stats = column_stats(df, columns, numbers=True)
-    quartiles = column_fences(df, columns).select(
-        "column", "q1", F.col("quantiles")[1].alias("median"), "q3"
-    )
+    quartiles = column_fences(df, columns).select("column", "q1", "median", "q3")
     return stats.join(quartiles, "column", "left").select(
         "position",
         "column",
@@ -371,28 +369,16 @@ def health_snapshot(df: DataFrame) -> DataFrame:
     )
 
 
-def outlier_counts(df: DataFrame, fence_table: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, outliers) strictly outside [lower, upper]; a second pass over the numeric columns."""
-    fence = keyed(fence_table, "column", "lower", "upper")[F.col("column")]
-    x = F.col("number")
-    outside = (x < fence["lower"]) | (x > fence["upper"])
-    return cells(df, columns).groupBy("column").agg(F.count_if(outside).alias("outliers"))
-
-
 def full_profile(df: DataFrame) -> DataFrame:
     """Everything the audit and the decisions need, one row per column."""
     stats = _typed(df, column_stats(df, numbers=True, texts=True, dates=True))
     numeric = numeric_columns(df)
+    fields = ["q1", "median", "q3", "iqr", "lower", "upper"]
     if not numeric:
-        empty = F.lit(None).cast("double")
-        fields = ["q1", "median", "q3", "iqr", "lower", "upper"]
-        return stats.withColumns(dict.fromkeys(fields, empty) | {"outliers": F.lit(0).cast("bigint")})
-    quartiles = column_fences(df, numeric)
-    counts = outlier_counts(df, quartiles, numeric)
-    spread = quartiles.select(
-        "column", "q1", F.col("quantiles")[1].alias("median"), "q3", "iqr", "lower", "upper"
-    )
-    joined = stats.join(spread, "column", "left").join(counts, "column", "left")
+        none = F.lit(None).cast("double")
+        return stats.withColumns(dict.fromkeys(fields, none) | {"outliers": F.lit(0).cast("bigint")})
+    quartiles = spread(df, numeric).select("column", *fields, "outliers")
+    joined = stats.join(quartiles, "column", "left")
     return joined.withColumn("outliers", F.coalesce("outliers", F.lit(0)))
 
 

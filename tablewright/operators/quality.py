@@ -12,7 +12,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names
-from ..functions.missing import TEXT, kinds, name_col, numeric_columns, parse_number, strip, value, without_nan
+from ..functions.missing import TEXT, kinds, name_col, parse_number, strip, value, without_nan
 from ..functions.stats import clamp, percent, tiers
 from ..functions.text import fixed
 from .profile import named, column_counts, duplicate_summary, full_profile, ranked

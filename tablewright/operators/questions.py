@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.missing import columns_of, name_col, number, numeric_columns, present, value
+from ..functions.missing import name_col, number, numeric_columns, present, value
 from ..functions.stats import percent
 from .ordering import column_fences, exact_quantiles, value_counts
 from .profile import column_counts, duplicate_summary, table_summary

@@ -18,16 +18,13 @@ from ..functions.stats import (
     skew_category,
     skew_label,
 )
-from .ordering import average_ranks, column_fences, exact_quantiles, keyed, value_counts
+from .ordering import average_ranks, column_fences, exact_quantiles, keyed, spread, top_values, value_counts
 from .profile import (
     _described,
     as_timestamp,
-    cells,
     column_stats,
     column_types,
     duplicate_summary,
-    outlier_counts,
-    top_values,
 )
 
 # Correlation expressions per aggregate; wider tables use several passes.
@@ -180,17 +177,17 @@ def strongest_pairs(pairs: DataFrame, n: int = 5, threshold: float = 0.0) -> Dat
 # --- outliers ----------------------------------------------------------------------------------------------
 
 
+def _outlier_pct() -> Column:
+    return percent(F.col("outliers"), F.col("total"))
+
+
 def outlier_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Fences, outlier count and %, extremes and status per numeric column, most outliers first."""
     columns = columns or numeric_columns(df)
-    f = column_fences(df, columns)
-    extremes = _described(
-        df, cells(df, columns).groupBy("column").agg(F.min("number").alias("min"), F.max("number").alias("max"))
-    ).drop("dtype", "kind")
-    joined = f.where(F.col("total") >= 4).join(outlier_counts(df, f, columns), "column").join(extremes, "column")
-    pct = percent(F.col("outliers"), F.col("total"))
+    measured = _described(df, spread(df, columns).where(F.col("total") >= 4))
+    pct = _outlier_pct()
     status = F.when(pct > 5.0, "High Outlier Burden").when(pct > 0.0, "Moderate Outliers").otherwise("Clean")
-    return joined.select(
+    return measured.orderBy(F.col("outliers").desc(), pct.desc(), "position").select(
         "column",
         F.col("total").alias("count"),
         "q1",
@@ -203,20 +200,19 @@ def outlier_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
         "min",
         "max",
         status.alias("status"),
-    ).orderBy(F.col("outlier_count").desc(), F.col("outlier_pct").desc(), "position")
+    )
 
 
 def outlier_totals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: total outliers, rate over all present numeric cells, number of affected columns."""
-    columns = columns or numeric_columns(df)
-    present = [F.count(value(df, c)) for c in columns]
-    present_cells = df.agg(reduce(Column.__add__, present)).scalar()
-    s = outlier_summary(df, columns).agg(
-        F.coalesce(F.sum("outlier_count"), F.lit(0)).alias("total_outliers"),
-        F.count_if(F.col("outlier_count") > 0).alias("affected_columns"),
+    counted = F.when(F.col("total") >= 4, F.col("outliers")).otherwise(0)
+    totals = spread(df, columns or numeric_columns(df)).agg(
+        F.sum(counted).alias("outliers"), F.sum("total").alias("total"), F.count_if(counted > 0).alias("affected")
     )
-    return s.select(
-        "total_outliers", percent(F.col("total_outliers"), present_cells).alias("outlier_rate"), "affected_columns"
+    return totals.select(
+        F.coalesce("outliers", F.lit(0)).alias("total_outliers"),
+        _outlier_pct().alias("outlier_rate"),
+        F.col("affected").alias("affected_columns"),
     )
 
 
@@ -260,12 +256,11 @@ def numeric_deep_dive(df: DataFrame, column: str) -> DataFrame:
     """One row: moments, range, fences, outliers and seven quantiles of a numeric column."""
     one = df.select(number(df, column).alias(column))
     stats = column_stats(one, numbers=True)
-    q = exact_quantiles(one, [column], list(DEEP_QUANTILES))
+    q = spread(one, [column], probs=DEEP_QUANTILES)
+    tails = {"p1": 0, "p5": 1, "p95": 5, "p99": 6}
+    q = q.withColumns({x: F.col("quantiles")[i] for x, i in tails.items()}).drop("min", "max")
+    out = stats.join(q, "column")
     labels = ["p1", "p5", "q1", "median", "q3", "p95", "p99"]
-    q = q.select("column", *[F.col("quantiles")[i].alias(x) for i, x in enumerate(labels)])
-    iqr = F.col("q3") - F.col("q1")
-    q = q.withColumns({"iqr": iqr, "lower": F.col("q1") - iqr * 1.5, "upper": F.col("q3") + iqr * 1.5})
-    out = stats.join(q, "column").join(outlier_counts(one, q, [column]), "column")
     return out.select(
         "column",
         F.col("non_null").alias("count"),

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import parse_utc
 from ..functions.missing import name_col
-from ..functions.stats import percent
 from .profile import column_types, table_summary
 
 GUEST = "guest@session"

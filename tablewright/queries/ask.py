@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import questions as K
 from .audit import STATUS, score_sql
 from .registry import Tables, query, source_sql
-from .sqltext import duplicates_sql, i, pct, profile_sql, q, r, ts
-from .tables import CUSTOMER, EVENTS, LINEITEM, ORDERS
+from .sqltext import duplicates_sql, i, profile_sql, q, r, ts
+from .tables import EVENTS, ORDERS
 
 # Columns the questions are matched against. Words of the given texts occur among them.
 NUMERIC = ["customer_age", "sale", "data", "value total"]

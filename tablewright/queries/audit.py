@@ -7,10 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import names
 from ..operators import decisions as D, quality as Q
 from ..operators.decisions import Repair
-from ..functions.missing import name_col
 from .registry import Tables, query, source_sql
-from .sqltext import duplicates_sql, i, named, pct, profile_sql, q, r, ts
-from .tables import CUSTOMER, EVENTS, LINEITEM
+from .sqltext import duplicates_sql, i, pct, profile_sql, q, r, ts
+from .tables import EVENTS, LINEITEM
 
 LINEITEM_GAPS = [c for c in LINEITEM if c[0] != "l_tax"]
 DIRTY_CUSTOMER = [

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import names
 from ..operators import charts as C, dashboard as B
-from .audit import DIRTY_CUSTOMER, GRADE, STATUS, score_sql
+from .audit import STATUS, score_sql
 from .chart import histogram_sql
 from .explore import pairs_sql
 from .registry import Tables, query, source_sql
-from .sqltext import SEMANTIC, day, duplicates_sql, i, named, pct, profile_sql, q, r, ts
-from .tables import CUSTOMER, EVENTS, LINEITEM, ORDERS, PART
+from .sqltext import SEMANTIC, day, duplicates_sql, profile_sql, q, r
+from .tables import PART
 
 # Names that trigger the ranking rules, over every line.
 NAMED_COLUMNS = [

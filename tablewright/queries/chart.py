@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import charts as C, insights as N, statistics as A
+from ..operators import charts as C, insights as N
 from .explore import pairs_sql
 from .registry import Tables, query, source_sql
-from .sqltext import i, pct, pearson, q, r, skew0, ts
+from .sqltext import pearson, q, r, skew0, ts
 from .tables import LINEITEM
 
 GAPS = source_sql("lineitem_gaps")

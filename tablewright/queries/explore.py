@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import investigation as I, statistics as A
 from .audit import DIRTY_CUSTOMER, DIRTY_EVENTS, DOCUMENTS, LINEITEM_GAPS
 from .registry import Tables, query, source_sql
-from .sqltext import SEMANTIC, duplicates_sql, i, kurt0, named, pct, pearson, profile_sql, q, r, skew0, std0, ts
-from .tables import EVENTS, LINEITEM, ORDERS, PART
+from .sqltext import SEMANTIC, duplicates_sql, i, kurt0, pct, pearson, profile_sql, q, r, skew0, std0
+from .tables import EVENTS, LINEITEM, PART
 
 # --- summaries -----------------------------------------------------------------------------------------------------
 SUMMARY = f"""position, col as "column", non_null as count, {r('mean')} as mean, {r('median_')} as median, {r('std')} as std, {r('min_')} as min,

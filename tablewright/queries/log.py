@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import usage as U
 from .registry import Tables, query, source_sql
-from .sqltext import SEMANTIC, duplicates_sql, i, pct, profile_sql, r, ts
-from .tables import CUSTOMER, EVENTS
+from .sqltext import SEMANTIC, i, profile_sql, r, ts
+from .tables import CUSTOMER
 
 AS_OF = datetime.datetime(2024, 1, 29, 15, 30)
 LOGINS, UPLOADS = source_sql("logins"), source_sql("uploads")

@@ -8,8 +8,8 @@ from ..operators import outliers as O, preparation as R
 from ..plans.pipeline import Preparation, Step
 from .audit import score_sql
 from .registry import Tables, query, source_sql
-from .sqltext import duplicates_sql, i, pct, profile_sql, q, r, skew0, ts
-from .tables import CUSTOMER, EVENTS, LINEITEM, ORDERS
+from .sqltext import duplicates_sql, i, profile_sql, r, ts
+from .tables import CUSTOMER, EVENTS, ORDERS
 
 GAPS = source_sql("lineitem_gaps")
 LINE = {
