@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from ..functions.missing import DATETIME, kind_of, name_col, value
 from .ordering import RANGE, _survey, with_ranges
@@ -20,6 +20,10 @@ def _axis(df: DataFrame, order_by: str) -> Column:
     return c.cast("double")
 
 
+# Groups up to this many rows are filled by one ordinary window partition each.
+SMALL_GROUP = 1_000_000
+
+
 def directional_fill(
     df: DataFrame,
     columns: list[str],
@@ -29,41 +33,55 @@ def directional_fill(
 ) -> DataFrame:
     """Replace missing values by the previous (or next) present one in ``order_by`` order.
 
-    ``order_by`` must be a unique, present number, date or timestamp. Its axis is cut into ranges. Each
-    (group, range) first reduces to its last present value per column; those small rows carry across
-    ranges; the window then works inside one (group, range), so neither a hot group nor a table without
-    groups ends up in one task.
+    ``order_by`` must be a unique, present number, date or timestamp. Where every group is small, each is one
+    window partition. Otherwise, and for a table without groups, the order axis is cut into ranges: each
+    (group, range) first reduces to its last present value per column, those rows carry across ranges, and
+    the window works inside one (group, range), so that no group ends up in one task.
     """
     part = [name_col(p) for p in (partition_by or [])]
+    if part and _largest_group(df, part) <= SMALL_GROUP:
+        w = _window(part, order_by, backward)
+        return df.withColumns({c: F.last(value(df, c), ignorenulls=True).over(w) for c in columns})
+    return _ranged_fill(df, columns, order_by, part, backward)
+
+
+def _largest_group(df: DataFrame, part: list[Column]) -> int:
+    """Rows of the largest group; counts are reduced before the shuffle and one number comes back."""
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def _window(part: list[Column], order_by: str, backward: bool) -> WindowSpec:
+    order = name_col(order_by).desc() if backward else name_col(order_by).asc()
+    return Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _ranged_fill(
+    df: DataFrame, columns: list[str], order_by: str, part: list[Column], backward: bool
+) -> DataFrame:
     rows = df.withColumn("__axis", _axis(df, order_by))
     limits = {"__axis": _survey(rows, {"__axis": F.col("__axis")})["__axis"][1]}
-    rows = with_ranges(rows, limits, {"__axis": RANGE}).drop("__axis")
+    # One struct as group key: NULL keys compare equal, and join and window share one partitioning.
+    group = F.struct(*part) if part else F.struct(F.lit(0))
+    rows = with_ranges(rows, limits, {"__axis": RANGE}).drop("__axis").withColumn("__group", group)
+    key = ["__group", RANGE]
 
     edge = F.min_by if backward else F.max_by
-    ends = rows.groupBy(*part, RANGE).agg(
+    ends = rows.groupBy(*key).agg(
         *[
             edge(value(df, c), F.when(value(df, c).isNotNull(), name_col(order_by))).alias(f"__end{i}")
             for i, c in enumerate(columns)
         ]
     )
     order = F.col(RANGE).desc() if backward else F.col(RANGE).asc()
-    across = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("__group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *part,
-        RANGE,
+        *key,
         *[F.last(f"__end{i}", ignorenulls=True).over(across).alias(f"__carry{i}") for i in range(len(columns))],
     )
-    keys = [*(partition_by or []), RANGE]
-    condition = F.lit(True)
-    left, right = rows.alias("l"), carried.alias("r")
-    for k in keys:
-        condition = condition & F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
-    joined = left.join(right, condition).select("l.*", *[f"r.__carry{i}" for i in range(len(columns))])
-
-    order = name_col(order_by).desc() if backward else name_col(order_by).asc()
-    inside = Window.partitionBy(*part, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = _window([F.col(k) for k in key], order_by, backward)
     filled = {
         c: F.coalesce(F.last(value(df, c), ignorenulls=True).over(inside), F.col(f"__carry{i}"))
         for i, c in enumerate(columns)
     }
-    return joined.withColumns(filled).select(*[name_col(c) for c in df.columns])
+    return rows.join(carried, key).withColumns(filled).select(*[name_col(c) for c in df.columns])

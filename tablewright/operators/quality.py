@@ -12,10 +12,20 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names
-from ..functions.missing import TEXT, kinds, name_col, parse_number, strip, value, without_nan
+from ..functions.missing import (
+    TEXT,
+    kinds,
+    name_col,
+    numeric_columns,
+    parse_number,
+    strip,
+    value,
+    without_nan,
+)
 from ..functions.stats import clamp, percent, tiers
 from ..functions.text import fixed
-from .profile import named, column_counts, duplicate_summary, full_profile, ranked
+from .ordering import spread, top_values
+from .profile import column_counts, column_stats, duplicate_summary, full_profile, named, ranked, sample_values
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 WHOLE_TABLE = "Dataset (All Rows)"
@@ -55,13 +65,25 @@ def duplicate_groups(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return grouped.where(F.col("copies") > 1)
 
 
+# Copies of one row written by one task when duplicated rows are listed in full.
+COPIES_PER_TASK_ROW = 100_000
+
+
 def duplicate_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All copies of duplicated rows.
 
-    A semi join against the duplicated keys, not a window: the rows of a hot key stay spread over the
-    tasks that AQE's skew join makes of them.
+    Copies of a whole row are equal, so they are listed from (row, copies): in chunks that are spread over
+    the tasks before the last step, so a row with very many copies is no bottleneck. With key columns the
+    rows differ; they come from a semi join against the duplicated keys, whose hot keys AQE's skew join splits.
     """
-    keys = keys or df.columns
+    if not keys or set(keys) == set(df.columns):
+        groups = duplicate_groups(df)
+        last = F.floor((F.col("copies") - 1) / COPIES_PER_TASK_ROW).cast("int")
+        chunks = groups.withColumn("__chunk", F.explode(F.sequence(F.lit(0), last)))
+        size = F.least(F.lit(COPIES_PER_TASK_ROW), F.col("copies") - F.col("__chunk") * COPIES_PER_TASK_ROW)
+        spread_out = chunks.withColumn("__size", size.cast("int")).hint("rebalance")
+        listed = spread_out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__size"))))
+        return listed.select(*[name_col(c) for c in df.columns])
     groups = duplicate_groups(df, keys).alias("g")
     rows = without_nan(df).alias("r")
     match = reduce(
@@ -153,7 +175,7 @@ def outlier_pct() -> Column:
 
 def structure(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """(column, finding, detail, measure) for empty, constant and high-cardinality columns."""
-    p = profile if profile is not None else full_profile(df)
+    p = profile if profile is not None else column_counts(df).join(top_values(df, df.columns), "column")
     c = F.col
     findings = [
         _finding(empty_rule(), "empty", F.lit(None).cast("string"), F.lit(100.0)),
@@ -177,13 +199,11 @@ def _explode_found(df: DataFrame) -> DataFrame:
 def mixed_types(df: DataFrame, order_by: list[str]) -> DataFrame:
     """Text columns that hold numbers and other text: count, % and three samples of the other text."""
     text = [c for c, k in kinds(df).items() if k == TEXT]
-    counted = full_profile(df.select(*[name_col(c) for c in text]))
+    counted = column_stats(df, text, texts=True)
     bad = df.select(
         *[name_col(o).alias(f"__o{i}") for i, o in enumerate(order_by)],
         *[F.when(parse_number(name_col(c)).isNull(), strip(name_col(c))).alias(c) for c in text],
     )
-    from .profile import sample_values
-
     samples = sample_values(bad, text, [f"__o{i}" for i in range(len(order_by))])
     return (
         counted.where(mixed_rule())
@@ -219,13 +239,19 @@ def _validity_findings(df: DataFrame) -> list[Column]:
 
 def validity(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """(column, issue, count, pct, severity): blanks, infinities, negatives, impossible percentages."""
-    p = profile if profile is not None else full_profile(df)
+    p = profile if profile is not None else column_stats(df, numbers=True, texts=True)
     return _explode_found(p.select("position", "column", F.array(*_validity_findings(df)).alias("found")))
 
 
+def _numeric_profile(df: DataFrame) -> DataFrame:
+    numeric = numeric_columns(df)
+    counts = column_counts(df).join(top_values(df, numeric), "column")
+    return counts.join(spread(df, numeric), "column")
+
+
 def audit_outliers(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """Columns with IQR outliers: count, %, rounded fences and extremes, highest share first."""
-    p = profile if profile is not None else full_profile(df)
+    p = profile if profile is not None else _numeric_profile(df)
     hit = p.where(outlier_rule(df.columns) & (F.col("iqr") > 0) & (F.col("outliers") > 0))
     return hit.select(
         "column",

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-REPLACEMENT = "�"
-
 
 class TableError(ValueError):
     """The source holds no usable table."""
@@ -41,13 +40,10 @@ def _header(spark: SparkSession, paths: list[str], encoding: str) -> str:
     return lines[0]["value"] if lines else ""
 
 
-def _read(spark: SparkSession, paths: list[str], encoding: str, schema: T.StructType | None) -> DataFrame:
-    sep = _separator(_header(spark, paths, encoding))
-    reader = spark.read.option("header", True).option("encoding", encoding).option("sep", sep)
-    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", False)
-    if schema is not None:
-        return reader.schema(schema).csv(paths)
-    return reader.option("inferSchema", True).csv(paths)
+def _encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 unless some line is not valid UTF-8; then Latin-1, which accepts any byte."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).head(1)
+    return "ISO-8859-1" if broken else "UTF-8"
 
 
 def load_csv(
@@ -55,19 +51,25 @@ def load_csv(
     paths: str | list[str],
     schema: T.StructType | None = None,
     encoding: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read CSV files with a header.
 
-    UTF-8 is tried first. Spark replaces bytes that are not UTF-8 by U+FFFD, so a file that shows one is
-    read again as Latin-1, which accepts any byte. Give ``schema`` and ``encoding`` for large inputs: both
-    detections read the data once more.
+    Encoding and separator are found for each given path; paths that agree are read together and the groups
+    are united by column name. Give ``schema`` and ``encoding`` for large inputs: finding either reads the
+    data once more. ``multi_line`` allows line breaks inside quotes; such a file cannot be split between tasks.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if encoding is None:
-        lines = spark.read.text(paths)
-        broken = lines.where(F.col("value").contains(REPLACEMENT)).head(1)
-        encoding = "ISO-8859-1" if broken else "UTF-8"
-    df = trim_names(_read(spark, paths, encoding, schema))
+    groups: dict[tuple[str, str], list[str]] = {}
+    for path in [paths] if isinstance(paths, str) else paths:
+        found = encoding or _encoding(spark, path)
+        groups.setdefault((found, _separator(_header(spark, [path], found))), []).append(path)
+    parts = []
+    for (found, sep), members in groups.items():
+        reader = spark.read.option("header", True).option("encoding", found).option("sep", sep)
+        reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+        parts.append(trim_names(reader.csv(members)))
+    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     usable, message = validate(df)
     if not usable:
         raise TableError(message)
