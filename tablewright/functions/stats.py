@@ -96,6 +96,11 @@ def kurtosis_category(c: Column) -> Column:
     )
 
 
+def settled(r: Column) -> Column:
+    """A correlation without its last digits, so that equal ones rank by name in every run."""
+    return F.round(r, 9)
+
+
 def correlation_strength(r: Column) -> Column:
     return tiers(
         F.abs(r),

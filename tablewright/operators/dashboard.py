@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import names
 from ..functions.dates import day_span
 from ..functions.missing import number, present, value
-from ..functions.stats import percent
+from ..functions.stats import percent, settled
 from ..functions.text import fixed
 from .charts import histogram
 from .ordering import exact_quantiles, spread, value_counts
@@ -134,7 +134,7 @@ def listwise_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlation_snapshot(df: DataFrame, columns: list[str]) -> DataFrame:
     """Listwise correlations of up to six columns; the strongest pair is marked."""
     pairs = listwise_correlations(df, columns[:6])
-    order = F.struct(-F.abs("r"), F.col("var1"), F.col("var2"))
+    order = F.struct(-settled(F.abs("r")), F.col("var1"), F.col("var2"))
     best = pairs.agg(F.min_by(F.struct("var1", "var2"), order)).scalar()
     return pairs.select("var1", "var2", "r", (F.struct("var1", "var2") == best).alias("strongest"))
 
@@ -166,7 +166,7 @@ def smart_insights(df: DataFrame, layout: Layout | None = None) -> DataFrame:
         parts.append(widest.select(*_insight("Feature Variability", F.col("column"), F.col("mean"), F.col("std"))))
     if len(numeric) >= 2:
         pairs = listwise_correlations(df, numeric[:6]).where(F.col("n") > 5)
-        best = pairs.orderBy(F.abs("r").desc(), "var1", "var2").limit(1).where(F.abs("r") >= 0.35)
+        best = pairs.orderBy(settled(F.abs("r")).desc(), "var1", "var2").limit(1).where(F.abs("r") >= 0.35)
         title = F.when(F.abs("r") >= 0.65, "Strong Correlation Detected").otherwise("Moderate Relationship")
         pair = F.concat("var1", F.lit(" ↔ "), "var2")
         parts.append(best.select(title.alias("title"), *_insight("", pair, F.col("r"))[1:]))
@@ -339,7 +339,7 @@ def driver_cards(df: DataFrame, layout: Layout | None = None) -> DataFrame:
     parts = []
     if len(layout.numeric) >= 2:
         pairs = listwise_correlations(df, layout.numeric[:6])
-        best = pairs.orderBy(F.abs("r").desc(), "var1", "var2").limit(1)
+        best = pairs.orderBy(settled(F.abs("r")).desc(), "var1", "var2").limit(1)
         pair = F.concat("var1", F.lit(" ↔ "), "var2")
         parts.append(best.select(*_card(1, F.lit("Strongest Correlation"), pair, F.col("r"), F.col("n"))))
     for i in range(len(parts), 4):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.missing import name_col, number, numeric_columns, quoted
-from ..functions.stats import pearson, percent, skew
+from ..functions.stats import pearson, percent, settled, skew
 from .ordering import spread
 
 
@@ -112,7 +112,7 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 def heatmap(matrix: DataFrame) -> DataFrame:
     """Strongest pair, and how many pairs lie beyond +-0.3. ``extra`` is the number of pairs."""
     pairs = matrix.where(F.col("var1") < F.col("var2"))
-    best = pairs.orderBy(F.abs("r").desc(), "var1", "var2").limit(1).select(F.struct("var1", "var2", "r")).scalar()
+    best = pairs.orderBy(settled(F.abs("r")).desc(), "var1", "var2").limit(1).select(F.struct("var1", "var2", "r")).scalar()
     one = pairs.agg(
         F.count_if(F.col("r") > 0.3).alias("positive"),
         F.count_if(F.col("r") < -0.3).alias("negative"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.missing import NUMERIC, kinds, name_col, number, numeric_columns, present
+from ..functions.stats import settled
 from .charts import _limits
 from .statistics import outlier_summary, pair_correlations
 
@@ -64,7 +65,7 @@ def correlates(df: DataFrame, target: str, n: int = 4) -> DataFrame:
     """(column, r): the columns with the largest absolute correlation with the target."""
     others = [c for c in numeric_columns(df) if c != target]
     pairs = pair_correlations(df, [(c, target) for c in others])
-    return pairs.orderBy(F.abs("r").desc(), "var1").limit(n).select(F.col("var1").alias("column"), "r")
+    return pairs.orderBy(settled(F.abs("r")).desc(), "var1").limit(n).select(F.col("var1").alias("column"), "r")
 
 
 def _groups(df: DataFrame, target: str, dimension: str) -> DataFrame:

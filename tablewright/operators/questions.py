@@ -51,26 +51,30 @@ def _clean(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " ")
 
 
-def _words(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(_clean(c), r"\s+"), lambda w: w != ""))
+def _prepared(questions: DataFrame, text: str) -> DataFrame:
+    """Add the lower-cased, cleaned and split question once, for all tests on it."""
+    q = name_col(text)
+    cleaned = questions.withColumns({"__lower": F.lower(q), "__clean": _clean(q)})
+    words = F.array_distinct(F.filter(F.split("__clean", r"\s+"), lambda w: w != ""))
+    return cleaned.withColumn("__words", words)
 
 
-def match_scores(question: Column, columns: list[str]) -> Column:
-    """Array of (level, overlap, position, column): how each column name fits a question, misses left out.
+def match_scores(columns: list[str]) -> Column:
+    """Array of (level, weakness, position, column) over a prepared question, columns that miss left out.
 
     Level 1: the name occurs in the question; 2: all its words do; 3: some of its words do.
     The array is bounded by the number of columns and built per question, without a join.
     """
-    lowered, clean, words = F.lower(question), _clean(question), _words(question)
+    lowered, clean, words = F.col("__lower"), F.col("__clean"), F.col("__words")
     entries = []
     for i, name in enumerate(columns):
         low = name.lower()
         parts = "".join(ch if ch.isalnum() or ch == "_" or ch.isspace() else " " for ch in low)
-        own = F.array(*[F.lit(w) for w in dict.fromkeys(parts.split())]) if parts.split() else F.array().cast("array<string>")
-        overlap = F.size(F.array_intersect(own, words))
+        own = list(dict.fromkeys(parts.split()))
+        overlap = F.size(F.array_intersect(F.array(*[F.lit(w) for w in own]), words)) if own else F.lit(0)
         level = (
             F.when(lowered.contains(low) | clean.contains(parts.strip()), 1)
-            .when((F.size(own) > 0) & (overlap == F.size(own)), 2)
+            .when(F.lit(bool(own)) & (overlap == len(own)), 2)
             .when(overlap > 0, 3)
         )
         entries.append(
@@ -84,18 +88,17 @@ def match_scores(question: Column, columns: list[str]) -> Column:
     return F.filter(F.array(*entries), lambda e: e["level"].isNotNull())
 
 
-def best_column(question: Column, columns: list[str]) -> Column:
-    """The best fitting column name, or NULL."""
+def _best(columns: list[str]) -> Column:
+    """The best fitting column of a prepared question as a struct, or NULL."""
     if not columns:
-        return F.lit(None).cast("string")
-    return F.array_min(match_scores(question, columns))["column"]
+        return F.lit(None).cast("struct<level:int,weakness:int,position:int,column:string>")
+    return F.array_min(match_scores(columns))
 
 
 def match_columns(questions: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """Each question with its best column, how it matched, and all columns it names."""
-    q = name_col(text)
-    scored = questions.withColumn("__best", F.array_min(match_scores(q, columns)))
-    lowered = F.lower(q)
+    scored = _prepared(questions, text).withColumn("__best", _best(columns))
+    lowered = F.col("__lower")
     named = [
         F.when(lowered.contains(c.lower()) | lowered.contains(c.lower().replace("_", " ")), F.lit(c)) for c in columns
     ]
@@ -116,8 +119,8 @@ def intents(questions: DataFrame, text: str, numeric: list[str], other: list[str
     def says(kind: str) -> Column:
         return _has_any(q, PHRASES[kind])
 
-    has_numeric = best_column(name_col(text), numeric).isNotNull()
-    has_other = best_column(name_col(text), other).isNotNull()
+    matched = _prepared(questions, text).withColumns({"__numeric": _best(numeric), "__other": _best(other)})
+    has_numeric, has_other = F.col("__numeric").isNotNull(), F.col("__other").isNotNull()
     can_group = F.lit(bool(numeric) and bool(other))
     rules = [
         (greeting | says("help"), "greeting"),
@@ -137,7 +140,7 @@ def intents(questions: DataFrame, text: str, numeric: list[str], other: list[str
     label = F
     for rule, name in rules:
         label = label.when(rule, name)
-    return questions.withColumn("intent", label.otherwise("default"))
+    return matched.select(*[name_col(c) for c in questions.columns], label.otherwise("default").alias("intent"))
 
 
 # --- answers -------------------------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from ..functions.stats import (
     kurtosis_label,
     pearson,
     percent,
+    settled,
     skew_category,
     skew_label,
 )
@@ -164,8 +165,8 @@ def full_matrix(pairs: DataFrame) -> DataFrame:
 def strongest_pairs(pairs: DataFrame, n: int = 5, threshold: float = 0.0) -> DataFrame:
     """Top ``n`` positive and top ``n`` negative pairs at or beyond the threshold, with a strength label."""
     labelled = pairs.where(F.abs("r") >= threshold).withColumn("strength", correlation_strength(F.col("r")))
-    positive = labelled.where(F.col("r") > 0).orderBy(F.col("r").desc(), "var1", "var2").limit(n)
-    negative = labelled.where(F.col("r") < 0).orderBy(F.col("r").asc(), "var1", "var2").limit(n)
+    positive = labelled.where(F.col("r") > 0).orderBy(settled(F.col("r")).desc(), "var1", "var2").limit(n)
+    negative = labelled.where(F.col("r") < 0).orderBy(settled(F.col("r")).asc(), "var1", "var2").limit(n)
     fields = ["direction", "var1", "var2", "r", "strength"]
     return (
         positive.withColumn("direction", F.lit("positive"))
@@ -400,8 +401,8 @@ def _column_findings(df: DataFrame, numeric: list[str]) -> DataFrame:
 
 def _correlation_findings(pairs: DataFrame) -> DataFrame:
     subject = F.concat("var1", F.lit(" ↔ "), "var2")
-    top = pairs.where(F.col("r") >= 0.75).orderBy(F.col("r").desc(), "var1", "var2").limit(1)
-    low = pairs.where(F.col("r") <= -0.75).orderBy(F.col("r").asc(), "var1", "var2").limit(1)
+    top = pairs.where(F.col("r") >= 0.75).orderBy(settled(F.col("r")).desc(), "var1", "var2").limit(1)
+    low = pairs.where(F.col("r") <= -0.75).orderBy(settled(F.col("r")).asc(), "var1", "var2").limit(1)
     out = []
     for part, severity in ((top, "STRONG CORRELATION"), (low, "INVERSE CORRELATION")):
         out.append(

@@ -252,8 +252,8 @@ for _source, _columns in AUDITED[:2]:
         lambda t, s=_source: D.missing_decisions(t(s))
     )
     query(f"dq_decide_plan_{_source}", f"""with {profile_sql(_source, _columns)}, {duplicates_sql(_source)}
- select row_number() over (order by {SEVERITY_ORDER}, weight desc, type, col, action) as rank, col as "column", type, severity, {r('weight')} as weight,
- affected, action, {CONFIDENCE} as confidence, {r('low')} as low, {r('high')} as high from ({PLAN})""")(
+ select row_number() over (order by {SEVERITY_ORDER}, weight desc, type, col, action) as rank, col as "column", type, severity, {r('weight', 6)} as weight,
+ affected, action, {CONFIDENCE} as confidence, {r('low', 6)} as low, {r('high', 6)} as high from ({PLAN})""", digits=6)(
         lambda t, s=_source: D.decision_plan(t(s))
     )
 

@@ -93,7 +93,7 @@ MISSING = "count(*) * 8 - " + " - ".join(f"count({c})" for c, _ in NAMED_COLUMNS
  union all (select 'Category Distribution', 'region_status: ' || region_status, count(*), {r(f'count(*) * 100.0 / (select count(*) from {NAMED})')} from {NAMED} where region_status is not null group by region_status order by count(*) desc, region_status limit 1)
  union all select 'Feature Variability', col, {r('m')}, {r('s')} from v
  union all (select case when abs(r) >= 0.65 then 'Strong Correlation Detected' else 'Moderate Relationship' end, var1 || ' ↔ ' || var2, {r('r')}, null
- from (select * from c order by abs(r) desc, var1, var2 limit 1) where abs(r) >= 0.35)
+ from (select * from c order by round(abs(r), 9) desc, var1, var2 limit 1) where abs(r) >= 0.35)
  union all select 'Temporal Coverage', {day('min(ship_date)')} || ' to ' || {day('max(ship_date)')}, date_diff('second', min(ship_date), max(ship_date)) // 86400, null from {NAMED}
  union all select 'Record Redundancy', 'duplicate rows', duplicate_rows, {r('duplicate_pct')} from dup where duplicate_rows > 0""")
 def _(t: Tables) -> DataFrame:
@@ -141,7 +141,7 @@ def _(t: Tables) -> DataFrame:
     return B.time_trend(t("events"), "ts")
 
 
-@query("dash_corr", f"""with c as ({pairs_sql(COMPLETE, FOUR, None)}), b as (select var1 as v1, var2 as v2 from c order by abs(r) desc, var1, var2 limit 1)
+@query("dash_corr", f"""with c as ({pairs_sql(COMPLETE, FOUR, None)}), b as (select var1 as v1, var2 as v2 from c order by round(abs(r), 9) desc, var1, var2 limit 1)
  select var1, var2, {r('r')} as r, var1 = v1 and var2 = v2 as strongest from c, b""")
 def _(t: Tables) -> DataFrame:
     return B.correlation_snapshot(_named(t), FOUR)
@@ -206,7 +206,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("dash_drivers", f"""with c as ({pairs_sql(COMPLETE, FOUR, None)})
- (select 1::bigint as card, 'Strongest Correlation' as label, var1 || ' ↔ ' || var2 as subject, {r('r')} as value, n::double as extra from c order by abs(r) desc, var1, var2 limit 1)
+ (select 1::bigint as card, 'Strongest Correlation' as label, var1 || ' ↔ ' || var2 as subject, {r('r')} as value, n::double as extra from c order by round(abs(r), 9) desc, var1, var2 limit 1)
  union all select 2, 'Variance', 'discount', {r('stddev_samp(discount)')}, {r('avg(discount)')} from {NAMED}
  union all select 3, 'Variance', 'quantity', {r('stddev_samp(quantity)')}, {r('avg(quantity)')} from {NAMED}
  union all select 4, 'Variance', 'tax', {r('stddev_samp(tax)')}, {r('avg(tax)')} from {NAMED}""")

@@ -44,7 +44,7 @@ def _(t: Tables) -> DataFrame:
     return C.aggregate(t("lineitem_gaps"), "l_returnflag", "l_quantity", "Mean", "l_linestatus")
 
 
-@query("agg_median_suppliers", f"select l_suppkey, metric from ({agg_sql('lineitem', 'l_suppkey', 'l_extendedprice', 'Median')}) order by l_suppkey limit 5000", digits=2)
+@query("agg_median_suppliers", f"select l_suppkey, metric from ({agg_sql('lineitem', 'l_suppkey', 'l_extendedprice', 'Median', digits=4)})")
 def _(t: Tables) -> DataFrame:
     return C.aggregate(t("lineitem"), "l_suppkey", "l_extendedprice", "Median", top_n=None)
 
@@ -221,17 +221,17 @@ def box_sql(source: str, metric: str, keys: str = "") -> str:
  x as (select *, q1 - 1.5 * (q3 - q1) as lower_, q3 + 1.5 * (q3 - q1) as upper_ from {source} {join})"""
 
 
-BOX = f"""count(*) as n, {r('min(q1)')} as q1, {r('min(med)')} as median, {r('min(q3)')} as q3, {r('min(lower_)')} as lower, {r('min(upper_)')} as upper,
+BOX = f"""count(*) as n, {r('min(q1)', 6)} as q1, {r('min(med)', 6)} as median, {r('min(q3)', 6)} as q3, {r('min(lower_)', 6)} as lower, {r('min(upper_)', 6)} as upper,
  {r('min(value) filter (where value between lower_ and upper_)')} as whisker_low, {r('max(value) filter (where value between lower_ and upper_)')} as whisker_high,
  count(*) filter (where value < lower_ or value > upper_) as outliers from x"""
 
 
-@query("chart_box", f"{box_sql('events', 'value', 'event_type')} select event_type, {BOX} group by 1")
+@query("chart_box", f"{box_sql('events', 'value', 'event_type')} select event_type, {BOX} group by 1", digits=6)
 def _(t: Tables) -> DataFrame:
     return C.box(t("events"), "value", "event_type")
 
 
-@query("chart_box_whole", f"{box_sql('events', 'value')} select {BOX}")
+@query("chart_box_whole", f"{box_sql('events', 'value')} select {BOX}", digits=6)
 def _(t: Tables) -> DataFrame:
     return C.box(t("events"), "value")
 
@@ -363,7 +363,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("insight_heatmap", f"""with c as ({pairs_sql('part', ['p_partkey', 'p_retailprice', 'p_size'], 2)})
- (select 'Strongest Correlation' as label, var1 || ' ↔ ' || var2 as subject, r as value, null::double as extra from c order by abs(r) desc, var1, var2 limit 1)
+ (select 'Strongest Correlation' as label, var1 || ' ↔ ' || var2 as subject, r as value, null::double as extra from c order by round(abs(r), 9) desc, var1, var2 limit 1)
  union all select 'Positive Pairs', null, count(*) filter (where r > 0.3), count(*) from c
  union all select 'Negative Pairs', null, count(*) filter (where r < -0.3), count(*) from c""")
 def _(t: Tables) -> DataFrame:

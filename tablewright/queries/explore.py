@@ -103,20 +103,20 @@ STRENGTH = """case when abs(r) >= 0.85 then 'Very Strong' when abs(r) >= 0.70 th
 
 
 @query("corr_top_pairs", f"""with c as ({pairs_sql('part', ['p_partkey', 'p_size', 'p_retailprice'], None)} union all {pairs_sql('lineitem', [c for c, k in LINEITEM if k == 'numeric'], None)})
- (select 'positive' as direction, var1, var2, {r('r')} as r, {STRENGTH} as strength from c where r > 0 order by c.r desc, var1, var2 limit 8)
- union all (select 'negative', var1, var2, {r('r')}, {STRENGTH} from c where r < 0 order by c.r, var1, var2 limit 8)""")
+ (select 'positive' as direction, var1, var2, {r('r')} as r, {STRENGTH} as strength from c where r > 0 order by round(c.r, 9) desc, var1, var2 limit 8)
+ union all (select 'negative', var1, var2, {r('r')}, {STRENGTH} from c where r < 0 order by round(c.r, 9), var1, var2 limit 8)""")
 def _(t: Tables) -> DataFrame:
     pairs = A.correlations(t("part")).unionByName(A.correlations(t("lineitem")))
     return A.strongest_pairs(pairs, 8)
 
 
 # --- outliers ------------------------------------------------------------------------------------------------------
-OUTLIERS = f"""select col as "column", non_null as count, {r('q1')} as q1, {r('q3')} as q3, {r('iqr')} as iqr, {r('lower_')} as lower, {r('upper_')} as upper,
- outliers as outlier_count, {r(pct('outliers', 'non_null'))} as outlier_pct, {r('min_')} as min, {r('max_')} as max,
+OUTLIERS = f"""select col as "column", non_null as count, {r('q1', 6)} as q1, {r('q3', 6)} as q3, {r('iqr', 6)} as iqr, {r('lower_', 6)} as lower, {r('upper_', 6)} as upper,
+ outliers as outlier_count, {r(pct('outliers', 'non_null'), 6)} as outlier_pct, {r('min_', 6)} as min, {r('max_', 6)} as max,
  case when {pct('outliers', 'non_null')} > 5 then 'High Outlier Burden' when outliers > 0 then 'Moderate Outliers' else 'Clean' end as status
  from p where kind = 'numeric' and non_null >= 4"""
 for _source, _columns in (("events", EVENTS), ("documents", DOCUMENTS), ("lineitem_gaps", LINEITEM_GAPS)):
-    query(f"eda_outliers_{_source}", f"with {profile_sql(_source, _columns)} {OUTLIERS}")(lambda t, s=_source: A.outlier_summary(t(s)))
+    query(f"eda_outliers_{_source}", f"with {profile_sql(_source, _columns)} {OUTLIERS}", digits=6)(lambda t, s=_source: A.outlier_summary(t(s)))
 
 
 @query("eda_outlier_totals", f"""with {profile_sql('events', EVENTS)} select {i('sum(outliers)')} as total_outliers,
@@ -148,19 +148,19 @@ def _(t: Tables) -> DataFrame:
 def deep_sql(source: str, c: str) -> str:
     x = f"cast({c} as double)"
     lo, hi = f"({q(c, 0.25)} - 1.5 * ({q(c, 0.75)} - {q(c, 0.25)}))", f"({q(c, 0.75)} + 1.5 * ({q(c, 0.75)} - {q(c, 0.25)}))"
-    quantiles = ", ".join(f"{r(q(c, p))} as {n}" for p, n in ((0.01, "p1"), (0.05, "p5"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (0.95, "p95"), (0.99, "p99")))
-    return f"""select '{c}' as "column", count({c}) as count, {r(f'avg({x})')} as mean, {r(std0(x))} as std, {r(f'var_samp({x})')} as variance,
- {r(f'min({x})')} as min, {r(f'max({x})')} as max, {r(f'max({x}) - min({x})')} as value_range, {quantiles}, {r(f'{q(c, 0.75)} - {q(c, 0.25)}')} as iqr,
- {r(lo)} as lower, {r(hi)} as upper, (select count(*) from {source}, (select {lo} as lo, {hi} as hi from {source}) where {x} < lo or {x} > hi) as outliers,
- {r(skew0(x))} as skewness, {r(kurt0(x))} as kurtosis from {source}"""
+    quantiles = ", ".join(f"{r(q(c, p), 6)} as {n}" for p, n in ((0.01, "p1"), (0.05, "p5"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (0.95, "p95"), (0.99, "p99")))
+    return f"""select '{c}' as "column", count({c}) as count, {r(f'avg({x})', 6)} as mean, {r(std0(x), 6)} as std, {r(f'var_samp({x})', 6)} as variance,
+ {r(f'min({x})', 6)} as min, {r(f'max({x})', 6)} as max, {r(f'max({x}) - min({x})', 6)} as value_range, {quantiles}, {r(f'{q(c, 0.75)} - {q(c, 0.25)}', 6)} as iqr,
+ {r(lo, 6)} as lower, {r(hi, 6)} as upper, (select count(*) from {source}, (select {lo} as lo, {hi} as hi from {source}) where {x} < lo or {x} > hi) as outliers,
+ {r(skew0(x), 6)} as skewness, {r(kurt0(x), 6)} as kurtosis from {source}"""
 
 
-@query("deep_dive_numeric", deep_sql("events", "value"))
+@query("deep_dive_numeric", deep_sql("events", "value"), digits=6)
 def _(t: Tables) -> DataFrame:
     return A.numeric_deep_dive(t("events"), "value")
 
 
-@query("deep_dive_numeric_gaps", deep_sql(source_sql("lineitem_gaps"), "l_quantity"))
+@query("deep_dive_numeric_gaps", deep_sql(source_sql("lineitem_gaps"), "l_quantity"), digits=6)
 def _(t: Tables) -> DataFrame:
     return A.numeric_deep_dive(t("lineitem_gaps"), "l_quantity")
 
@@ -218,8 +218,8 @@ def findings_sql(source: str, columns: list[tuple[str, str]]) -> str:
  select 'Missing Data' as category, 'CRITICAL' as severity, {first3.format('missing_pct > 50')} as subject, severe::double as measure from k where severe > 0
  union all select 'Missing Data', 'WARNING', {first3.format('missing_pct > 20')}, high from k where severe = 0 and high > 0
  union all select 'Completeness', 'POSITIVE', 'all columns', n from k where high = 0
- union all (select 'Correlation', 'STRONG CORRELATION', var1 || ' ↔ ' || var2, {r('r')} from c where r >= 0.75 order by r desc, var1, var2 limit 1)
- union all (select 'Correlation', 'INVERSE CORRELATION', var1 || ' ↔ ' || var2, {r('r')} from c where r <= -0.75 order by r, var1, var2 limit 1)
+ union all (select 'Correlation', 'STRONG CORRELATION', var1 || ' ↔ ' || var2, {r('r')} from c where r >= 0.75 order by round(r, 9) desc, var1, var2 limit 1)
+ union all (select 'Correlation', 'INVERSE CORRELATION', var1 || ' ↔ ' || var2, {r('r')} from c where r <= -0.75 order by round(r, 9), var1, var2 limit 1)
  union all (select 'Distribution', 'HIGH SKEWNESS', col, {r('skewness')} from p where kind = 'numeric' and non_null >= 4 and abs(skewness) > 1.5
  order by abs(skewness) desc, position limit 1)
  union all (select 'Outliers', 'OUTLIER BURDEN', col, {r(pct('outliers', 'non_null'))} from p where kind = 'numeric' and non_null >= 4
@@ -271,7 +271,7 @@ def _(t: Tables) -> DataFrame:
 
 def correlates_sql(source: str, target: str, others: list[str], n: int = 4, digits: int = 4) -> str:
     rows = " union all ".join(f"select '{c}' as \"column\", {pearson(f'cast({c} as double)', f'cast({target} as double)')} as r from {source}" for c in others)
-    return f'select "column", {r("r", digits)} as r from (select * from ({rows}) where r is not null order by abs(r) desc, "column" limit {n})'
+    return f'select "column", {r("r", digits)} as r from (select * from ({rows}) where r is not null order by round(abs(r), 9) desc, "column" limit {n})'
 
 
 PART_NUMBERS = ["p_partkey", "p_size"]

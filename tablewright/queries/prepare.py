@@ -244,7 +244,7 @@ def _(t: Tables) -> DataFrame:
     return O.outlier_rows(t("events"), "value")
 
 
-@query("outlier_profile", f"select count(*) filter (where value < lo or value > hi) as outliers, {r('min(lo)')} as lower, {r('min(hi)')} as upper, {r('min(q1)')} as q1, {r('min(q3)')} as q3, {r('min(q3 - q1)')} as iqr from {EVENT_FENCE}")
+@query("outlier_profile", f"select count(*) filter (where value < lo or value > hi) as outliers, {r('min(lo)', 6)} as lower, {r('min(hi)', 6)} as upper, {r('min(q1)', 6)} as q1, {r('min(q3)', 6)} as q3, {r('min(q3 - q1)', 6)} as iqr from {EVENT_FENCE}", digits=6)
 def _(t: Tables) -> DataFrame:
     return O.outlier_profile(t("events"), "value")
 

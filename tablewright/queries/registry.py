@@ -90,7 +90,7 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
             "case when user_id % 9 = 0 then null else ts end as ts",
             "case when event_id % 11 = 0 then null else event_type end as event_type",
             "case when event_id % 5 in (1, 2) then null else value end as value",
-            "value - 5 as age",
+            "value - 5 + user_id % 7 as age",
             "value as amount",
         ],
         "event_type = 'purchase'",
