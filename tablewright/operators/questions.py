@@ -11,6 +11,7 @@ from ..functions.stats import percent
 from .ordering import column_fences, exact_quantiles, value_counts
 from .profile import column_counts, duplicate_summary, table_summary
 from .quality import Audit
+from .statistics import correlations, outlier_summary, strongest_pairs
 
 # The phrases of each kind of question, in the order they are tried.
 GREETINGS = (
@@ -249,5 +250,16 @@ def quality_answer(df: DataFrame) -> DataFrame:
     return Audit(df, share=False).breakdown().select("score", "status", *[whole[f].alias(f) for f in fields])
 
 
+def correlation_answer(df: DataFrame) -> DataFrame:
+    """The two strongest positive and negative pairs among the first ten numeric columns."""
+    return strongest_pairs(correlations(df, numeric_columns(df)[:10]), 2)
+
+
+def outlier_answer(df: DataFrame) -> DataFrame:
+    """Columns with outliers among the first eight numeric ones: count, % and fences."""
+    found = outlier_summary(df, numeric_columns(df)[:8]).where(F.col("outlier_count") > 0)
+    return found.select("column", "outlier_count", "outlier_pct", "lower", "upper")
+
+
 def preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
     return df.orderBy(*[name_col(o) for o in order_by]).limit(n)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import questions as K
-from .audit import STATUS, score_sql
+from .audit import DOCUMENTS, STATUS, score_sql
+from .explore import STRENGTH, pairs_sql
 from .registry import Tables, query, source_sql
-from .sqltext import duplicates_sql, i, profile_sql, q, r, ts
-from .tables import EVENTS, ORDERS
+from .sqltext import duplicates_sql, i, pct, profile_sql, q, r, ts
+from .tables import EVENTS, LINEITEM, ORDERS
 
 # Columns the questions are matched against. Words of the given texts occur among them.
 NUMERIC = ["customer_age", "sale", "data", "value total"]
@@ -155,6 +156,22 @@ def _(t: Tables) -> DataFrame:
     return K.quality_answer(t("events_gaps"))
 
 
+NUMBERS = [c for c, k in LINEITEM if k == "numeric"]
+
+
+@query("ask_correlation", f"""with c as ({pairs_sql('lineitem', NUMBERS, None)})
+ (select 'positive' as direction, var1, var2, {r('r')} as r, {STRENGTH} as strength from c where r > 0 order by round(c.r, 9) desc, var1, var2 limit 2)
+ union all (select 'negative', var1, var2, {r('r')}, {STRENGTH} from c where r < 0 order by round(c.r, 9), var1, var2 limit 2)""")
+def _(t: Tables) -> DataFrame:
+    return K.correlation_answer(t("lineitem"))
+
+
+@query("ask_outliers", f"""with {profile_sql('documents', DOCUMENTS)} select col as "column", outliers as outlier_count, {r(pct('outliers', 'non_null'), 6)} as outlier_pct,
+ {r('lower_', 6)} as lower, {r('upper_', 6)} as upper from p where kind = 'numeric' and outliers > 0""", digits=6)
+def _(t: Tables) -> DataFrame:
+    return K.outlier_answer(t("documents"))
+
+
 @query("ask_preview", f"select c_custkey, c_name, c_nationkey::bigint as c_nationkey, {r('c_acctbal')} as c_acctbal, c_mktsegment from customer order by c_custkey limit 5")
 def _(t: Tables) -> DataFrame:
     return K.preview(t("customer"), ["c_custkey"])
