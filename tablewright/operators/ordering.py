@@ -267,6 +267,14 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     return p.select("column", "value", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
+def row_label(name: str) -> Column:
+    """A name in a one-row aggregate, as a value rather than a constant.
+
+    With a constant on a one-column table Catalyst would drop the join key and plan a nested loop.
+    """
+    return F.when(F.count(F.lit(1)) >= 0, F.lit(name))
+
+
 def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, distinct, top_value, top_count, low_value, high_value): one narrow scan per column.
 
@@ -279,7 +287,7 @@ def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
         best = F.min_by("value", F.struct(-F.col("n"), F.col("value")))
         parts.append(
             v.agg(
-                F.lit(c).alias("column"),
+                row_label(c).alias("column"),
                 F.count("value").alias("distinct"),
                 best.cast("string").alias("top_value"),
                 F.coalesce(F.max("n"), F.lit(0)).alias("top_count"),

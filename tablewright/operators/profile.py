@@ -28,7 +28,7 @@ from ..functions.missing import (
 )
 from ..functions.stats import excess_kurtosis, percent, sample_std, sample_variance, skew
 from ..functions.text import CURRENCY_SYMBOLS, strip_number
-from .ordering import column_fences, spread, top_values
+from .ordering import column_fences, row_label, spread, top_values
 
 # Pairs of words (after trimming and lower-casing) that mean yes / no.
 BOOLEAN_SETS = (
@@ -228,7 +228,7 @@ def sample_values(df: DataFrame, columns: list[str], order_by: list[str], n: int
         top = df.where(value(df, c).isNotNull()).orderBy(*keys).limit(n)
         ranked = top.select(F.struct(*keys).alias("o"), value(df, c).cast("string").alias("v"))
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"])
-        parts.append(ranked.agg(F.lit(c).alias("column"), F.array_join(ordered, ", ").alias("samples")))
+        parts.append(ranked.agg(row_label(c).alias("column"), F.array_join(ordered, ", ").alias("samples")))
     return reduce(DataFrame.unionByName, parts)
 
 
