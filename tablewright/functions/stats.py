@@ -10,10 +10,6 @@ def sample_std(x: str) -> Column:
     return F.expr(f"case when count({x}) = 1 then 0D else stddev_samp({x}) end")
 
 
-def sample_variance(x: str) -> Column:
-    return F.expr(f"case when count({x}) = 1 then 0D else var_samp({x}) end")
-
-
 def skew(x: str) -> Column:
     """Bias-corrected skewness (G1); 0 below three values or without spread, NULL for no value."""
     n = f"cast(count({x}) as double)"

@@ -12,7 +12,7 @@ from ..functions.missing import number, present, value
 from ..functions.stats import percent, settled
 from ..functions.text import fixed
 from .charts import histogram
-from .ordering import exact_quantiles, spread, value_counts
+from .ordering import exact_quantiles, value_counts
 from .profile import (
     named,
     _typed,
@@ -86,8 +86,8 @@ def ranked_columns(df: DataFrame) -> DataFrame:
 class Layout:
     """Column choices for one table. One small job (a row per column) while the plan is built."""
 
-    def __init__(self, df: DataFrame):
-        scored = _with_scores(df, _with_roles(df, _profile(df)))
+    def __init__(self, df: DataFrame, profile: DataFrame | None = None):
+        scored = _with_scores(df, _with_roles(df, profile if profile is not None else _profile(df)))
         in_order = scored.orderBy("position").select("position", "column", "role", "score").collect()
         best = sorted((r for r in in_order if r["score"] is not None), key=lambda r: (-r["score"], r["position"]))
         self.numeric = [r["column"] for r in best if r["role"] == "numeric"]
@@ -259,8 +259,12 @@ def _card(n: int, label: Column, subject: Column, number_: Column, extra: Column
 
 
 def executive_cards(df: DataFrame, whole: DataFrame | None = None, layout: Layout | None = None) -> DataFrame:
-    """Primary metric, second metric or leading category, quality score, share of the whole table in view."""
-    layout = layout or Layout(df)
+    """Primary metric, second metric or leading category, quality score, share of the whole table in view.
+
+    The column choice and the score share one profile (a row per column).
+    """
+    audit = Audit(df)
+    layout = layout or Layout(df, audit.profile)
     none = F.lit(None)
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
     parts = []
@@ -284,7 +288,6 @@ def executive_cards(df: DataFrame, whole: DataFrame | None = None, layout: Layou
             F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"), F.count(F.lit(1)).alias("n")
         )
         parts.append(lead.select(*_card(2, F.lit(f"Top {c}"), F.col("top"), F.col("n"), none)))
-    audit = Audit(df, share=False)
     parts.append(
         audit.breakdown().select(
             *_card(3, F.lit("Data Quality Index"), F.col("status"), F.col("score"), F.col("completeness"))
@@ -356,13 +359,18 @@ def driver_cards(df: DataFrame, layout: Layout | None = None) -> DataFrame:
 
 
 def anomaly_cards(df: DataFrame, layout: Layout | None = None) -> DataFrame:
-    """Outliers in the five best metrics, missing cells, duplicate rows, quality score."""
-    layout = layout or Layout(df)
+    """Outliers in the five best metrics, missing cells, duplicate rows, quality score.
+
+    Column choice, outliers and score share one profile (a row per column).
+    """
+    audit = Audit(df)
+    layout = layout or Layout(df, audit.profile)
     columns = layout.numeric[:5]
     none = F.lit(None)
     parts = []
     if columns:
-        counted = spread(df, columns).where(F.col("total") >= 4).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("n"))
+        best = audit.profile.where(F.col("column").isin(columns) & (F.col("non_null") >= 4))
+        counted = best.agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("n"))
         parts.append(counted.select(*_card(1, F.lit("Total Potential Outliers"), none, F.col("n"), none)))
     whole = table_summary(df)
     for i, label, field, pct in (
@@ -370,7 +378,7 @@ def anomaly_cards(df: DataFrame, layout: Layout | None = None) -> DataFrame:
         (3, "Duplicate Rows", "duplicate_rows", "duplicate_pct"),
     ):
         parts.append(whole.select(*_card(i, F.lit(label), none, F.col(field), F.col(pct))))
-    score = Audit(df, share=False).breakdown()
+    score = audit.breakdown()
     parts.append(score.select(*_card(4, F.lit("Health Index"), F.col("status"), F.col("score"), none)))
     return reduce(DataFrame.unionByName, parts)
 

@@ -26,7 +26,7 @@ from ..functions.missing import (
     value_sql,
     without_nan,
 )
-from ..functions.stats import excess_kurtosis, percent, sample_std, sample_variance, skew
+from ..functions.stats import excess_kurtosis, percent, sample_std, skew
 from ..functions.text import CURRENCY_SYMBOLS, strip_number
 from .ordering import column_fences, row_label, spread, top_values
 
@@ -101,7 +101,6 @@ def _number_aggregates() -> dict[str, Column]:
     return {
         "mean": F.expr(f"avg({x})"),
         "std": sample_std(x),
-        "variance": sample_variance(x),
         "min": F.expr(f"min({x})"),
         "max": F.expr(f"max({x})"),
         "skewness": skew(x),
@@ -150,9 +149,8 @@ def column_stats(
         return out
     # A negative or out-of-range number is only suspicious where the column name says so.
     limited = {"negative": names.is_non_negative, "out_of_percent": names.is_percentage}
-    return out.withColumns(
-        {f: F.when(named(chosen, rule), F.col(f)).otherwise(0) for f, rule in limited.items()}
-    )
+    checked = {f: F.when(named(chosen, rule), F.col(f)).otherwise(0) for f, rule in limited.items()}
+    return out.withColumns(checked | {"variance": F.col("std") * F.col("std")})
 
 
 def named(columns: list[str], rule) -> Column:

@@ -275,8 +275,9 @@ def status(score: Column) -> Column:
 class Audit:
     """One audit of one table. Its parts are small DataFrames over one shared profile.
 
-    The profile (one row per column) and the duplicate summary (one row) are persisted on first use, so
-    several parts of the same audit read the data once. Call ``release`` when done.
+    With ``share`` the profile (one row per column) and the duplicate summary (one row) are computed on first
+    use and kept as local tables, so several parts of the same audit read the data once. Without it every part
+    is one lazy plan from the source.
     """
 
     df: DataFrame
@@ -295,12 +296,7 @@ class Audit:
         return duplicate_columns(self.df)
 
     def _keep(self, small: DataFrame) -> DataFrame:
-        return small.persist() if self.share else small
-
-    def release(self) -> None:
-        for part in ("profile", "duplicates"):
-            if self.share and part in self.__dict__:
-                self.__dict__[part].unpersist()
+        return small.sparkSession.createDataFrame(small.collect(), small.schema) if self.share else small
 
     def breakdown(self) -> DataFrame:
         """One row: five dimension scores (unrounded inputs), overall score, grade and status."""
@@ -441,7 +437,9 @@ class Audit:
         score = clamp(
             100.0 - F.coalesce("penalty", F.lit(0.0)) - F.coalesce("copy_penalty", F.lit(0.0))
         )
-        joined = self.profile.select("position", "column").join(penalties, "column", "left").join(copies, "column", "left")
+        listed = [(i, c) for i, c in enumerate(self.df.columns)]
+        every = self.df.sparkSession.createDataFrame(listed, "position int, column string")
+        joined = every.join(penalties, "column", "left").join(copies, "column", "left")
         scored = joined.select(
             "position",
             "column",

@@ -126,7 +126,7 @@ def _(t: Tables) -> DataFrame:
     return P.type_counts(t("order_texts"))
 
 
-@query("search_rows", f"""select p_partkey, p_name, p_brand, p_type, p_size, {r('p_retailprice')} as p_retailprice from part
+@query("search_rows", f"""select p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, {r('p_retailprice')} as p_retailprice from part
  where contains(lower(p_name), 'ring') or contains(lower(p_brand), 'ring') or contains(lower(p_type), 'ring')
  or contains(cast(p_partkey as varchar), 'ring') or contains(cast(p_size as varchar), 'ring')""")
 def _(t: Tables) -> DataFrame:

@@ -265,7 +265,6 @@ def test_audit(dirty):
     assert scores["Duplicate_B"]["quality_score"] == 75.0 and scores["Duplicate_A"]["main_issue"] == "Clean"
     assert scores["Score_Str"]["main_issue"] == "Mixed data types"
     assert 0 <= audit.report().first()["score"] <= 100
-    audit.release()
 
 
 def test_infinities(frame):
