@@ -331,8 +331,8 @@ def test_names_with_spaces_and_quotes(frame):
 def test_pipeline(gaps):
     plan = (
         Preparation(gaps)
-        .then(Step("missing", "mean", lambda d: R.fill_missing(d, ["num"], "mean"), "num", "mean"))
-        .then(Step("columns", "drop", lambda d: R.drop_columns(d, ["cat"]), "cat", "drop_cols"))
+        .then(Step("missing", "unknown", lambda d: R.fill_missing(d, ["cat"], "unknown"), "cat", "unknown"))
+        .then(Step("columns", "drop", lambda d: R.drop_columns(d, ["num"]), "num", "drop_cols"))
     )
     log = plan.log(scores=True).orderBy("step").collect()
     assert [r["columns_after"] for r in log] == [4, 3]
