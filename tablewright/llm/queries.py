@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import byte_bpe, packing, secret_scan
+from tablewright.llm import byte_bpe, packing, quality_rules, secret_scan, simhash
+from tablewright.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,20 @@ def _is(value: str) -> Callable:
     return lambda x: x == value
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of rules learned from all labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = written(quality_rules.statistics(docs).drop("text"), "counts")
+    labels = quality_rules.labels_of(table(spark, sf_dir, "labels"))
+    rules = quality_rules.learn(written(counted.join(labels, "doc_id"), "labelled"))
+    return counted.select(
+        "doc_id",
+        *(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        quality_rules.base_failed().alias("base_failed"),
+        (~quality_rules.base_failed() & quality_rules.verdict(rules)).alias("kept"),
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, each document ended by id 1."""
     docs = table(spark, sf_dir, "documents")
@@ -28,6 +43,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets of every document, through a new ledger."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,7 +72,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op5_simhash": op5_simhash,
     "op8_secret_scan": op8_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
