@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import byte_bpe, packing, quality_rules, secret_scan, simhash
+from tablewright.llm import byte_bpe, html_text, language_id, packing, quality_rules, secret_scan, simhash
 from tablewright.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    told = language_id.predict(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs", "other")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets of every document, through a new ledger."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +66,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("found")).alias("spans"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -75,7 +89,9 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op5_simhash": op5_simhash,
+    "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
+    "op9_html_text": op9_html_text,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
