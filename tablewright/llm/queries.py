@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import byte_bpe, cover_tree, html_text, language_id, packing, quality_rules, secret_scan, simhash
+from tablewright.llm import byte_bpe, cover_tree, html_text, language_id, line_dedup, packing, quality_rules, secret_scan, simhash
 from tablewright.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, or nearly repeat, an earlier one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, "doc_id", "text").select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and near-duplicate group of every vector."""
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
@@ -93,6 +99,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_cover_tree": op4_cover_tree,
     "op5_simhash": op5_simhash,
     "op7_language_id": op7_language_id,
