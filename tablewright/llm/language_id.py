@@ -131,14 +131,14 @@ def mixture(cells: np.ndarray, model: Model, settings: Settings = Settings()) ->
 RESULT = "lang_pred string, score double, langs array<string>, other double"
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """Adds lang_pred, score (its share, 0 to 1), langs (the chosen set, largest first) and other (the background's share).
+def predict(docs: DataFrame, model: Model, text: str = "text", settings: Settings = Settings(), prefix: str = "") -> DataFrame:
+    """Adds (each with `prefix`) lang_pred, score (its share, 0 to 1), langs (the chosen set, largest first) and other (the background's share).
 
     The prediction reads the whole text and nothing else. NULL, no letter, or a model without languages: `und`, score 0,
     empty set, other 1. Columns with these names are replaced. No shuffle; the model is broadcast (languages x CELLS).
     """
     ship(docs.sparkSession)
-    added = T._parse_datatype_string(RESULT).fields
+    added = [T.StructField(prefix + f.name, f.dataType) for f in T._parse_datatype_string(RESULT).fields]
     kept = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     names = [f.name for f in kept]
     shared = docs.sparkSession.sparkContext.broadcast(model)

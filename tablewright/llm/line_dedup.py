@@ -140,8 +140,8 @@ def removed_lines(docs: DataFrame, key: str, text: str, similarity: float = 0.8)
     return gone.groupBy("document").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
 
 
-def dedup(docs: DataFrame, key: str, text: str, similarity: float = 0.8) -> DataFrame:
-    """Every row of `docs` with `text` reduced to the lines that stay, and n_lines, n_removed (long).
+def dedup(docs: DataFrame, key: str, text: str, similarity: float = 0.8, counts: bool = True) -> DataFrame:
+    """Every row of `docs` with `text` reduced to the lines that stay, and (with `counts`) n_lines, n_removed (long).
 
     Of each group of lines (equal, or linked by a Jaccard similarity of character shingles of at least `similarity`)
     only the first by (key, line number) stays; a NULL key comes last. Lines without a word stay. NULL text stays
@@ -160,7 +160,8 @@ def dedup(docs: DataFrame, key: str, text: str, similarity: float = 0.8) -> Data
     bounds = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size(lines)))
     kept = _rest(lines, bounds)
     reduced = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)
-    return rows.withColumns({"n_lines": total, "n_removed": lost, text: reduced}).drop("__document", "__touched", "__gone")
+    made = {"n_lines": total, "n_removed": lost} if counts else {}
+    return rows.withColumns({**made, text: reduced}).drop("__document", "__touched", "__gone")
 
 
 def _rest(lines: Column, bounds: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import byte_bpe, cover_tree, html_text, language_id, line_dedup, packing, quality_rules, secret_scan, simhash
+from tablewright.llm import bwt_dedup, byte_bpe, cover_tree, html_text, language_id, line_dedup, packing, quality_rules, secret_scan, simhash
 from tablewright.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
+def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 200-byte strings that repeat."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bwt_dedup.dedup(docs, "doc_id", "text", 200)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -102,10 +109,12 @@ QUERIES: dict[str, Query] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_cover_tree": op4_cover_tree,
     "op5_simhash": op5_simhash,
+    "op6_bwt_dedup": op6_bwt_dedup,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_html_text": op9_html_text,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
+#: None of these can be said in SQL as a whole (learned models, tokens, XXH64, graphs); brute force tests them.
 ORACLES: dict[str, str] = {}

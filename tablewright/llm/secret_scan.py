@@ -123,10 +123,10 @@ def findings(
     ledger = ledger or new_ledger(spark)
     update(versions, text, ledger, rules, rule_version)
     known = spark.read.schema(LEDGER).parquet(ledger).filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0))
-    found = known.groupBy(F.col("blob").alias("__blob")).agg(F.first("findings").alias("__found"))
+    found = known.groupBy(F.col("blob").alias("__blob")).agg(F.first("findings").alias("__findings"))
     rows = versions.drop(into).withColumn("__blob", blob_of(F.col(f"`{text}`")))
     joined = rows.join(found, "__blob", "left")
-    return joined.withColumn(into, F.coalesce("__found", F.array().cast(f"array<{SPAN}>"))).drop("__blob", "__found")
+    return joined.withColumn(into, F.coalesce("__findings", F.array().cast(f"array<{SPAN}>"))).drop("__blob", "__findings")
 
 
 def masked(text: Column, found: Column, mask: str = "[secret]") -> Column:

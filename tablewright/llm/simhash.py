@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.llm.common import ship, written
 from tablewright.llm.components import components
+from tablewright.llm.line_dedup import _marked, document_key
 
 BITS = 64
 #: Fingerprints below one node that a task walks alone; more are cut by further bits.
@@ -252,3 +253,26 @@ def near_duplicates(docs: DataFrame, key: str, text: str = "text", budget: int =
     known = written(rooted.join(named, "component").select("fingerprint", "component_id"), "classes")
     joined = prints.join(known, "fingerprint")
     return joined.select(key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str, text: str = "text", budget: int = 2) -> DataFrame:
+    """The rows of `docs` that stay when each near-duplicate group keeps one: the least key, then the least digest.
+
+    Rows with equal key and text are one; of these, one row stays. Texts without a word (NULL too) are alike, so one of
+    them stays. A NULL key comes last. Empty: no rows. All columns stay.
+    """
+    named = docs.withColumn("__document", document_key(key, text))
+    prints = fingerprints(named.select("__document", F.col(key).alias("key"), F.col(text).alias("text")), "text")
+    prints = written(prints.select("__document", "key", "fingerprint"), "fingerprints")
+    groups = components(near_links(prints, budget)).withColumnRenamed("node", "fingerprint")
+    rank = F.struct(F.col("key").isNull().alias("none"), "key", F.col("__document").alias("document"))
+    members = prints.join(groups, "fingerprint", "left").select(F.coalesce("component", "fingerprint").alias("component"), rank.alias("rank"))
+    first = members.groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.document").alias("__document"), F.lit(True).alias("__stays"))
+    counted = prints.groupBy("__document").agg(F.count("*").alias("__n")).join(first, "__document", "left")
+    touched = written(counted.filter("__stays is null or __n > 1"), "touched")
+    marked = _marked(named, "__document", touched, "__touched")
+    plain = marked.filter("not __touched")
+    known = marked.filter("__touched").join(touched, "__document", "left")
+    once = known.filter("__n is null")
+    repeated = known.filter("__stays").dropDuplicates(["__document"])
+    return plain.drop("__touched").unionByName(once.unionByName(repeated).drop("__touched", "__n", "__stays")).drop("__document")
