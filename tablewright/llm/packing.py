@@ -10,6 +10,7 @@ partitions only: the same partition gives the same sequences again.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame, types as T
 
 from tablewright.llm.common import read_bytes, ship
 
-REMEMBERED = 300_000
 BATCH_PIECES = 2_000
 
 
@@ -84,30 +84,58 @@ def cut(ids: np.ndarray, loss: np.ndarray | None, limits: Limits) -> Iterator[tu
         at = stop
 
 
+#: White space longer than this in one run goes to the tokenizers library, whose pattern matcher has no stack to overflow.
+LONG_SPACE = regex.compile(r"\s{1000}")
+
+
+def _alphabet() -> dict[str, int]:
+    """The character that stands for each byte in byte-level files: printable ones for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Tokens:
-    """Ids from a tokenizers file. Pre-tokens are found with its pattern, and each new one is encoded once."""
+    """Ids of whole texts by a tokenizers file; special tokens' strings are ordinary text.
+
+    A file that holds plain byte-level BPE, with merges in the order of their ids, runs in the faster tiktoken engine on
+    ranks read from it, with the same ids. Any other file runs in the tokenizers library.
+    """
 
     def __init__(self, model: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model.decode())
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.model.encode_special_tokens = True
+        self.fast = self._engine(json.loads(model), pattern)
+
+    @staticmethod
+    def _engine(file: dict, pattern: str):
+        inner, split = file["model"], file.get("pre_tokenizer") or {}
+        plain = inner.get("type") == "BPE" and not any(inner.get(k) for k in ("dropout", "end_of_word_suffix", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        if not plain or file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+            return None
+        own, vocabulary = _alphabet(), inner["vocab"]
+        special = {t["content"] for t in file.get("added_tokens", ())}
+        ids = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in inner["merges"]]
+        ranks = {bytes(map(own.__getitem__, word)): i for word, i in vocabulary.items() if word not in special}
+        if ids != sorted(ids) or -1 in ids or any(bytes([b]) not in ranks for b in range(256)) or len(ranks) != 256 + len(ids):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed little-endian 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        split = [self.pattern.findall(x) for x in texts]
-        new = list(set().union(*split).difference(known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for token, made in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                known[token] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join([known[t] for t in tokens]) for tokens in split]
+        if self.fast is not None:
+            return [self._one(x) for x in texts]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one(self, text: str) -> bytes:
+        if LONG_SPACE.search(text):
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 PIECE = "start long, length long, n_loss long, ids binary, doc_tokens long, sequence_id long, offset long"
