@@ -10,6 +10,7 @@ element that holds most of the marked text, and all its lines are kept but those
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,6 +40,8 @@ NEVER_WORDS = frozenset(
     " promotion sponsor sponsored subscribe subscription newsletter signup login search pagination pager skip skiplink copyright legal disclaimer"
     " contentinfo complementary banners reactions replies reply".split()
 )
+#: Elements that can be a part of the page by themselves.
+PART = frozenset("body center div section td main article blockquote details".split())
 #: A paragraph that is still open ends where one of these begins.
 ENDS_P = BLOCK - {"br", "body", "html"}
 WORD = re.compile(r"[a-z0-9]+")
@@ -167,8 +170,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     mains = [n for n in mass if page.names[n] == "main" and mass[n] > 0]
     if articles or mains:
         region = max(articles or mains, key=lambda n: (mass[n], -n))
-    else:  # the innermost element with nearly all of the marked text
-        region = max((n for n in mass if mass[n] >= 0.9 * total), default=None)
+    else:  # the innermost part of the page that holds nearly all of the marked text, and more than one line of it all
+        lines_of = Counter(n for _, _, _, path in lines for n in path)
+        parts = (n for n in mass if page.names[n] in PART and mass[n] >= 0.9 * total and lines_of[n] > 1)
+        region = max(parts, default=None)
     kept = []
     for (text, _, linked, path), own in zip(lines, size):
         if region is not None and region not in path:
