@@ -14,17 +14,28 @@ from tablewright.llm import language_id, line_dedup, packing, secret_scan, simha
 from tablewright.llm.common import written
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """key, text and row: all columns in one struct, so that no name of theirs can meet one that an operator uses."""
+    return docs.select(F.col("doc_id").alias("key"), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def _unpacked(frame: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again, with `text` as it now is and n_chars, if it is there, its length."""
+    now = {"text": F.col("text"), "n_chars": F.length("text")}
+    return frame.select(*(now.get(f.name, F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no learned language: no text, no letter, or mostly unlike all of them.
 
     Learns from the documents that are not held out. If none has a language, only those without a letter go.
     """
-    told = _named(docs)
-    model = language_id.train(told.filter(~language_id.held_out(F.col("doc_id"))))
+    spoken = docs.select("doc_id", "text", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
+    model = language_id.train(spoken.filter(~language_id.held_out(F.col("doc_id"))))
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    kept = language_id.predict(docs.withColumn("__text", F.col("text")), model, "__text", prefix="__")
-    return kept.filter((F.col("__lang_pred") != language_id.UND) & (F.col("__other") <= 0.5)).select(*_columns(docs))
+    told = language_id.predict(_packed(docs), model)
+    return _unpacked(told.filter((F.col("lang_pred") != language_id.UND) & (F.col("other") <= 0.5)), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +43,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every document stays, also one that has lost all its lines. NULL text stays NULL.
     """
-    done = line_dedup.dedup(docs, "doc_id", "text", counts=False)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*_columns(docs))
+    return _unpacked(line_dedup.dedup(_packed(docs), "key", "text"), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +51,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a word (NULL text too) have the same fingerprint, zero, so one of them stays.
     """
-    return simhash.keep_one(docs, "doc_id", "text").select(*_columns(docs))
+    return _unpacked(simhash.keep_one(_packed(docs), "key", "text"), docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; n_chars follows the text. Every document stays."""
-    found = secret_scan.findings(docs, "text", into="__found")
-    clean = found.withColumn("text", secret_scan.masked(F.col("text"), F.col("__found")))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*_columns(docs))
+    found = secret_scan.findings(_packed(docs), "text")
+    return _unpacked(found.withColumn("text", secret_scan.masked(F.col("text"), F.col("findings"))), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,15 +79,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """doc_id, text and lang of `docs`; a column that isn't there is NULL."""
-    return docs.select(*(F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("doc_id", "text", "lang")))
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
