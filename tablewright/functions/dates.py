@@ -17,11 +17,16 @@ DATE_FORMATS = (
     "MMM d, yyyy",
     "d MMM yyyy",
     "yyyyMMdd",
+    "yyyy-MM-dd[' ']['T']HH:mm[:ss][.SSSSSS][XXX]",
+    "yyyy/MM/dd HH:mm[:ss]",
+    "M/d/yyyy HH:mm[:ss]",
+    "MMMM d, yyyy",
+    "d MMMM yyyy",
 )
 
 
 def parse_timestamp(c: Column, formats: tuple[str, ...] | list[str] = DATE_FORMATS) -> Column:
-    """First format that fits, else NULL. Result has no time zone."""
+    """First format that fits, else NULL. Result has no time zone: a text with one is read in the session's."""
     text = F.trim(c)
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
     return F.coalesce(*tries).cast("timestamp_ntz")

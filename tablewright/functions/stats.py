@@ -1,4 +1,8 @@
-"""Statistics with the bias corrections and null rules the reports use."""
+"""Statistics with the bias corrections and null rules the reports use.
+
+An infinite value leaves spread, skewness, kurtosis and correlation undefined: NULL, never NaN, which Spark would
+order above every number.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 def sample_std(x: str) -> Column:
     """Sample standard deviation of a SQL expression; 0 for a single value, NULL for none."""
-    return F.expr(f"case when count({x}) = 1 then 0D else stddev_samp({x}) end")
+    return F.expr(f"case when count({x}) = 1 then 0D else nanvl(stddev_samp({x}), null) end")
 
 
 def skew(x: str) -> Column:
@@ -16,7 +20,7 @@ def skew(x: str) -> Column:
     corrected = f"try_divide(skewness({x}) * sqrt({n} * ({n} - 1)), {n} - 2)"
     return F.expr(
         f"case when count({x}) = 0 then null when count({x}) >= 3 and stddev_samp({x}) > 0 "
-        f"then coalesce({corrected}, 0D) else 0D end"
+        f"then nanvl(coalesce({corrected}, 0D), null) else 0D end"
     )
 
 
@@ -26,13 +30,13 @@ def excess_kurtosis(x: str) -> Column:
     corrected = f"try_divide({n} - 1, ({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis({x}) + 6)"
     return F.expr(
         f"case when count({x}) = 0 then null when count({x}) >= 4 and stddev_samp({x}) > 0 "
-        f"then coalesce({corrected}, 0D) else 0D end"
+        f"then nanvl(coalesce({corrected}, 0D), null) else 0D end"
     )
 
 
 def pearson(a: str, b: str) -> Column:
     """Correlation over rows where both are present; NULL when a side does not vary (``corr`` would raise)."""
-    return F.expr(f"try_divide(covar_samp({a}, {b}), stddev_samp({a}) * stddev_samp({b}))")
+    return F.expr(f"nanvl(try_divide(covar_samp({a}, {b}), stddev_samp({a}) * stddev_samp({b})), null)")
 
 
 def percent(part: Column, whole: Column) -> Column:

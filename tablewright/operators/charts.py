@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.missing import name_col, number, numeric_columns, present
+from ..functions.missing import name_col, number, numeric_columns, present, quoted
 from ..functions.stats import percent
 from ..functions.text import fixed
-from .ordering import column_fences, exact_quantiles, spread, value_counts, value_positions
+from .ordering import _nothing, column_fences, exact_quantiles, spread, value_counts, value_positions
+from .profile import column_types
 from .statistics import correlations, full_matrix
 
 AGGREGATES = {
@@ -49,13 +50,20 @@ def aggregate(
 def _grouped(df: DataFrame, keys: list[str], metric: str, agg: str) -> DataFrame:
     rows = present(df, [*keys, metric])
     if agg == "Median":
-        q = exact_quantiles(rows, [metric], [0.5], keys)
-        return q.select(*[name_col(k) for k in keys], F.col("quantiles")[0].alias("metric"))
+        apart, own = _apart(rows, keys)
+        q = exact_quantiles(apart, [metric], [0.5], list(own))
+        return q.select(*[F.col(x).alias(k) for x, k in own.items()], F.col("quantiles")[0].alias("metric"))
     v = number(df, metric)
     rows = rows.where(v.isNotNull())
     return rows.groupBy(*[name_col(k) for k in keys]).agg(AGGREGATES[agg](v).alias("metric"))
 
 
+def _apart(df: DataFrame, keys: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with further columns that hold the keys under names of their own, and what those stand for."""
+    own = {f"__key{i}": k for i, k in enumerate(keys)}
+    return (df.withColumns({x: name_col(k) for x, k in own.items()}) if own else df), own
+
+
 def _row_order(by: str, colour: str | None, sort: str) -> list[Column]:
     ties = [name_col(by).asc(), *([name_col(colour).asc()] if colour and colour != by else [])]
     first = {
@@ -124,11 +132,19 @@ def waterfall(df, by, metric=None, agg="Sum", top_n=10) -> DataFrame:
     return rows.unionByName(net)
 
 
-def radar(df: DataFrame, metrics: list[str] | None = None, by: str | None = None, agg: str = "Mean") -> DataFrame:
-    """One row per profile with one column per metric: overall, or for the four most frequent categories."""
-    metrics = _default_metrics(df, metrics, 6)
+def radar(
+    df: DataFrame, metrics: list[str] | None = None, by: str | None = None, agg: str = "Mean", n: int | None = None
+) -> DataFrame:
+    """One row per profile with one column per metric: overall, or for the four most frequent categories.
+
+    The default metrics are all columns that mean numbers, or the first ``n`` of them. With fewer than three metrics
+    all stored numbers are taken instead; a table with fewer than three has no radar, an empty table.
+    """
+    metrics = _default_metrics(df, metrics, n)
+    if len(metrics) < 3:  # too few of those asked for
+        metrics = numeric_columns(df)[:n]
     if len(metrics) < 3:
-        raise ValueError("a radar needs at least three numeric columns")
+        return _nothing(df, [by] if by else [], ", ".join(f"{quoted(m)} double" for m in metrics) or "metric double")
     if by is None:
         return _metric_row(df, [], metrics, agg)
     top = value_counts(df, by).orderBy(F.col("n").desc(), F.col("value")).limit(4)
@@ -136,16 +152,24 @@ def radar(df: DataFrame, metrics: list[str] | None = None, by: str | None = None
     return _metric_row(rows, [by], metrics, agg)
 
 
-def _default_metrics(df: DataFrame, metrics: list[str] | None, n: int) -> list[str]:
-    numeric = numeric_columns(df)
-    return [m for m in metrics if m in numeric] if metrics else numeric[:n]
+def _default_metrics(df: DataFrame, metrics: list[str] | None, n: int | None = None) -> list[str]:
+    """The asked columns that are numbers, else the columns that mean numbers (no IDs, no 0/1 flags): one small job."""
+    stored = numeric_columns(df)
+    if metrics:
+        return [m for m in metrics if m in stored]
+    if not stored:
+        return []
+    typed = column_types(df.select(*[name_col(c) for c in stored])).where(F.col("semantic_type") == "Numeric")
+    return [r["column"] for r in typed.orderBy("position").select("column").collect()][:n]
 
 
 def _metric_row(df: DataFrame, keys: list[str], metrics: list[str], agg: str) -> DataFrame:
     k = [name_col(x) for x in keys]
     if agg == "Median":
-        q = exact_quantiles(df, metrics, [0.5], keys).select(*k, "column", F.col("quantiles")[0].alias("m"))
-        return q.groupBy(*k).pivot("column", metrics).agg(F.first("m"))
+        apart, own = _apart(df, keys)
+        q = exact_quantiles(apart, metrics, [0.5], list(own)).select(*own, "column", F.col("quantiles")[0].alias("m"))
+        wide = q.groupBy(*own).pivot("column", metrics).agg(F.first("m"))
+        return wide.select(*[F.col(x).alias(c) for x, c in own.items()], *[name_col(m) for m in metrics])
     make = AGGREGATES[agg]
     return df.groupBy(*k).agg(*[make(number(df, m)).alias(m) for m in metrics])
 
@@ -158,10 +182,13 @@ def line(df, by, metric=None, agg="Sum", colour=None) -> DataFrame:
 area = step = line
 
 
-def multi_line(df: DataFrame, by: str, metrics: list[str] | None = None, agg: str = "Sum") -> DataFrame:
-    """Up to three default metrics by x."""
+def multi_line(
+    df: DataFrame, by: str, metrics: list[str] | None = None, agg: str = "Sum", n: int | None = None
+) -> DataFrame:
+    """Metrics by x: those asked for, else all columns that mean numbers or the first ``n`` of them."""
     rows = present(df, [by])
-    return _metric_row(rows, [by], _default_metrics(df, metrics, 3), agg).orderBy(name_col(by))
+    chosen = _default_metrics(df, metrics, n)
+    return _metric_row(rows, [by], chosen, agg).orderBy(name_col(by)) if chosen else _nothing(df, [by], "metric double")
 
 
 # --- relationships -------------------------------------------------------------------------------------------
@@ -195,11 +222,13 @@ def trend_line(df: DataFrame, x: str, y: str, colour: str | None = None) -> Data
     return fitted.where(F.col("n") >= 3)
 
 
-def first_points(df: DataFrame, x: str, y: str, order_by: list[str], colour: str | None = None, n: int = 1000) -> DataFrame:
-    """The first ``n`` complete rows, as a dashboard scatter shows them."""
+def first_points(
+    df: DataFrame, x: str, y: str, order_by: list[str], colour: str | None = None, n: int | None = None
+) -> DataFrame:
+    """All complete rows of a dashboard scatter, or the first ``n`` in order."""
     needed = list(dict.fromkeys([*order_by, x, y, *([colour] if colour else [])]))
     rows = present(df.select(*[name_col(c) for c in needed]), [x, y, *([colour] if colour else [])])
-    return rows.orderBy(*[name_col(o) for o in order_by]).limit(n)
+    return rows if n is None else rows.orderBy(*[name_col(o) for o in order_by]).limit(n)
 
 
 def _limits(df: DataFrame, columns: list[str]) -> dict[str, Column]:
@@ -266,8 +295,9 @@ def _groups(by: str | None, colour: str | None) -> list[str]:
 def box(df: DataFrame, metric: str, by: str | None = None, colour: str | None = None) -> DataFrame:
     """Quartiles, fences, whisker ends and outlier count per group."""
     keys = _groups(by, colour)
-    return spread(_box_rows(df, metric, keys), [metric], keys).select(
-        *[name_col(x) for x in keys],
+    rows, own = _apart(_box_rows(df, metric, keys), keys)
+    return spread(rows, [metric], list(own)).select(
+        *[F.col(x).alias(k) for x, k in own.items()],
         F.col("total").alias("n"),
         "q1",
         "median",
@@ -289,14 +319,15 @@ def box_outliers(df: DataFrame, metric: str, by: str | None = None, colour: str
     """The outlier points of a box chart. One group uses a scalar, several an equi-join on the keys."""
     keys = _groups(by, colour)
     rows = _box_rows(df, metric, keys)
-    f = column_fences(rows, [metric], keys)
+    apart, own = _apart(rows, keys)
+    f = column_fences(apart, [metric], list(own))
     if keys:
-        placed = rows.join(f.select(*[name_col(k) for k in keys], "lower", "upper"), keys)
+        placed = apart.join(f.select(*own, F.col("lower").alias("__lower"), F.col("upper").alias("__upper")), list(own))
     else:
         s = f.select(F.struct("lower", "upper").alias("s")).scalar()
-        placed = rows.withColumns({x: s[x] for x in ("lower", "upper")})
+        placed = rows.withColumns({"__lower": s["lower"], "__upper": s["upper"]})
     v = name_col(metric)
-    return placed.where((v < F.col("lower")) | (v > F.col("upper"))).select(*[name_col(c) for c in rows.columns])
+    return placed.where((v < F.col("__lower")) | (v > F.col("__upper"))).select(*[name_col(c) for c in rows.columns])
 
 
 def violin(
@@ -333,7 +364,12 @@ def violin(
 
 
 def ecdf(df: DataFrame, x: str, colour: str | None = None) -> DataFrame:
-    """(colour, value, n, fraction): share of rows at or below each distinct value."""
+    """(colour, value, n, fraction): share of rows at or below each distinct value.
+
+    A colour column with the name of a result column is called ``<name>_group``.
+    """
+    if colour in ("value", "n", "fraction", "column", "below", "total"):  # the result has columns of these names
+        df, colour = df.withColumn(f"{colour}_group", name_col(colour)), f"{colour}_group"
     keys = [colour] if colour else []
     p = value_positions(df, [x], keys)
     fraction = (F.col("below") + F.col("n")).cast("double") / F.col("total")
@@ -396,9 +432,14 @@ def funnel(df, by, metric=None, agg="Sum", top_n=8) -> DataFrame:
     return stages.withColumn("pct_of_first", percent(F.col("metric"), F.max("metric").over(Window.partitionBy())))
 
 
-def heatmap(df: DataFrame, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
-    """Full correlation matrix of up to 12 columns, rounded to two places."""
-    chosen = columns or numeric_columns(df)[:12]
+def heatmap(
+    df: DataFrame, columns: list[str] | None = None, method: str = "pearson", n: int | None = None
+) -> DataFrame:
+    """Full correlation matrix, rounded to two places: of the asked columns, else of all that mean numbers (or ``n``).
+
+    Fewer than two columns have no matrix: an empty table.
+    """
+    chosen = _default_metrics(df, columns, n)
     return full_matrix(correlations(df, chosen, method)).withColumn("r", F.round("r", 2))
 
 

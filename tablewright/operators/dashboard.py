@@ -12,7 +12,7 @@ from ..functions.missing import number, present, value
 from ..functions.stats import percent, settled
 from ..functions.text import fixed
 from .charts import histogram
-from .ordering import exact_quantiles, value_counts
+from .ordering import _nothing, exact_quantiles, value_counts
 from .profile import (
     named,
     _typed,
@@ -131,9 +131,9 @@ def listwise_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return correlations(present(df, columns), columns)
 
 
-def correlation_snapshot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Listwise correlations of up to six columns; the strongest pair is marked."""
-    pairs = listwise_correlations(df, columns[:6])
+def correlation_snapshot(df: DataFrame, columns: list[str], n: int | None = None) -> DataFrame:
+    """Listwise correlations of the columns, or of the first ``n``; the strongest pair is marked."""
+    pairs = listwise_correlations(df, columns[:n])
     order = F.struct(-settled(F.abs("r")), F.col("var1"), F.col("var2"))
     best = pairs.agg(F.min_by(F.struct("var1", "var2"), order)).scalar()
     return pairs.select("var1", "var2", "r", (F.struct("var1", "var2") == best).alias("strongest"))
@@ -165,7 +165,7 @@ def smart_insights(df: DataFrame, layout: Layout | None = None) -> DataFrame:
         widest = usable.orderBy(cv.desc(), "position").limit(1)
         parts.append(widest.select(*_insight("Feature Variability", F.col("column"), F.col("mean"), F.col("std"))))
     if len(numeric) >= 2:
-        pairs = listwise_correlations(df, numeric[:6]).where(F.col("n") > 5)
+        pairs = listwise_correlations(df, numeric).where(F.col("n") > 5)
         best = pairs.orderBy(settled(F.abs("r")).desc(), "var1", "var2").limit(1).where(F.abs("r") >= 0.35)
         title = F.when(F.abs("r") >= 0.65, "Strong Correlation Detected").otherwise("Moderate Relationship")
         pair = F.concat("var1", F.lit(" ↔ "), "var2")
@@ -234,10 +234,11 @@ def time_trend(df: DataFrame, time: str, metric: str | None = None) -> DataFrame
     return joined.select("period", F.coalesce("value", F.lit(0.0)).alias("value")).orderBy("period")
 
 
-def slicer_values(df: DataFrame, column: str, n: int = 40) -> DataFrame:
-    """Up to ``n`` values of a category, as text, in order."""
+def slicer_values(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """The values of a category, as text, in order; all of them, or the first ``n``."""
     text = df.select(value(df, column).cast("string").alias("value")).where(F.col("value").isNotNull())
-    return text.distinct().orderBy("value").limit(n)
+    ordered = text.distinct().orderBy("value")
+    return ordered if n is None else ordered.limit(n)
 
 
 def sliced(df: DataFrame, column: str, choice: str) -> DataFrame:
@@ -333,7 +334,7 @@ def segment_bars(df: DataFrame, layout: Layout | None = None) -> DataFrame:
     """(column, label, records): bars of the three best categories."""
     layout = layout or Layout(df)
     bars = [top_and_other(df, c, 10).select(F.lit(c).alias("column"), "*") for c in layout.categorical[:3]]
-    return reduce(DataFrame.unionByName, bars)
+    return reduce(DataFrame.unionByName, bars) if bars else _nothing(df, [], "column string, label string, records bigint")
 
 
 def driver_cards(df: DataFrame, layout: Layout | None = None) -> DataFrame:
@@ -341,7 +342,7 @@ def driver_cards(df: DataFrame, layout: Layout | None = None) -> DataFrame:
     layout = layout or Layout(df)
     parts = []
     if len(layout.numeric) >= 2:
-        pairs = listwise_correlations(df, layout.numeric[:6])
+        pairs = listwise_correlations(df, layout.numeric)
         best = pairs.orderBy(settled(F.abs("r")).desc(), "var1", "var2").limit(1)
         pair = F.concat("var1", F.lit(" ↔ "), "var2")
         parts.append(best.select(*_card(1, F.lit("Strongest Correlation"), pair, F.col("r"), F.col("n"))))
@@ -358,14 +359,14 @@ def driver_cards(df: DataFrame, layout: Layout | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def anomaly_cards(df: DataFrame, layout: Layout | None = None) -> DataFrame:
-    """Outliers in the five best metrics, missing cells, duplicate rows, quality score.
+def anomaly_cards(df: DataFrame, layout: Layout | None = None, n: int | None = None) -> DataFrame:
+    """Outliers in all metrics (or the ``n`` best), missing cells, duplicate rows, quality score.
 
     Column choice, outliers and score share one profile (a row per column).
     """
     audit = Audit(df)
     layout = layout or Layout(df, audit.profile)
-    columns = layout.numeric[:5]
+    columns = layout.numeric[:n]
     none = F.lit(None)
     parts = []
     if columns:

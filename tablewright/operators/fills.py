@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from ..functions.missing import DATETIME, kind_of, name_col, value
-from .ordering import RANGE, _survey, with_ranges
+from .ordering import RANGE, range_limits, with_ranges
 
 
 def _axis(df: DataFrame, order_by: str) -> Column:
@@ -20,8 +20,8 @@ def _axis(df: DataFrame, order_by: str) -> Column:
     return c.cast("double")
 
 
-# Groups up to this many rows are filled by one ordinary window partition each.
-SMALL_GROUP = 1_000_000
+# Rows that one range of the order axis should hold.
+PER_RANGE = 1_000_000
 
 
 def directional_fill(
@@ -33,24 +33,14 @@ def directional_fill(
 ) -> DataFrame:
     """Replace missing values by the previous (or next) present one in ``order_by`` order.
 
-    ``order_by`` must be a unique, present number, date or timestamp. Where every group is small, each is one
-    window partition. Otherwise, and for a table without groups, the order axis is cut into ranges: each
-    (group, range) first reduces to its last present value per column, those rows carry across ranges, and
-    the window works inside one (group, range), so that no group ends up in one task.
+    ``order_by`` must be a unique, present number, date or timestamp. The order axis is cut into ranges, as many as
+    the rows need: each (group, range) first reduces to its last present value per column, those rows carry across
+    ranges, and the window works inside one (group, range), so that no group ends up in one task.
     """
     part = [name_col(p) for p in (partition_by or [])]
-    if part and _largest_group(df, part) <= SMALL_GROUP:
-        w = _window(part, order_by, backward)
-        return df.withColumns({c: F.last(value(df, c), ignorenulls=True).over(w) for c in columns})
     return _ranged_fill(df, columns, order_by, part, backward)
 
 
-def _largest_group(df: DataFrame, part: list[Column]) -> int:
-    """Rows of the largest group; counts are reduced before the shuffle and one number comes back."""
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-
-
 def _window(part: list[Column], order_by: str, backward: bool) -> WindowSpec:
     order = name_col(order_by).desc() if backward else name_col(order_by).asc()
     return Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -60,9 +50,12 @@ def _ranged_fill(
     df: DataFrame, columns: list[str], order_by: str, part: list[Column], backward: bool
 ) -> DataFrame:
     rows = df.withColumn("__axis", _axis(df, order_by))
-    limits = {"__axis": _survey(rows, {"__axis": F.col("__axis")})["__axis"][1]}
+    limits = {"__axis": range_limits(rows, [F.col("__axis")], PER_RANGE)[0]}
     # One struct as group key: NULL keys compare equal, and join and window share one partitioning.
     group = F.struct(*part) if part else F.struct(F.lit(0))
+    if not limits["__axis"]:  # one range: nothing to carry
+        w = _window([group], order_by, backward)
+        return df.withColumns({c: F.last(value(df, c), ignorenulls=True).over(w) for c in columns})
     rows = with_ranges(rows, limits, {"__axis": RANGE}).drop("__axis").withColumn("__group", group)
     key = ["__group", RANGE]
 

@@ -1,15 +1,16 @@
 """Exact order statistics without sorting a column in one task.
 
 ``percentile``, ``median`` and ``mode`` keep every distinct value of a group in one task's memory, and a
-window without ``partitionBy`` sorts the whole table in one task. Both are fine for a bounded number of
-distinct values only. Here the value axis is cut into ranges first:
+window without ``partitionBy`` sorts the whole table in one task. Here, at every size:
 
-1. one pass per call finds range limits (``approx_percentile``) and an estimate of the distinct values;
-2. equal values are pre-aggregated to (value, count), so a hot value becomes one row;
+1. equal values are counted, so a hot value becomes one row of a table of (value, count);
+2. the value axis is cut into ranges that hold about equally many distinct values, as many as that needs;
 3. the counts per range, a table bounded by groups x ranges, give every range its starting position;
 4. inside a range an ordinary window adds the position of each value.
 
-The limits only decide how work is spread. Any limits give the same, exact result.
+The limits only decide how work is spread. Any limits give the same, exact result. Columns that are added on the way
+have names that begin with two underscores, and group columns take part under such names too, so no name of the
+table can meet them.
 """
 
 from __future__ import annotations
@@ -18,34 +19,46 @@ import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.missing import name_col, number, number_sql, text_literal, value
+from ..functions.missing import name_col, number, number_sql, text_literal, value, value_sql
 
-# Up to this many distinct values a column's value table fits easily in one task.
-SMALL_VALUE_TABLE = 100_000
+# Distinct values that one range should hold.
+PER_RANGE = 100_000
+# One in so many distinct values, by hash, is looked at to place the limits.
+SAMPLED = 64
+PROBES = 1_000
 RANGE = "__range"
 
 
-def _range_count(df: DataFrame) -> int:
-    return min(1000, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def range_limits(df: DataFrame, exprs: list[Column], per_range: int) -> list[list[float]]:
+    """Limits that cut the distinct values of each expression into ranges of about ``per_range``.
 
-
-def _survey(df: DataFrame, exprs: dict[str, Column]) -> dict[str, tuple[int, list[float]]]:
-    """Per expression: estimated distinct values and range limits. One small row comes back.
-
-    Limits come from the values whose hash falls into one of 64 slots: a repeatable sample that is cheap to
-    sketch. Where it holds too few values there are fewer ranges, which only happens to small inputs.
+    They come from the distinct values whose hash falls into one of ``SAMPLED`` slots: a repeatable sample in which a
+    hot value counts once. One row per expression comes back; a column with few values has no limit.
     """
-    pieces = _range_count(df)
-    probs = [i / pieces for i in range(1, pieces)]
-    aggs = []
-    for i, c in enumerate(exprs.values()):
-        sampled = F.when(F.xxhash64(c).bitwiseAND(63) == 0, c)
-        aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
-        aggs.append(F.percentile_approx(sampled, probs, 10 * pieces).alias(f"p{i}"))
-    row = df.agg(*aggs).first()
-    return {name: (row[f"d{i}"], row[f"p{i}"] or []) for i, name in enumerate(exprs)}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, c in enumerate(exprs)])
+    some = df.select(F.inline(cells)).where(F.col("v").isNotNull() & (F.pmod(F.xxhash64("v"), F.lit(SAMPLED)) == 0))
+    sample = some.distinct().groupBy("i")
+
+    def asked(pieces: int) -> dict[int, tuple[int, list[float]]]:
+        probs = [k / pieces for k in range(1, pieces)]
+        rows = sample.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", probs, 10 * pieces).alias("p")).collect()
+        return {r["i"]: (r["n"], r["p"]) for r in rows}
+
+    def needed(n: int) -> int:
+        return math.ceil(n * SAMPLED / per_range)
+
+    found = asked(PROBES)
+    most = max((needed(n) for n, _ in found.values()), default=1)
+    if most > PROBES:
+        found = asked(most)
+    out = []
+    for i in range(len(exprs)):
+        n, limits = found.get(i, (0, []))
+        pieces = min(needed(n), len(limits) + 1)
+        out.append([limits[k * (len(limits) + 1) // pieces - 1] for k in range(1, pieces)])
+    return out
 
 
 def _splits(limits: list[float]) -> list[float]:
@@ -65,25 +78,33 @@ def with_ranges(df: DataFrame, limits: dict[str, list[float]], out: dict[str, st
     return ranged.withColumns({out[n]: F.col(out[n]).cast("int") for n in names})
 
 
-def _counted(df: DataFrame, columns: dict[str, int], by: list[str], limits: dict) -> DataFrame:
-    """(by..., column, __range, value, n): one row per distinct value; ``column`` is the column's number."""
-    wide = df.select(*[name_col(b) for b in by], *[number(df, c).alias(f"__v{i}") for i, c in enumerate(columns)])
-    wide = with_ranges(
-        wide,
-        {f"__v{i}": limits[c] for i, c in enumerate(columns)},
-        {f"__v{i}": f"__r{i}" for i in range(len(columns))},
-    )
-    cells = F.array(
-        *[
-            F.struct(F.lit(place).alias("column"), F.col(f"__r{i}").alias(RANGE), F.col(f"__v{i}").alias("value"))
-            for i, place in enumerate(columns.values())
-        ]
-    )
-    # Both tests are repeated by later joins; having them here keeps one shared exchange of the counts.
-    long = wide.select(*[name_col(b) for b in by], F.inline(cells)).where(
-        F.col("value").isNotNull() & F.col(RANGE).isNotNull()
-    )
-    return long.groupBy(*[name_col(b) for b in by], "column", RANGE, "value").agg(F.count(F.lit(1)).alias("n"))
+def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows with every group key present, and the keys under names of their own."""
+    rows = df.dropna(subset=by) if by else df
+    names = {f"__by{i}": name_col(b) for i, b in enumerate(by)}
+    return rows.withColumns(names) if names else rows, list(names)
+
+
+def _restored(df: DataFrame, by: list[str], *rest: str) -> DataFrame:
+    return df.select(*[F.col(f"__by{i}").alias(b) for i, b in enumerate(by)], *rest)
+
+
+def _counted(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by..., column, value, n, __range): one row per distinct value; ``column`` is the column's number.
+
+    Equal values are counted before the shuffle and after it; only then does each get its range.
+    """
+    cells = [f"named_struct('column', {i}, 'value', {number_sql(df, c)})" for i, c in enumerate(columns)]
+    long = df.select(*by, F.expr(f"inline(array({', '.join(cells)}))")).where("value is not null")
+    counts = long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    limits = range_limits(df, [number(df, c) for c in columns], PER_RANGE)
+    cut = {i: x for i, x in enumerate(limits) if x}
+    if not cut:
+        return counts.withColumn(RANGE, F.lit(0))
+    wide = counts.withColumns({f"__v{i}": F.when(F.col("column") == i, F.col("value")) for i in cut})
+    wide = with_ranges(wide, {f"__v{i}": x for i, x in cut.items()}, {f"__v{i}": f"__r{i}" for i in cut})
+    placed = F.coalesce(*[F.when(F.col("column") == i, F.col(f"__r{i}")) for i in cut], F.lit(0))
+    return wide.select(*by, "column", "value", "n", placed.alias(RANGE))
 
 
 def _starts(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -116,16 +137,18 @@ def value_positions(df: DataFrame, columns: list[str], by: list[str] | None = No
     missing group key do not take part.
     """
     by = list(by or [])
-    df = df.dropna(subset=by) if by else df
-    survey = _survey(df, {c: number(df, c) for c in columns})
-    counts = _counted(df, _numbered(columns), by, {c: survey[c][1] for c in columns})
-    placed = _placed(counts, _starts(counts, by), by)
-    return _titled(placed, columns).select(*[name_col(b) for b in by], "column", "value", "n", "below", "total")
+    rest = ["column", "value", "n", "below", "total"]
+    if not columns:
+        return _nothing(df, by, "column string, value double, n bigint, below bigint, total bigint")
+    rows, keys = _keyed(df, by)
+    counts = _counted(rows, columns, keys)
+    return _restored(_titled(_placed(counts, _starts(counts, keys), keys), columns), by, *rest)
 
 
-def _numbered(columns: list[str]) -> dict[str, int]:
-    """Short keys for columns: grouping and shuffling by a number is cheaper than by a name."""
-    return {c: i for i, c in enumerate(columns)}
+def _nothing(df: DataFrame, by: list[str], rest: str) -> DataFrame:
+    """An empty table with the group columns and further ones."""
+    fields = [T.StructField(b, df.schema[b].dataType) for b in by] + T._parse_datatype_string(rest).fields
+    return df.sparkSession.createDataFrame([], T.StructType(fields))
 
 
 def _titled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -137,47 +160,13 @@ def _titled(df: DataFrame, columns: list[str]) -> DataFrame:
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None
 ) -> DataFrame:
-    """(by..., column, total, quantiles): linear interpolation between neighbours, as in pandas.
-
-    A column whose distinct values fit in one task uses ``percentile``; any other column uses ranges.
-    """
+    """(by..., column, total, quantiles): linear interpolation between neighbours, as in pandas."""
     by = list(by or [])
-    parts = [q for _, q in _quantile_parts(df, columns, probs, by)]
-    return _titled(reduce(DataFrame.unionByName, parts), columns)
-
-
-def _quantile_parts(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str]
-) -> list[tuple[DataFrame, DataFrame]]:
-    """(value counts, quantiles) for the columns with few and for those with many distinct values."""
-    df = df.dropna(subset=by) if by else df
-    survey = _survey(df, {c: number(df, c) for c in columns})
-    places = _numbered(columns)
-    small = {c: i for c, i in places.items() if survey[c][0] <= SMALL_VALUE_TABLE}
-    large = {c: i for c, i in places.items() if survey[c][0] > SMALL_VALUE_TABLE}
-    parts = []
-    if small:
-        counts = _value_table(df, small, by)
-        parts.append((counts, _small_quantiles(counts, probs, by)))
-    if large:
-        counts = _counted(df, large, by, {c: survey[c][1] for c in large})
-        parts.append((counts, _ranged_quantiles(counts, probs, by)))
-    return parts
-
-
-def _value_table(df: DataFrame, columns: dict[str, int], by: list[str]) -> DataFrame:
-    """(by..., column, value, n): equal values counted before and after the shuffle."""
-    cells = [f"named_struct('column', {i}, 'value', {number_sql(df, c)})" for c, i in columns.items()]
-    keys = [name_col(b) for b in by]
-    long = df.select(*keys, F.expr(f"inline(array({', '.join(cells)}))")).where("value is not null")
-    return long.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _small_quantiles(counts: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
-    """``percentile`` over (value, count) pairs: it sees each distinct value once."""
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    grouped = counts.groupBy(*[name_col(b) for b in by], "column")
-    return grouped.agg(F.sum("n").alias("total"), F.percentile("value", wanted, F.col("n")).alias("quantiles"))
+    if not columns:
+        return _nothing(df, by, "column string, total bigint, quantiles array<double>")
+    rows, keys = _keyed(df, by)
+    quantiles = _ranged_quantiles(_counted(rows, columns, keys), probs, keys)
+    return _restored(_titled(quantiles, columns), by, "column", "total", "quantiles")
 
 
 def _ranged_quantiles(counts: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
@@ -234,22 +223,26 @@ def spread(
     Outliers are counted on the value counts that the quantiles are made of, so the data is not read again.
     """
     by = list(by or [])
-    keys = [*by, "column"]
+    measures = ["column", "total", "quantiles", "q1", "median", "q3", "iqr", "lower", "upper"]
+    sides = ["outliers", "min", "max", "inside_low", "inside_high"]
+    if not columns:
+        doubles = ", ".join(f"{c} {'bigint' if c == 'outliers' else 'double'}" for c in [*measures[3:], *sides])
+        return _nothing(df, by, f"column string, total bigint, quantiles array<double>, {doubles}")
+    rows, groups = _keyed(df, by)
+    keys = [*groups, "column"]
     v, n = F.col("value"), F.col("n")
     inside = (v >= F.col("lower")) & (v <= F.col("upper"))
-    parts = []
-    for counts, quantiles in _quantile_parts(df, columns, list(probs), by):
-        f = fences(quantiles, probs)
-        measured = counts.join(f.select(*[name_col(k) for k in keys], "lower", "upper"), keys)
-        sides = measured.groupBy(*[name_col(k) for k in keys]).agg(
-            F.coalesce(F.sum(F.when(~inside, n)), F.lit(0)).alias("outliers"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.min(F.when(inside, v)).alias("inside_low"),
-            F.max(F.when(inside, v)).alias("inside_high"),
-        )
-        parts.append(f.join(sides, keys))
-    return _titled(reduce(DataFrame.unionByName, parts), columns)
+    counts = _counted(rows, columns, groups)
+    f = fences(_ranged_quantiles(counts, list(probs), groups), probs)
+    measured = counts.join(f.select(*keys, "lower", "upper"), keys)
+    outside = measured.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(~inside, n)), F.lit(0)).alias("outliers"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.min(F.when(inside, v)).alias("inside_low"),
+        F.max(F.when(inside, v)).alias("inside_high"),
+    )
+    return _restored(_titled(f.join(outside, keys), columns), by, *measures, *sides)
 
 
 def keyed(df: DataFrame, key: str, *fields: str) -> Column:
@@ -276,26 +269,56 @@ def row_label(name: str) -> Column:
 
 
 def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, distinct, top_value, top_count, low_value, high_value): one narrow scan per column.
+    """(column, distinct, top_value, top_count, low_value, high_value): one scan and one shuffle for all columns.
 
-    Values are shown as text. Ties go to the smallest value. Counting per column keeps the shuffle to that
-    column's distinct values, where one wide ``count(distinct)`` would copy each row once per column.
+    Each row yields one (column number, value) cell per column, and equal cells are counted before the shuffle. A
+    cell keeps a whole number, a floating point number or a text, whichever the column's type is, so numbers are
+    compared as numbers. Values are shown as text. Ties go to the smallest value.
     """
-    parts = []
-    for c in columns:
-        v = value_counts(df, c)
-        best = F.min_by("value", F.struct(-F.col("n"), F.col("value")))
-        parts.append(
-            v.agg(
-                row_label(c).alias("column"),
-                F.count("value").alias("distinct"),
-                best.cast("string").alias("top_value"),
-                F.coalesce(F.max("n"), F.lit(0)).alias("top_count"),
-                F.min("value").cast("string").alias("low_value"),
-                F.max("value").cast("string").alias("high_value"),
-            )
+    if not columns:
+        fields = "column string, distinct bigint, top_value string, top_count bigint, low_value string, high_value string"
+        return _nothing(df, [], fields)
+    cells, single = [], []
+    for i, c in enumerate(columns):
+        dtype, v = df.schema[c].dataType, value_sql(df, c)
+        whole = isinstance(dtype, T.IntegralType)
+        real = isinstance(dtype, (T.FractionalType,))
+        exact = isinstance(dtype, T.DecimalType) or not (whole or real)
+        if isinstance(dtype, T.FloatType):
+            single.append(i)
+        cells.append(
+            f"named_struct('i', {i}, 'whole', {f'cast({v} as bigint)' if whole else 'cast(null as bigint)'}, "
+            f"'real', {f'cast({v} as double)' if real else 'cast(null as double)'}, "
+            f"'text', {f'cast({v} as string)' if exact else 'cast(null as string)'})"
         )
-    return reduce(DataFrame.unionByName, parts)
+    long = df.select(F.expr(f"inline(array({', '.join(cells)}))"))
+    present = long.where("whole is not null or real is not null or text is not null")
+    counts = present.groupBy("i", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+    cell = F.struct("whole", "real", "text")
+    found = counts.groupBy("i").agg(
+        F.count(F.lit(1)).alias("distinct"),
+        F.min_by(cell, F.struct(-F.col("n"), cell.alias("cell"))).alias("top"),
+        F.max("n").alias("top_count"),
+        F.min(cell).alias("low"),
+        F.max(cell).alias("high"),
+    )
+
+    def shown(x: str) -> Column:
+        real = F.col(f"{x}.real")
+        if single:
+            real = F.when(F.col("i").isin(single), real.cast("float").cast("string")).otherwise(real.cast("string"))
+        return F.coalesce(F.col(f"{x}.text"), F.col(f"{x}.whole").cast("string"), real.cast("string"))
+
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"))
+    listed = ", ".join(text_literal(c) for c in columns)
+    return every.join(found, "i", "left").select(
+        F.expr(f"array({listed})[i]").alias("column"),
+        F.coalesce("distinct", F.lit(0)).alias("distinct"),
+        shown("top").alias("top_value"),
+        F.coalesce("top_count", F.lit(0)).alias("top_count"),
+        shown("low").alias("low_value"),
+        shown("high").alias("high_value"),
+    )
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -194,11 +194,11 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
     """Rename; a missing source, a blank name or a name in use is an error."""
     new = str(new).strip()
     if old not in df.columns:
-        raise ValueError(f"Source column '{old}' not found.")
+        raise ValueError(f"no column '{old}' to rename")
     if not new:
-        raise ValueError("New column name cannot be blank.")
+        raise ValueError("a column needs a name")
     if new != old and new in df.columns:
-        raise ValueError(f"A column named '{new}' already exists.")
+        raise ValueError(f"the name '{new}' is taken")
     return df.withColumnRenamed(old, new)
 
 
@@ -237,7 +237,7 @@ def cast_column(df: DataFrame, column: str, target: str, formats: list[str] | No
         else:
             new = parse_timestamp(c.cast("string"), formats or DATE_FORMATS)
     else:
-        raise ValueError(f"Unknown target type: {target}")
+        raise ValueError(f"cannot cast to '{target}'")
     return df.withColumn(column, new)
 
 
@@ -419,15 +419,15 @@ def derive(
     """New column from a and either another column or a constant; a zero divisor gives NULL."""
     new = str(new).strip()
     if not new:
-        raise ValueError("Derived column name cannot be empty.")
+        raise ValueError("the derived column needs a name")
     if new in df.columns:
-        raise ValueError(f"A column named '{new}' already exists.")
+        raise ValueError(f"the name '{new}' is taken")
     if b is not None:
         right = number(df, b)
     elif constant is not None:
         right = F.lit(float(constant))
     else:
-        raise ValueError("Second operand (column or constant value) is required.")
+        raise ValueError("give a second column or a constant")
     left = number(df, a)
     results = {
         "add": lambda: left + right,
@@ -437,7 +437,7 @@ def derive(
         "percentage": lambda: F.try_divide(left, right) * 100,
     }
     if operation not in results:
-        raise ValueError(f"Unsupported operation: {operation}")
+        raise ValueError(f"no operation '{operation}'")
     return df.withColumn(new, results[operation]())
 
 

@@ -250,14 +250,14 @@ def quality_answer(df: DataFrame) -> DataFrame:
     return Audit(df, share=False).breakdown().select("score", "status", *[whole[f].alias(f) for f in fields])
 
 
-def correlation_answer(df: DataFrame) -> DataFrame:
-    """The two strongest positive and negative pairs among the first ten numeric columns."""
-    return strongest_pairs(correlations(df, numeric_columns(df)[:10]), 2)
+def correlation_answer(df: DataFrame, n: int | None = None) -> DataFrame:
+    """The two strongest positive and negative pairs among all numeric columns, or the first ``n``."""
+    return strongest_pairs(correlations(df, numeric_columns(df)[:n]), 2)
 
 
-def outlier_answer(df: DataFrame) -> DataFrame:
-    """Columns with outliers among the first eight numeric ones: count, % and fences."""
-    found = outlier_summary(df, numeric_columns(df)[:8]).where(F.col("outlier_count") > 0)
+def outlier_answer(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Columns with outliers among all numeric ones, or the first ``n``: count, % and fences."""
+    found = outlier_summary(df, numeric_columns(df)[:n]).where(F.col("outlier_count") > 0)
     return found.select("column", "outlier_count", "outlier_pct", "lower", "upper")
 
 

@@ -19,7 +19,7 @@ from ..functions.stats import (
     skew_category,
     skew_label,
 )
-from .ordering import average_ranks, column_fences, exact_quantiles, keyed, spread, top_values, value_counts
+from .ordering import _nothing, average_ranks, column_fences, exact_quantiles, keyed, spread, top_values, value_counts
 from .profile import (
     _described,
     as_timestamp,
@@ -34,7 +34,7 @@ PAIRS_PER_PASS = 400
 
 def summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, median, std, min, quartiles, max, skewness, kurtosis, missing % per numeric column."""
-    columns = columns or numeric_columns(df)
+    columns = columns if columns is not None else numeric_columns(df)
     stats = column_stats(df, columns, numbers=True)
     q = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).select("column", "quantiles")
     return stats.join(q, "column", "left").select(
@@ -98,7 +98,7 @@ def shape_labels(summary_: DataFrame) -> DataFrame:
 
 def correlations(df: DataFrame, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
     """(var1, var2, r, n) for every pair, pairwise complete. Columns without spread have no pair."""
-    columns = columns or numeric_columns(df)
+    columns = columns if columns is not None else numeric_columns(df)
     if method == "spearman":
         return _spearman(df, columns)
     return pair_correlations(df, list(combinations(columns, 2)))
@@ -110,6 +110,8 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     Each row yields one (pair, x, y) per pair; one grouped aggregate with a partial step does the rest. That
     keeps one small aggregate in generated code, where an aggregate with several columns per pair would not.
     """
+    if not pairs:
+        return _nothing(df, [], "var1 string, var2 string, r double, n bigint")
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
@@ -127,6 +129,8 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def _spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson of average ranks. Ranks depend on the pair only where a column has missing values."""
+    if len(columns) < 2:
+        return pair_correlations(df, [])
     counted = df.agg(*[F.count_if(number(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     complete = [c for i, c in enumerate(columns) if counted[f"m{i}"] == 0]
     parts = []
@@ -184,7 +188,7 @@ def _outlier_pct() -> Column:
 
 def outlier_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Fences, outlier count and %, extremes and status per numeric column, most outliers first."""
-    columns = columns or numeric_columns(df)
+    columns = columns if columns is not None else numeric_columns(df)
     measured = _described(df, spread(df, columns).where(F.col("total") >= 4))
     pct = _outlier_pct()
     status = F.when(pct > 5.0, "High Outlier Burden").when(pct > 0.0, "Moderate Outliers").otherwise("Clean")
@@ -207,7 +211,7 @@ def outlier_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def outlier_totals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: total outliers, rate over all present numeric cells, number of affected columns."""
     counted = F.when(F.col("total") >= 4, F.col("outliers")).otherwise(0)
-    totals = spread(df, columns or numeric_columns(df)).agg(
+    totals = spread(df, columns if columns is not None else numeric_columns(df)).agg(
         F.sum(counted).alias("outliers"), F.sum("total").alias("total"), F.count_if(counted > 0).alias("affected")
     )
     return totals.select(
@@ -226,7 +230,7 @@ def outlier_samples(df: DataFrame, columns: list[str], order_by: list[str], n: i
         v, f = value(df, c).cast("double"), fence[c]
         hit = df.where((v < f["lower"]) | (v > f["upper"])).orderBy(*keys).limit(n)
         parts.append(hit.select(F.lit(c).alias("column"), *keys, v.alias("value")))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else _nothing(df, order_by, "column string, value double")
 
 
 # --- one column --------------------------------------------------------------------------------------------
@@ -341,16 +345,16 @@ def findings(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _names(rule: Column, limit: int | None = None) -> Column:
+def _names(rule: Column) -> Column:
     """Names of the profile rows that satisfy a rule, in table order (bounded by the number of columns)."""
     hits = F.array_sort(F.collect_list(F.when(rule, F.struct("position", "column"))))
-    listed = F.transform(hits, lambda x: x["column"])
-    return F.array_join(F.slice(listed, 1, limit) if limit else listed, ", ")
+    return F.array_join(F.transform(hits, lambda x: x["column"]), ", ")
 
 
 def _column_findings(df: DataFrame, numeric: list[str]) -> DataFrame:
     p = column_stats(df, numbers=True).join(top_values(df, df.columns), "column")
     c = F.col
+    # Findings name every column that they count.
     severe, high = c("missing_pct") > 50.0, c("missing_pct") > 20.0
     skewed = (c("kind") == NUMERIC) & (c("non_null") >= 4) & (F.abs("skewness") > 1.5)
     constant = (c("non_null") > 0) & (c("distinct") == 1)
@@ -363,16 +367,16 @@ def _column_findings(df: DataFrame, numeric: list[str]) -> DataFrame:
     order = F.when(skewed, F.struct(F.abs("skewness"), -c("position")))
     agg = p.agg(
         F.count_if(severe).alias("severe"),
-        _names(severe, 3).alias("severe_names"),
+        _names(severe).alias("severe_names"),
         F.count_if(high).alias("high"),
-        _names(high, 3).alias("high_names"),
+        _names(high).alias("high_names"),
         F.count(F.lit(1)).alias("columns"),
         F.max_by("column", order).alias("skew_column"),
         F.max_by("skewness", order).alias("skew_value"),
         F.count_if(constant).alias("constant"),
         _names(constant).alias("constant_names"),
         F.count_if(crowded).alias("crowded"),
-        _names(crowded, 3).alias("crowded_names"),
+        _names(crowded).alias("crowded_names"),
     )
 
     def row(rule: Column, category: str, severity: str, subject: Column, measure: Column) -> Column:

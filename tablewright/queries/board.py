@@ -148,18 +148,27 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("dash_scatter", f"""select l_orderkey, l_linenumber::bigint as l_linenumber, l_partkey, l_suppkey, {r('l_quantity')} as l_quantity, {r('l_extendedprice')} as l_extendedprice
- from {source_sql('lineitem_gaps')} where l_quantity is not null order by 1, 2, 3, 4 limit 1000""")
+ from {source_sql('lineitem_gaps')} where l_quantity is not null""")
 def _(t: Tables) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return C.first_points(t("lineitem_gaps"), "l_quantity", "l_extendedprice", keys)
 
 
-@query("dash_slicer", "select distinct c_mktsegment as value from " + source_sql("customer_gaps") + " where c_mktsegment is not null order by 1 limit 40")
+EIGHT = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("dash_corr_all", f"""with c as ({pairs_sql('lineitem', EIGHT, None)}), b as (select var1 as v1, var2 as v2 from c order by round(abs(r), 9) desc, var1, var2 limit 1)
+ select var1, var2, {r('r')} as r, var1 = v1 and var2 = v2 as strongest from c, b""")
+def _(t: Tables) -> DataFrame:
+    return B.correlation_snapshot(t("lineitem"), EIGHT)
+
+
+@query("dash_slicer", "select distinct c_mktsegment as value from " + source_sql("customer_gaps") + " where c_mktsegment is not null")
 def _(t: Tables) -> DataFrame:
     return B.slicer_values(t("customer_gaps"), "c_mktsegment")
 
 
-@query("dash_slicer_numbers", "select distinct o_custkey::varchar as value from orders order by 1 limit 40")
+@query("dash_slicer_numbers", "select distinct o_custkey::varchar as value from orders")
 def _(t: Tables) -> DataFrame:
     return B.slicer_values(t("orders"), "o_custkey")
 

@@ -312,7 +312,33 @@ NUMBERS = [c for c, k in LINEITEM if k == "numeric"]
 
 @query("chart_heatmap", matrix_sql("lineitem", NUMBERS), digits=2)
 def _(t: Tables) -> DataFrame:
-    return C.heatmap(t("lineitem"))
+    return C.heatmap(t("lineitem"), NUMBERS)
+
+
+# Of the events' numbers only the value, and what is made of it, means a number; event_id and user_id are keys.
+MEASURED = "(select event_id, user_id, value, value * value as squared, event_id * 0.5 + value as drift from events)"
+
+
+@query("chart_heatmap_default", matrix_sql(MEASURED, ["value", "squared", "drift"]), digits=2)
+def _(t: Tables) -> DataFrame:
+    return C.heatmap(t("events").selectExpr("event_id", "user_id", "value", "value * value as squared", "event_id * 0.5D + value as drift"))
+
+
+@query("chart_radar_default", f"select event_type, {r('avg(value)')} as value, {r('avg(value * value)')} as squared, {r('avg(event_id * 0.5 + value)')} as drift from events where event_type in (select event_type from events group by 1 order by count(*) desc, 1 limit 4) group by 1")
+def _(t: Tables) -> DataFrame:
+    made = t("events").selectExpr("event_id", "user_id", "event_type", "value", "value * value as squared", "event_id * 0.5D + value as drift")
+    return C.radar(made, None, "event_type")
+
+
+@query("chart_ecdf_by_value", f"""select {r('value')} as value_group, {r('age')} as value, n, {r('sum(n) over (partition by value order by age) / sum(n) over (partition by value)', 6)} as fraction
+ from (select round(value) as value, event_id % 7 as age, count(*) as n from events group by 1, 2)""", digits=6)
+def _(t: Tables) -> DataFrame:
+    return C.ecdf(t("events").selectExpr("round(value) as value", "event_id % 7 as age"), "age", "value")
+
+
+@query("agg_median_by_value", f"select {r('value')} as value, {r(q('age', 0.5))} as metric from (select round(value) as value, event_id % 7 as age from events) group by 1")
+def _(t: Tables) -> DataFrame:
+    return C.aggregate(t("events").selectExpr("round(value) as value", "event_id % 7 as age"), "value", "age", "Median", top_n=None)
 
 
 def gauge_sql(agg: str) -> str:

@@ -86,6 +86,12 @@ def spearman_sql(source: str, a: str, b: str) -> str:
 
 
 RANKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+EVERY = [c for c, k in LINEITEM if k == "numeric"]
+
+
+@query("corr_spearman_all", " union all ".join(spearman_sql("lineitem", a, b) for a, b in combinations(EVERY, 2)))
+def _(t: Tables) -> DataFrame:
+    return A.correlations(t("lineitem"), method="spearman")
 
 
 @query("corr_spearman", " union all ".join(spearman_sql("lineitem", a, b) for a, b in combinations(RANKED, 2)))
@@ -208,7 +214,7 @@ def findings_sql(source: str, columns: list[tuple[str, str]]) -> str:
     numeric = [c for c, k in columns if k == "numeric"]
     src = source_sql(source)
     crowded = f"non_null > 30 and distinct_ <> 1 and {pct('distinct_', 'non_null')} > 85 and kind <> 'numeric'"
-    first3 = "(select string_agg(col, ', ' order by position) from (select col, position from p where {0} order by position limit 3))"
+    first3 = "(select string_agg(col, ', ' order by position) from (select col, position from p where {0}))"
     corr = (
         f", c as ({pairs_sql(src, numeric, None)})" if len(numeric) >= 2 else ", c as (select '' as var1, '' as var2, null::double as r where false)"
     )
@@ -304,3 +310,32 @@ def _(t: Tables) -> DataFrame:
 @query("inv_confidence_bins", confidence_sql("part", "p_retailprice", f"select mean as m from ({bins_sql('part', 'p_retailprice', 'p_partkey')})", ["p_partkey", "p_size"]))
 def _(t: Tables) -> DataFrame:
     return I.confidence(t("part"), "p_retailprice", "p_partkey")
+
+
+# --- infinite values ---------------------------------------------------------------------------------------------------
+INFINITE = "(select l_orderkey, l_quantity, l_extendedprice, case when l_orderkey % 1000 = 1 then cast('Infinity' as double) when l_orderkey % 1000 = 2 then cast('-Infinity' as double) else l_tax end as l_tax from lineitem)"
+FINITE = ["l_orderkey", "l_quantity", "l_extendedprice"]
+
+
+def _infinite(t: Tables) -> DataFrame:
+    tax = "case when l_orderkey % 1000 = 1 then double('Infinity') when l_orderkey % 1000 = 2 then double('-Infinity') else l_tax end as l_tax"
+    return t("lineitem").selectExpr(*FINITE, tax)
+
+
+@query("corr_infinite", pairs_sql("lineitem", FINITE, 4))
+def _(t: Tables) -> DataFrame:
+    return A.correlations(_infinite(t))
+
+
+@query("eda_shape_infinite", " union all ".join(
+    f"""select '{c}' as "column", {r(skew0(c)) if c in FINITE else 'null::double'} as skewness, {r(kurt0(c)) if c in FINITE else 'null::double'} as kurtosis,
+ {r(std0(f'cast({c} as double)')) if c in FINITE else 'null::double'} as std {'from lineitem' if c in FINITE else ''}""" for c in [*FINITE, "l_tax"]))
+def _(t: Tables) -> DataFrame:
+    return A.summary(_infinite(t)).select("column", "skewness", "kurtosis", "std")
+
+
+@query("eda_findings_infinite", """select 'Completeness' as category, 'POSITIVE' as severity, 'all columns' as subject, 4.0::double as measure
+ union all select * from (select 'Uniqueness', 'DUPLICATES', (count(*) - count(distinct (l_orderkey, l_quantity, l_extendedprice, l_tax)))::varchar,
+ (count(*) - count(distinct (l_orderkey, l_quantity, l_extendedprice, l_tax))) * 100.0 / count(*) as m from """ + INFINITE + """) where m > 0""")
+def _(t: Tables) -> DataFrame:
+    return A.findings(_infinite(t))

@@ -223,14 +223,25 @@ _filter(
 )
 
 
-@query("sort_rows", f"select row_number() over () as place, * from ({row(LINE, GAPS, 'order by l_returnflag desc nulls last, l_quantity asc nulls last, l_orderkey, l_linenumber, l_partkey, l_suppkey limit 100')})")
+@query("sort_rows", row(LINE, GAPS))
 def _(t: Tables) -> DataFrame:
     keys = ["l_returnflag", "l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    top = R.sort_rows(t("lineitem_gaps"), keys, [False, True]).limit(100)
-    from pyspark.sql import Window
+    return R.sort_rows(t("lineitem_gaps"), keys, [False, True])
 
-    order = [F.col("l_returnflag").desc_nulls_last(), F.col("l_quantity").asc_nulls_last(), *keys[2:]]
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+MIXED = {
+    0: ("date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss.SSS\")", "o_orderdate"),
+    1: ("date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")", "o_orderdate"),
+    2: ("date_format(o_orderdate, 'MMMM d, yyyy')", "date_trunc('day', o_orderdate)"),
+    3: ("date_format(o_orderdate, 'M/d/yyyy HH:mm')", "date_trunc('minute', o_orderdate)"),
+    4: ("'no date'", "null::timestamp"),
+}
+
+
+@query("prep_cast_datetime_mixed", f"select o_orderkey, {ts('case ' + ' '.join(f'when o_orderkey % 5 = {k} then {x[1]}' for k, x in MIXED.items()) + ' end')} as day from orders")
+def _(t: Tables) -> DataFrame:
+    text = "case " + " ".join(f"when o_orderkey % 5 = {k} then {x[0]}" for k, x in MIXED.items()) + " end"
+    return R.cast_column(t("orders").selectExpr("o_orderkey", f"{text} as day"), "day", "Datetime")
 
 
 # --- outliers --------------------------------------------------------------------------------------------------------

@@ -63,6 +63,27 @@ def _(t: Tables) -> DataFrame:
     return S.load_table(t.spark, path, padded.schema)
 
 
+@query("src_csv_roundtrip_documents", f"select doc_id, text, lang, source, {i('n_chars')} as n_chars from documents")
+def _(t: Tables) -> DataFrame:
+    documents = t("documents")
+    path = scratch_folder(t.spark) + ".csv"
+    S.write_csv(documents, path)
+    return S.load_table(t.spark, path, documents.schema)
+
+
+DATE_TEXTS = {
+    "fraction": "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss.SSS')", "zoned": "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
+    "offset": "concat(date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\"), '+02:00')", "month": "date_format(o_orderdate, 'MMMM d, yyyy')",
+    "slashed": "date_format(o_orderdate, 'M/d/yyyy HH:mm')", "padded": "concat(repeat(' ', 40), date_format(o_orderdate, 'yyyy-MM-dd'), '   ')",
+}
+
+
+@query("profile_types_date_texts", " union all ".join(f"select {n}::bigint as position, '{c}' as \"column\", count(*) as non_null, 'Date/Time' as semantic_type from orders" for n, c in enumerate(DATE_TEXTS)))
+def _(t: Tables) -> DataFrame:
+    texts = t("orders").selectExpr(*[f"{x} as {c}" for c, x in DATE_TEXTS.items()])
+    return P.column_types(texts).select("position", "column", "non_null", "semantic_type")
+
+
 @query("src_validate", """select 'orders' as source, true as usable, '' as message
  union all select 'empty', false, 'The dataset has no data rows.'""")
 def _(t: Tables) -> DataFrame:

@@ -46,27 +46,36 @@ def _encoding(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if broken else "UTF-8"
 
 
+def _breaks(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether some quoted field holds a line break: then a line has an odd number of quotes."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(lines.where(quotes % 2 == 1).head(1))
+
+
 def load_csv(
     spark: SparkSession,
     paths: str | list[str],
     schema: T.StructType | None = None,
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read CSV files with a header.
 
     Encoding and separator are found for each given path; paths that agree are read together and the groups
-    are united by column name. Give ``schema`` and ``encoding`` for large inputs: finding either reads the
-    data once more. ``multi_line`` allows line breaks inside quotes; such a file cannot be split between tasks.
+    are united by column name. Give ``schema``, ``encoding`` and ``multi_line`` for large inputs: finding any of them
+    reads the data once more. ``multi_line`` allows line breaks inside quotes; such a file cannot be split between
+    tasks, so by default only paths that hold such a break are read that way.
     """
-    groups: dict[tuple[str, str], list[str]] = {}
+    groups: dict[tuple[str, str, bool], list[str]] = {}
     for path in [paths] if isinstance(paths, str) else paths:
         found = encoding or _encoding(spark, path)
-        groups.setdefault((found, _separator(_header(spark, [path], found))), []).append(path)
+        broken = _breaks(spark, path, found) if multi_line is None else multi_line
+        groups.setdefault((found, _separator(_header(spark, [path], found)), broken), []).append(path)
     parts = []
-    for (found, sep), members in groups.items():
+    for (found, sep, broken), members in groups.items():
         reader = spark.read.option("header", True).option("encoding", found).option("sep", sep)
-        reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+        reader = reader.option("quote", '"').option("escape", '"').option("multiLine", broken)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         parts.append(trim_names(reader.csv(members)))
     df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
@@ -76,11 +85,13 @@ def load_csv(
     return df
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read a file or directory by its extension."""
+def load_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool | None = None
+) -> DataFrame:
+    """Read a file or directory by its extension. ``multi_line`` is for CSV, as in ``load_csv``."""
     extension = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
     if extension in ("csv", "tsv", "txt"):
-        return load_csv(spark, path, schema)
+        return load_csv(spark, path, schema, multi_line=multi_line)
     if extension not in ("parquet", "json", "orc"):
         raise TableError(f"Unsupported file format: '{extension}'. Supported: csv, tsv, txt, parquet, json, orc.")
     reader = spark.read.schema(schema) if schema is not None else spark.read

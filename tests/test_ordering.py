@@ -1,4 +1,4 @@
-"""Order statistics and fills on skewed data, with the small-data shortcuts switched off, against pandas."""
+"""Order statistics and fills on skewed data, in one range and in many, against pandas."""
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,9 @@ from tablewright.operators import charts, fills, ordering, statistics
 @pytest.fixture(params=["small", "ranged"])
 def path(request, monkeypatch):
     if request.param == "ranged":
-        monkeypatch.setattr(ordering, "SMALL_VALUE_TABLE", 0)
-        monkeypatch.setattr(fills, "SMALL_GROUP", 0)
+        monkeypatch.setattr(ordering, "PER_RANGE", 50)
+        monkeypatch.setattr(ordering, "SAMPLED", 4)
+        monkeypatch.setattr(fills, "PER_RANGE", 50)
     return request.param
 
 
@@ -108,7 +109,8 @@ def test_fill(path, data, by, backward):
 
 
 def test_fill_by_time(spark, monkeypatch):
-    monkeypatch.setattr(fills, "SMALL_GROUP", 0)
+    monkeypatch.setattr(fills, "PER_RANGE", 50)
+    monkeypatch.setattr(ordering, "SAMPLED", 2)
     df = spark.range(500).select(
         F.col("id"),
         F.expr("timestamp_ntz'2024-03-30 20:00:00' + make_dt_interval(0, 0, cast(id as int) * 7, 0.5)").alias("at"),

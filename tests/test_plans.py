@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import charts, ordering, preparation, profile, quality, usage
+from tablewright.operators import charts, fills, ordering, preparation, profile, quality, usage
 
 LINES = "/root/testdata/sf0.001/lineitem.parquet"
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -53,7 +53,8 @@ def test_period_filter_reaches_the_scan(spark):
 
 
 def test_no_window_over_the_whole_table(lines, monkeypatch):
-    monkeypatch.setattr(ordering, "SMALL_VALUE_TABLE", 0)
+    monkeypatch.setattr(ordering, "PER_RANGE", 500)
+    monkeypatch.setattr(fills, "PER_RANGE", 500)
     for df in (
         ordering.value_positions(lines, ["l_extendedprice"]),
         ordering.spread(lines, ["l_extendedprice", "l_quantity"]),
@@ -71,7 +72,6 @@ def test_no_window_over_the_whole_table(lines, monkeypatch):
 
 
 def test_counts_are_shuffled_once(lines, monkeypatch):
-    monkeypatch.setattr(ordering, "SMALL_VALUE_TABLE", 0)
     df = ordering.spread(lines, ["l_extendedprice"])
     df.collect()
     final = plan(df).split("== Initial Plan ==")[0]
@@ -79,9 +79,24 @@ def test_counts_are_shuffled_once(lines, monkeypatch):
     assert "ReusedExchange" in final
 
 
-def test_profile_reads_each_column_narrowly(lines):
+def test_value_counts_read_the_table_once(lines, spark):
     schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan(ordering.top_values(lines, ["l_tax", "l_linestatus"])))
-    assert schemas == ["l_tax:double", "l_linestatus:string"]
+    assert schemas == ["l_tax:double,l_linestatus:string"]
+    wide = lines.select(*[F.col("l_tax").alias(f"c{i}") for i in range(60)])
+    assert plan(profile.column_types(wide)).count("FileScan") <= 3
+
+
+def test_ranges_hold_about_equally_many_distinct_values(spark, monkeypatch):
+    """97 % of the rows lie on 2 % of the values."""
+    monkeypatch.setattr(ordering, "PER_RANGE", 5_000)
+    hot = spark.range(970_000).select((F.col("id") % 2_000).cast("double").alias("v"))
+    df = hot.unionByName(spark.range(98_000).select((F.col("id") + 10_000).cast("double").alias("v")))
+    sizes = [r["count"] for r in ordering._counted(df, ["v"], []).groupBy("__range").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 4 * sum(sizes) / len(sizes)
+
+
+def test_copies_are_counted_without_shuffling_rows(lines):
+    assert "l_shipdate" not in re.sub(r"FileScan.*", "", plan(profile.duplicate_summary(lines)).split("Exchange")[0])
 
 
 def test_fill_is_one_plan_with_a_scalar(lines):

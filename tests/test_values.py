@@ -338,3 +338,41 @@ def test_pipeline(gaps):
     assert [r["columns_after"] for r in log] == [4, 3]
     assert log[0]["score_delta"] > 0
     assert plan.undo().result().columns == gaps.columns
+
+
+@pytest.mark.parametrize("schema", ["category string, label string", "val double, category string"])
+def test_no_or_one_numeric_column(frame, schema):
+    """Nothing to correlate or to summarise gives empty tables, not errors."""
+    from tablewright.operators import charts as C, dashboard as B, questions as K
+
+    rows = [("a", "x")] * 5 if "label" in schema else [(1.0, "x"), (2.0, "x"), (3.0, "y"), (4.0, None), (5.0, "y")]
+    df = frame(rows, schema)
+    one = 0 if "label" in schema else 1
+    for pairs in (A.correlations(df), A.correlations(df, method="spearman"), C.heatmap(df), K.correlation_answer(df), C.radar(df)):
+        assert pairs.collect() == []
+    assert A.summary(df).count() == A.outlier_summary(df).count() == P.describe_numeric(df).count() == one
+    assert K.outlier_answer(df).collect() == []
+    assert P.describe_categorical(df.select(df.columns[0])).count() == 1 - one
+    assert P.describe_dates(df).collect() == []
+    assert B.segment_bars(frame([(1.0,)], "v double")).collect() == []
+    assert A.findings(df).count() >= 1
+
+
+def test_infinity_is_no_spread(frame):
+    df = frame([(float(i), float(i * i), float("inf") if i == 3 else float(i)) for i in range(40)], "a double, b double, c double")
+    assert [(r["var1"], r["var2"]) for r in A.strongest_pairs(A.correlations(df)).collect()] == [("a", "b")]
+    shape = {r["column"]: r["skew_label"] for r in A.shape_labels(A.summary(df)).collect()}
+    assert shape["c"] == "Undefined"
+    assert not any("c" == r["subject"] for r in A.findings(df).collect() if r["category"] == "Distribution")
+
+
+def test_group_column_with_a_reserved_name(frame):
+    from tablewright.operators import charts as C
+
+    df = frame([(1, 1.0), (1, 3.0), (2, 5.0)], "value int, x double")
+    assert {r["value"]: r["metric"] for r in C.aggregate(df, "value", "x", "Median").collect()} == {1: 2.0, 2: 5.0}
+    assert {r["value"]: r["median"] for r in C.box(df, "x", "value").collect()} == {1: 2.0, 2: 5.0}
+    assert {(r["value_group"], r["value"]) for r in C.ecdf(df, "x", "value").collect()} == {(1, 1.0), (1, 3.0), (2, 5.0)}
+    for name in ("column", "n", "total", "start", "size"):
+        got = C.box(df.withColumnRenamed("value", name), "x", name) if name not in ("n",) else C.aggregate(df.withColumnRenamed("value", name), name, "x", "Median")
+        assert got.count() == 2
