@@ -29,7 +29,9 @@ CATEGORY_WORDS = (
     "category sub_category status region segment tier plan type group channel country state city "
     "department division gender role industry level stage"
 )
-TARGET_PARTS = "revenue sales profit price amount target churn label income cost salary spend".split()
+TARGET_PARTS = (
+    "revenue", "sales", "profit", "price", "amount", "target", "churn", "label", "income", "cost", "salary", "spend",
+)
 FINANCIAL_PARTS = "salary income revenue price amount cost spend".split()
 SUM_PARTS = "sales revenue profit amount volume mrr arr spend cost total quantity".split()
 

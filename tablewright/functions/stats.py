@@ -56,6 +56,9 @@ def tiers(c: Column, *steps: tuple[float, str], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
+# The labels and categories below, and their limits.
+
+
 def skew_label(c: Column) -> Column:
     return (
         F.when(c.isNull(), "Undefined")

@@ -1,4 +1,7 @@
-"""Observations about a chart's table: label, subject, value and a second number."""
+"""Observations about a chart's table: label, subject, value and a second number.
+
+The labels are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -36,6 +36,7 @@ from .profile import column_counts, column_stats, duplicate_summary
 def missing_summary(df: DataFrame) -> DataFrame:
     """(column, dtype, missing, missing_pct, advice) per column."""
     c = F.col
+    # The advice texts.
     advice = (
         F.when(c("missing") == 0, "Complete (No Action Needed)")
         .when(c("missing_pct") > 70.0, "Consider Dropping Column (>70% missing)")

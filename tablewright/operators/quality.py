@@ -229,6 +229,7 @@ def _validity_findings(df: DataFrame) -> list[Column]:
     blank_severity = F.when(percent(c("blank"), rows) < 5, "LOW").otherwise("MEDIUM")
     negative_severity = F.when(F.lower("column").contains("age"), "HIGH").otherwise("MEDIUM")
     any_column = F.lit(True)
+    # Names and severities of the issues.
     return [
         found("Whitespace / Blank Strings", c("blank"), blank_severity, any_column),
         found("Infinite Numeric Values", c("infinite"), F.lit("HIGH"), any_column),

@@ -14,10 +14,9 @@ from .quality import Audit
 from .statistics import correlations, outlier_summary, strongest_pairs
 
 # The phrases of each kind of question, in the order they are tried.
-GREETINGS = (
-    "hi hii hiii hello hey heyy namaste hola greetings".split()
-    + ["good morning", "good afternoon", "good evening"]
-)
+GREETINGS = [
+    "hi", "hii", "hiii", "hello", "hey", "heyy", "namaste", "hola", "greetings", "good morning", "good afternoon", "good evening",
+]
 PHRASES: dict[str, list[str]] = {
     "help": ["help", "what can you do", "who are you", "how to use", "what are you"],
     "schema": [

@@ -334,6 +334,15 @@ def _(t: Tables) -> DataFrame:
     return A.summary(_infinite(t)).select("column", "skewness", "kurtosis", "std")
 
 
+@query("prep_missing_summary_infinite", """select col as "column", 0.0::double as missing_pct, 'Complete (No Action Needed)' as advice from (select unnest(['l_orderkey', 'l_quantity', 'l_extendedprice']) as col)
+ union all select 'l_tax', round(count(*) filter (where l_orderkey % 3 = 0) * 100.0 / count(*), 2), 'Fill with Mean or Median' from lineitem""", digits=2)
+def _(t: Tables) -> DataFrame:
+    from ..operators.preparation import missing_summary
+
+    gaps = _infinite(t).withColumn("l_tax", F.when(F.col("l_orderkey") % 3 != 0, F.col("l_tax")))
+    return missing_summary(gaps).select("column", "missing_pct", "advice")
+
+
 @query("eda_findings_infinite", """select 'Completeness' as category, 'POSITIVE' as severity, 'all columns' as subject, 4.0::double as measure
  union all select * from (select 'Uniqueness', 'DUPLICATES', (count(*) - count(distinct (l_orderkey, l_quantity, l_extendedprice, l_tax)))::varchar,
  (count(*) - count(distinct (l_orderkey, l_quantity, l_extendedprice, l_tax))) * 100.0 / count(*) as m from """ + INFINITE + """) where m > 0""")
