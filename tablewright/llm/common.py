@@ -57,10 +57,5 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
         return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def text_key(text: Column) -> Column:
-    """128 bits that stand for a text (NULL like empty)."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-
-
 def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
