@@ -29,17 +29,29 @@ from tablewright.llm.simhash import Forest
 BLOCK = 1024
 LEAF = 48
 SLACK = 1e-9
+#: Trees that a task keeps for its next pairs of blocks.
+TREES = 16
 
 
 class Node:
-    __slots__ = ("centre", "radius", "members", "children")
+    """`radius` is the largest distance of a member to the centre. Of the children: centres, radii, whether single."""
+
+    __slots__ = ("centre", "radius", "members", "children", "centres", "radii", "single")
 
     def __init__(self, centre: int, radius: float, members: np.ndarray):
-        self.centre, self.radius, self.members, self.children = centre, radius, members, ()
+        self.centre, self.radius, self.members = centre, radius, members
+        self.have([])
+
+    def have(self, children: list[Node]) -> None:
+        self.children = children
+        own = children or [self]
+        self.centres = np.array([c.centre for c in own])
+        self.radii = np.array([c.radius for c in own])
+        self.single = np.array([len(c.members) == 1 for c in own])
 
 
 def build(vectors: np.ndarray, leaf: int = LEAF) -> Node:
-    """Cover tree of unit vectors (rows). `radius` of a node is the largest distance of a member to its centre."""
+    """Cover tree of unit vectors (rows)."""
 
     def distances(centre: int, members: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2 - 2 * (vectors[members] @ vectors[centre])))
@@ -66,36 +78,52 @@ def build(vectors: np.ndarray, leaf: int = LEAF) -> Node:
                 break
             centre = int(members[0])
             far = distances(centre, members)
-        node.children = children
+        node.have(children)
     return root
 
 
 def traverse(a: Node, va: np.ndarray, b: Node, vb: np.ndarray, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i of va, j of vb) of all pairs with at least `cosine`. same: the trees are one, each pair comes once."""
+    """Rows (i of va, j of vb) of all pairs with at least `cosine`. same: the trees are one, each pair comes once.
+
+    A step takes two nodes down to their children at once, with one product of the children's centres.
+    """
     most = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
-        if same and x is y:
-            if not x.children:
-                close = va[x.members] @ va[x.members].T >= cosine
-                i, j = np.nonzero(np.triu(close, 1))
-                if len(i):
-                    yield x.members[i], x.members[j]
-            else:
-                todo += [(p, q) for k, p in enumerate(x.children) for q in x.children[k:]]
-            continue
-        apart = math.sqrt(max(0.0, 2 - 2 * float(va[x.centre] @ vb[y.centre])))
-        if apart - x.radius - y.radius > most:
-            continue
+        own = same and x is y
         if not x.children and not y.children:
-            i, j = np.nonzero(va[x.members] @ vb[y.members].T >= cosine)
+            close = va[x.members] @ vb[y.members].T >= cosine
+            i, j = np.nonzero(np.triu(close, 1) if own else close)
             if len(i):
                 yield x.members[i], y.members[j]
-        elif y.children and (not x.children or y.radius > x.radius):
-            todo += [(x, q) for q in y.children]
-        else:
-            todo += [(p, y) for p in x.children]
+            continue
+        dots = va[x.centres] @ vb[y.centres].T
+        near = np.sqrt(np.maximum(0.0, 2 - 2 * dots)) <= x.radii[:, None] + y.radii[None, :] + most
+        if own:
+            near = np.triu(near)
+        alone = x.single[:, None] & y.single[None, :]
+        i, j = np.nonzero(near & alone & (dots >= cosine))
+        if own:
+            i, j = i[i != j], j[i != j]
+        if len(i):
+            yield x.centres[i], y.centres[j]
+        xs, ys = x.children or [x], y.children or [y]
+        rest = near & ~alone
+        ends = np.array([not c.children for c in ys])
+        for i in np.flatnonzero(rest.any(1)).tolist():
+            row = rest[i]
+            if not xs[i].children:  # all leaves that are near this one, in one product
+                leaves = [ys[j].members for j in np.flatnonzero(row & ends).tolist() if not (own and i == j)]
+                row = row & ~ends
+                if own and rest[i, i]:
+                    row[i] = True
+                if leaves:
+                    members = np.concatenate(leaves)
+                    p, q = np.nonzero(va[xs[i].members] @ vb[members].T >= cosine)
+                    if len(p):
+                        yield xs[i].members[p], members[q]
+            todo += [(xs[i], ys[j]) for j in np.flatnonzero(row).tolist()]
 
 
 def usable(vector) -> F.Column:
@@ -150,17 +178,25 @@ def _work(pairs: DataFrame, cosine: float) -> DataFrame:
     """(node, links, root) for each vector with a link in a pair of blocks; links counts copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[int, tuple[np.ndarray, Node]] = {}
+
+        def tree_of(block: int, packed: bytes, d: int) -> tuple[np.ndarray, Node]:
+            if block not in trees:
+                if len(trees) >= TREES:
+                    trees.pop(next(iter(trees)))
+                vectors = np.frombuffer(packed).reshape(-1, d)
+                trees[block] = vectors, build(vectors)
+            return trees[block]
+
         for batch in batches:
             for first, second, d, na, ca, xa, nb, cb, xb in zip(*(c.to_pylist() for c in batch.columns)):
                 same = first == second
                 nodes, copies = np.frombuffer(na, np.int64), np.frombuffer(ca, np.int64)
-                va = np.frombuffer(xa).reshape(-1, d)
-                tree = build(va)
+                va, tree = tree_of(first, xa, d)
                 if same:
                     vb, other, shift = va, tree, 0
                 else:
-                    vb = np.frombuffer(xb).reshape(-1, d)
-                    other, shift = build(vb), len(nodes)
+                    (vb, other), shift = tree_of(second, xb, d), len(nodes)
                     nodes = np.concatenate([nodes, np.frombuffer(nb, np.int64)])
                     copies = np.concatenate([copies, np.frombuffer(cb, np.int64)])
                 forest, links = Forest(len(nodes)), np.zeros(len(nodes), np.int64)
