@@ -116,5 +116,42 @@ QUERIES: dict[str, Query] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-#: None of these can be said in SQL as a whole (learned models, tokens, XXH64, graphs); brute force tests them.
-ORACLES: dict[str, str] = {}
+#: For the secret kinds, in their order: pattern, and the least length of group 2.
+SQL_RULES = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", "AKIA[A-Z0-9]{16,}", 0),
+    ("hex", "[0-9a-f]{24,}", 0),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
+)
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for rank, (kind, pattern, least) in enumerate(SQL_RULES):
+        p = "'" + pattern.replace("'", "''") + "'"
+        long = f"length(regexp_extract(m[i], {p}, 2)) >= {least}" if least else "true"
+        parts.append(
+            f"select doc_id, row, {rank} as rank, '{kind}' as kind, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint as start, length(m[i]) as n"
+            f" from (select *, unnest(range(1, len(m) + 1)) as i from (select doc_id, row, regexp_extract_all(text, {p}) as m, string_split_regex(text, {p}) as g from t where regexp_matches(text, {p}))) where {long}"
+        )
+    listed = "string_agg(kind || ':' || start || ':' || (start + n), ',' order by start, rank)"
+    counts = ", ".join(f"count(*) filter (where rank = {k})::bigint as n_{kind}" for k, (kind, _, _) in enumerate(SQL_RULES[:3]))
+    return (
+        f"with t as (select doc_id, row_number() over () as row, coalesce(text, '') as text from documents), s as ({' union all '.join(parts)}),"
+        f" a as (select row, {counts}, {listed} as spans, {listed} filter (where rank < 3) as base from s group by row)"
+        " select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,"
+        " sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join a using (row)"
+    )
+
+
+#: The others cannot be said in SQL as a whole (learned models, tokens, XXH64, banding); brute force tests them.
+ORACLES: dict[str, str] = {
+    "op8_secret_scan": _secrets_sql(),
+    "op4_cover_tree": """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
+ u as (select vec_id, label, e, sqrt(list_inner_product(e, e)) as n from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+ l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+ where a.n > 0 and b.n > 0 and list_inner_product(a.e, b.e) / a.n / b.n >= 0.93),
+ r as (select vec_id, vec_id as c from embeddings union select r.vec_id, l.b from r join l on r.c = l.a)
+ select r.vec_id, (select count(*) from l where l.a = r.vec_id)::bigint as n_links, min(c) as component_id, r.vec_id = min(c) as kept from r group by r.vec_id""",
+}

@@ -178,6 +178,20 @@ def test_cover_tree_query(spark):
     assert len(run("op4_cover_tree", spark, GIVEN)) == len(rows)
 
 
+def test_cover_tree_agrees_with_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(6, 5))
+    rows = [(i, [float(x) for x in centres[draw.integers(6)] + draw.normal(size=5) * draw.choice([0, 0.1, 0.4])], int(draw.integers(2)) if i % 9 else None) for i in range(80)]
+    rows += [(80, [0.0] * 5, 1), (81, None, 1), (82, [float("nan")] * 5, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    theirs = Counter(connection.execute(queries.ORACLES["op4_cover_tree"]).fetchall())
+    ours = Counter(run("op4_cover_tree", spark, str(tmp_path)))
+    assert ours == theirs and any(r[1] for r in ours)
+
+
 def test_simhash(spark, docs):
     prints = [brute.fingerprint(t) for _, t in docs[1]]
     least = brute.groups([k for k, _ in docs[1]], brute.near_pairs(prints))
@@ -294,6 +308,13 @@ def test_secrets(spark, docs):
         assert any("jwt:" in r[5] and "pem:" in r[5] for r in rows)
 
 
+def test_secrets_agree_with_their_sql(spark, docs):
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{docs[0]}/documents.parquet{'' if docs[0] == GIVEN else '/*.parquet'}'")
+    assert Counter(run("op8_secret_scan", spark, docs[0])) == Counter(connection.execute(queries.ORACLES["op8_secret_scan"]).fetchall())
+
+
 def test_ledger_scans_only_what_is_new(spark):
     frame = lambda *rows: spark.createDataFrame(rows, "path string, text string")
     ledger = secret_scan.new_ledger(spark)
