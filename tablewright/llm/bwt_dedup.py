@@ -33,10 +33,10 @@ from tablewright.llm.line_dedup import _marked, document_key
 
 #: Bytes of a gram, and of a block at most (a block is a divisor of the length).
 GRAM, BLOCK = 32, 50
-CROWD = 5_000
+CROWD = 3_000
 #: Bytes of stretches that a task merges at a time (more only for one anchor's), and bytes of a shard.
-BATCH = 4 << 20
-SHARD = 1 << 20
+BATCH = 1 << 20
+SHARD = 1 << 18
 #: Longer texts pass in segments of so many starts.
 SEGMENT = 1 << 25
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -92,67 +92,57 @@ def _order(symbols: np.ndarray) -> np.ndarray:
     return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if high.any() else order
 
 
+def _refined(order: np.ndarray, ends: np.ndarray, symbol: np.ndarray, previous: np.ndarray) -> np.ndarray:
+    """Suffixes in order by one more block: each sends the suffix a block before it to that block's bucket."""
+    sent = previous[order]
+    sent = np.concatenate([ends, sent[sent >= 0]])
+    return sent[_order(symbol[sent])]
+
+
 class Shard:
-    """The transform of some stretches over blocks.
+    """The transform of some stretches: `suffixes` in order by `rounds` blocks, `ends` those of one block only.
 
-    Suffixes are the places with a whole block left. `suffixes` lists them in order (by `rounds` blocks), `before` has
-    the symbol one block earlier in that order, -1 where the stretch begins; `ends` are the suffixes of one block only.
+    The symbol before a suffix is symbol[previous[suffix]].
     """
 
-    def __init__(self, symbol: np.ndarray, nxt: np.ndarray, previous: np.ndarray, places: np.ndarray, rounds: int):
-        rank = np.zeros(len(symbol) + 1, np.int64)  # by no block yet; the end comes before all
-        rank[places] = 1
-        order = places
+    def __init__(self, places: np.ndarray, symbol: np.ndarray, nxt: np.ndarray, previous: np.ndarray, rounds: int):
+        self.ends = places[nxt[places] == len(symbol)]
+        self.suffixes = places
         for _ in range(rounds):
-            pair = np.lexsort((rank[nxt[places]], symbol[places]))
-            order = places[pair]
-            s, r = symbol[order], rank[nxt[order]]
-            fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])]) if len(order) else np.empty(0, bool)
-            new = np.cumsum(fresh)
-            if len(new) and new[-1] == len(new):
-                rank[order] = new
-                break
-            rank[order] = new
-        self.suffixes = order
-        own = previous[order]
-        self.before = np.where(own >= 0, symbol[own], -1)
-        self.ends = order[nxt[order] == len(symbol)]
+            self.suffixes = _refined(self.suffixes, self.ends, symbol, previous)
 
 
 def merge(shards: list[Shard], symbol: np.ndarray, nxt: np.ndarray, previous: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """The merged order of all suffixes by `rounds` blocks, and for each the blocks it shares with the one before it."""
-    sizes = [len(s.suffixes) for s in shards]
-    interleave = np.repeat(np.arange(len(shards), dtype=np.int32), sizes)
-    shared = np.zeros(len(interleave), np.int8)
-    group = np.full(len(symbol) + 1, -1, np.int64)  # by place: suffixes that share all blocks so far
+    every = np.concatenate([s.suffixes for s in shards])
+    ends = np.concatenate([s.ends for s in shards])
+    shard_of = np.zeros(len(symbol) + 1, np.uint16)
+    for k, s in enumerate(shards):
+        shard_of[s.suffixes] = k
+    interleave = shard_of[every]
+    shared = np.zeros(len(every), np.int8)
+    group = np.full(len(symbol) + 1, -1, np.int32)  # by place: suffixes that share all blocks so far
 
     def dealt(interleave: np.ndarray) -> np.ndarray:
         """The suffixes in the order the interleave gives: each shard's own order stays."""
-        out = np.empty(len(interleave), np.int64)
-        out[np.argsort(interleave.astype(np.uint16), kind="stable")] = np.concatenate([s.suffixes for s in shards])
+        out = np.empty_like(every)
+        out[np.argsort(interleave, kind="stable")] = every
         return out
 
-    ends = np.concatenate([s.ends for s in shards])
-    shard_of = np.empty(len(symbol) + 1, np.int32)
-    for k, s in enumerate(shards):
-        shard_of[s.suffixes] = k
-    order = dealt(interleave)
+    order = every
     for depth in range(1, rounds + 1):
-        sent = previous[order]
-        sent = np.concatenate([ends, sent[sent >= 0]])
-        sent = sent[_order(symbol[sent])]
-        new = shard_of[sent]
-        order = dealt(new)
+        interleave = shard_of[_refined(order, ends, symbol, previous)]
+        order = dealt(interleave)
         together = np.zeros(len(order), bool)
         together[1:] = symbol[order[1:]] == symbol[order[:-1]]
         if depth > 1:  # a suffix that has ended shares no further block
-            together[1:] &= (group[nxt[order[1:]]] == group[nxt[order[:-1]]]) & (nxt[order[1:]] < len(symbol))
+            follow = nxt[order]
+            together[1:] &= (group[follow[1:]] == group[follow[:-1]]) & (follow[1:] < len(symbol))
         shared[together] = depth
         shared[~together] = np.minimum(shared[~together], depth - 1)
         group[order] = np.cumsum(~together)
-        if (new == interleave).all() and depth > 1 and not together.any():
+        if not together.any():
             break
-        interleave = new
     return order, shared
 
 
@@ -165,35 +155,44 @@ def repeated(texts: list[bytes], length: int) -> list[np.ndarray]:
     ends = np.cumsum(sizes)
     begins = ends - sizes
     n = len(data)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(n)
-    left = ends[owner] - place
-    whole = left >= block
-    hashes = np.zeros(n, np.uint64)
-    hashes[: n - block + 1] = rolling(data, block)
-    symbol = np.zeros(n, np.int64)
-    symbol[whole] = np.unique(hashes[whole], return_inverse=True)[1]
-    nxt = np.where(left >= 2 * block, place + block, n)
-    previous = np.where(place - block >= begins[owner], place - block, -1)
-    shards, a = [], 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, begins[a] + SHARD, "right")))
-        span = np.arange(begins[a], ends[b - 1])
-        shards.append(Shard(symbol, nxt, previous, span[whole[span]], rounds))
-        a = b
-    order, shared = merge(shards, symbol, nxt, previous, rounds)
-    same = shared >= rounds
-    # What hashes call equal is confirmed on the bytes.
-    at = np.flatnonzero(same)
-    for i in range(0, len(at), 1 << 15):
-        part = at[i : i + (1 << 15)]
-        x, y = order[part][:, None] + np.arange(length), order[part - 1][:, None] + np.arange(length)
-        same[part] = (data[x] == data[y]).all(1)
-    hit = same.copy()
-    hit[:-1] |= same[1:]
+    left = (np.repeat(ends, sizes) - np.arange(n)).astype(np.int32)
+    symbol = np.unique(rolling(data, block), return_inverse=True)[1].astype(np.int32)
+    # A repeat consists of blocks that each occur twice: places that lie in no such run of blocks are irrelevant.
+    live = np.zeros(n + length, bool)
+    live[: len(symbol)] = (left[: len(symbol)] >= block) & (np.bincount(symbol, left[: len(symbol)] >= block)[symbol] >= 2)
+    start = live[:n] & (left >= length)
+    for k in range(1, rounds):
+        start &= live[k * block : n + k * block]
+    useful = start.copy()
+    for k in range(1, rounds):
+        useful[k * block :] |= start[: n - k * block]
     found = np.zeros(n, bool)
-    found[order[hit]] = True
-    return [np.flatnonzero(found[x : max(x, y - length + 1)]) for x, y in zip(begins.tolist(), ends.tolist())]
+    places = np.flatnonzero(useful).astype(np.int32)
+    if len(places):
+        symbol = np.concatenate([symbol, np.zeros(n - len(symbol), np.int32)])
+        symbol[places] = np.unique(symbol[places], return_inverse=True)[1]
+        on = np.concatenate([useful, np.zeros(block, bool)])
+        nxt, previous = np.full(n, n, np.int32), np.full(n, -1, np.int32)
+        nxt[places] = np.where(on[places + block] & (left[places] >= 2 * block), places + block, n)
+        follows = places[nxt[places] < n]
+        previous[follows + block] = follows
+        shards = []
+        cuts = np.searchsorted(places, [*(begins[np.searchsorted(begins, k, "right") - 1] for k in range(0, n, SHARD)), n])
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                shards.append(Shard(places[a:b], symbol, nxt, previous, rounds))
+        order, shared = merge(shards, symbol, nxt, previous, rounds)
+        same = shared >= rounds
+        # What hashes call equal is confirmed on the bytes.
+        at = np.flatnonzero(same)
+        for i in range(0, len(at), 1 << 14):
+            part = at[i : i + (1 << 14)]
+            x, y = order[part][:, None] + np.arange(length), order[part - 1][:, None] + np.arange(length)
+            same[part] = (data[x] == data[y]).all(1)
+        hit = same.copy()
+        hit[:-1] |= same[1:]
+        found[order[hit]] = True
+    return [np.flatnonzero(found[x:y]) for x, y in zip(begins.tolist(), ends.tolist())]
 
 
 def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
