@@ -16,7 +16,7 @@ A stretch is a run of starts of a text with one anchor, with the bytes their str
 
 No task holds more than a batch of stretches at a time. An anchor with more different stretches than CROWD (the edges of
 a passage that very many documents quote) is not compared in one task: its starts are counted by the 128-bit hash of
-their string, in a plain aggregate.
+their string, in a plain aggregate, eight neighbours at once where they repeat together.
 """
 
 from __future__ import annotations
@@ -202,7 +202,10 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchored(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """(document, first, starts, anchor, content) of every stretch of every row; `content` is its hash and shape."""
+    """(document, first, starts, shape, anchor, content) of every stretch of every row.
+
+    `shape` is where its anchor lies from its first start; `content` hashes its bytes and its shape.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,18 +216,18 @@ def _anchored(docs: DataFrame, text: str, length: int) -> DataFrame:
                 for first, count, at, h in stretches(data, length):
                     shape = (at - first).tolist()
                     content = [xxhash.xxh3_64_intdigest(data[a : a + c + length - 1], s) for a, c, s in zip(first.tolist(), count.tolist(), shape)]
-                    columns = [pa.array(first), pa.array(count), pa.array(h.view(np.int64)), pa.array(np.array(content, np.uint64).view(np.int64))]
+                    columns = [pa.array(first), pa.array(count), pa.array(at - first), pa.array(h.view(np.int64)), pa.array(np.array(content, np.uint64).view(np.int64))]
                     own = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(first), np.int32)), pa.array([document], pa.binary())).cast(pa.binary())
                     for i in range(0, len(first), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([x.slice(i, 1 << 16) for x in (own, *columns)], names=["document", "first", "starts", "anchor", "content"])
+                        yield pa.RecordBatch.from_arrays([x.slice(i, 1 << 16) for x in (own, *columns)], names=["document", "first", "starts", "shape", "anchor", "content"])
 
-    return docs.select("__document", text).mapInArrow(run, "document binary, first long, starts long, anchor long, content long")
+    return docs.select("__document", text).mapInArrow(run, "document binary, first long, starts long, shape long, anchor long, content long")
 
 
 def _bytes_of(docs: DataFrame, text: str, wanted: DataFrame, length: int) -> DataFrame:
-    """`wanted` (document, first, starts, anchor, crowded) with `bytes`: what its strings cover."""
-    schema = "document binary, anchor long, first long, crowded boolean, bytes binary"
-    held = wanted.groupBy("document").agg(F.collect_list(F.struct("first", "starts", "anchor", "crowded")).alias("own"))
+    """`wanted` (document, first, starts, shape, anchor, crowded) with `bytes`: what its strings cover."""
+    schema = "document binary, anchor long, first long, shape long, crowded boolean, bytes binary"
+    held = wanted.groupBy("document").agg(F.collect_list(F.struct("first", "starts", "shape", "anchor", "crowded")).alias("own"))
     texts = _marked(docs.select(F.col("__document").alias("document"), F.col(text).alias("text")), "document", held, "__needed").filter("__needed").drop("__needed")
     joined = texts.join(held, "document").select("document", "text", "own")
 
@@ -236,7 +239,7 @@ def _bytes_of(docs: DataFrame, text: str, wanted: DataFrame, length: int) -> Dat
                 data = value.encode()
                 for x in own:
                     piece = data[x["first"] : x["first"] + x["starts"] + length - 1]
-                    out.append((document, x["anchor"], x["first"], x["crowded"], piece))
+                    out.append((document, x["anchor"], x["first"], x["shape"], x["crowded"], piece))
                     size += len(piece)
                     if size > 1 << 22:
                         yield _batch(out, kinds)
@@ -244,12 +247,12 @@ def _bytes_of(docs: DataFrame, text: str, wanted: DataFrame, length: int) -> Dat
         if out:
             yield _batch(out, kinds)
 
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
     return joined.mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["document", "anchor", "first", "crowded", "bytes"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["document", "anchor", "first", "shape", "crowded", "bytes"])
 
 
 SPANS = "document binary, low long, high long"
@@ -289,18 +292,32 @@ def _merged(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def _counted(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for pieces of crowded anchors: starts by the hash of their string."""
+    """The same for pieces of crowded anchors: starts by the hash of their string.
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Eight neighbouring starts, at fixed places from the anchor, are a chunk. Equal chunks repeat whole. Only the starts of
+    chunks that are alone are counted one by one, together with those of one chunk of each kind.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for document, first, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for document, first, shape, data in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(data) - length + 1
-                digests = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([document] * n, pa.binary()), pa.array(np.arange(first, first + n)), pa.array(digests, pa.binary())], names=["document", "at", "digest"])
-
-    rows = written(pieces.select("document", "first", "bytes").mapInArrow(strings, "document binary, at long, digest binary"), "strings")
-    several = written(rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "several")
-    return rows.join(several, "digest").select("document", F.col("at").alias("low"), (F.col("at") + length).alias("high"))
+                cuts = [0, *(i for i in range(1, n) if (shape - i + 1) % 8 == 0), n]
+                spans_ = list(zip(cuts, cuts[1:]))
+                whole = [xxhash.xxh3_128_digest(data[a : b + length - 1]) for a, b in spans_]
+                each = [[xxhash.xxh3_128_digest(data[i : i + length]) for i in range(a, b)] for a, b in spans_]
+                columns = [pa.array([document] * len(whole), pa.binary()), pa.array([first + a for a in cuts[:-1]], pa.int64()), pa.array(whole, pa.binary()), pa.array(each, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["document", "at", "chunk", "each"])
+
+    schema = "document binary, at long, chunk binary, each array<binary>"
+    rows = written(pieces.select("document", "first", "shape", "bytes").mapInArrow(chunks, schema), "chunks")
+    kinds = written(rows.groupBy("chunk").agg(F.count("*").alias("n"), F.first("each").alias("each")), "kinds")
+    several = kinds.filter("n > 1").select("chunk")
+    whole = rows.join(several, "chunk").select("document", F.col("at").alias("low"), (F.col("at") + F.size("each") + length - 1).alias("high"))
+    alone = rows.join(several, "chunk", "left_anti").select("document", "at", F.posexplode("each").alias("i", "string"))
+    counted = kinds.select(F.explode("each").alias("string")).groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
+    low = F.col("at") + F.col("i")
+    return whole.unionByName(alone.join(counted, "string").select("document", low.alias("low"), (low + length).alias("high")))
 
 
 def spans(docs: DataFrame, text: str, length: int = 200, crowd: int = CROWD) -> DataFrame:
@@ -316,7 +333,7 @@ def spans(docs: DataFrame, text: str, length: int = 200, crowd: int = CROWD) ->
     several = written(classes.join(groups, "anchor").withColumnRenamed("row", "lead"), "several")
     shared = written(rows.join(several, ["anchor", "content"]), "shared")
     whole = shared.filter("n > 1").select("document", F.col("first").alias("low"), (F.col("first") + F.col("starts") + length - 1).alias("high"))
-    wanted = shared.filter("m > 1 and row = lead").select("document", "first", "starts", "anchor", (F.col("m") > crowd).alias("crowded"))
+    wanted = shared.filter("m > 1 and row = lead").select("document", "first", "starts", "shape", "anchor", (F.col("m") > crowd).alias("crowded"))
     pieces = written(_bytes_of(docs, text, wanted, length), "pieces")
     found = whole.unionByName(_merged(pieces.filter("not crowded"), length))
     if not pieces.filter("crowded").isEmpty():
