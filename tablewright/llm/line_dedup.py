@@ -30,8 +30,9 @@ from tablewright.llm.quality_rules import SPACE
 #: Characters of a shingle; six bands of three values miss 1.4 % of pairs at a similarity of 0.8, 0.04 % at 0.9.
 SHINGLE = 8
 BANDS, ROWS = 6, 3
-#: Values of 18 that must agree before texts are compared: of pairs at 0.8 that share a band, 98 % have as many.
-PROMISING = 12
+#: Values of 18 that must agree before a line is compared with its leader, and with others. Of pairs at 0.8 that share a
+#: band, all but 0.1 % and all but 2 % have as many.
+PROMISING, OTHERS = 9, 12
 SLOTS = 1 << 23
 STARTS = rf"(?s)(?<![a-zA-Z0-9À-ɏ])(?=(.{{1,{SHINGLE}}}))"
 
@@ -75,9 +76,9 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
     return made.withColumn("id", F.shiftleft(level.cast("long"), 53) + F.monotonically_increasing_id())
 
 
-def _promising(a: str, b: str) -> Column:
+def _promising(a: str, b: str, least: int) -> Column:
     same = (F.when(F.col(f"{a}.s{k}") == F.col(f"{b}.s{k}"), 1).otherwise(0) for k in range(BANDS * ROWS))
-    return reduce(lambda x, y: x + y, same) >= PROMISING
+    return reduce(lambda x, y: x + y, same) >= least
 
 
 def _shingles(line: Column) -> Column:
@@ -105,7 +106,7 @@ def similar_lines(docs: DataFrame, text: str, similarity: float = 0.8) -> tuple[
     small = written(_marked(signed, "id", some, "__needed").filter("__needed").drop("__needed").join(some, "id", "left_semi"), "candidates")
 
     def promising(pairs: DataFrame) -> DataFrame:
-        joined = pairs.alias("p").join(small.alias("x"), F.col("p.a") == F.col("x.id")).join(small.alias("y"), (F.col("p.b") == F.col("y.id")) & _promising("x", "y"))
+        joined = pairs.alias("p").join(small.alias("x"), F.col("p.a") == F.col("x.id")).join(small.alias("y"), (F.col("p.b") == F.col("y.id")) & _promising("x", "y", PROMISING))
         return joined.select("p.a", "p.b")
 
     first = written(promising(star.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()), "first")
@@ -121,10 +122,13 @@ def similar_lines(docs: DataFrame, text: str, similarity: float = 0.8) -> tuple[
     known = links.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.lit(True).alias("linked"))
     rest = written(star.filter("n > 2").join(known, ["id", "leader"], "left").select("key", "id", F.coalesce("linked", F.lit(False)).alias("linked")), "rest")
     values = [f"s{k}" for k in range(BANDS * ROWS)]
-    signed_rest = rest.join(small.select("id", *values), "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sized = texts.select("id", F.size("shingles").alias("size"))
+    signed_rest = rest.join(small.select("id", *values), "id").join(sized, "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     alone, others = signed_rest.filter("not linked").alias("x"), signed_rest.alias("y")
     order = F.col("y.linked") | (F.col("x.id") < F.col("y.id"))
-    second = alone.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & _promising("x", "y"))
+    # Sets whose sizes differ more than the similarity allows cannot be similar.
+    order = order & (F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size"))
+    second = alone.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & _promising("x", "y", OTHERS))
     second = second.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     late = _verified(second, texts, similarity)
     for k in "ab":
