@@ -3,10 +3,9 @@
 All steps are Spark's own expressions over lines, which a 128-bit digest of their text names. Shingles are compared by
 64-bit hashes.
 
-1. Signature. The shingles of a line are the eight characters from each place that follows anything but a Latin letter
-   or digit (so: at words, and everywhere in scripts without spaces). They are hashed; the k-th value is the least hash
-   after an exclusive or with the k-th constant. One aggregate by digest does this for all lines, and equal lines become
-   one with their number of copies.
+1. Signature. The shingles of a line are the eight characters from every place (a shorter line is its own shingle). They
+   are hashed; the k-th value is the least hash after an exclusive or with the k-th constant. One aggregate by digest does
+   this for all lines, and equal lines become one with their number of copies.
 2. Bands of three values. In each bucket, lines are first compared with the leader, the line with most copies. Those that
    are not like it are then compared with the other lines of the bucket, but for lines that are linked already, by any
    way. So a bucket full of variants of one line costs a comparison each, and no component loses a line.
@@ -33,8 +32,11 @@ BANDS, ROWS = 6, 3
 #: Values of 18 that must agree before a line is compared with its leader, and with others. Of pairs at 0.8 that share a
 #: band, all but 0.1 % and all but 2 % have as many.
 PROMISING, OTHERS = 9, 12
+#: Places that are read from one piece of a line.
+PIECE = 32
 SLOTS = 1 << 23
-STARTS = rf"(?s)(?<![a-zA-Z0-9À-ɏ])(?=(.{{1,{SHINGLE}}}))"
+#: Not from the second half of a character that Java keeps as two.
+EVERY = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{SHINGLE - 1}}}))"
 
 
 def _slot(key: Column) -> Column:
@@ -64,16 +66,30 @@ def _occurrences(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     return lines.withColumn("digest", F.when(F.btrim("line", F.lit(SPACE)) != "", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("again"), "line").alias("b"))))
 
 
+def _exploded(lines: DataFrame) -> DataFrame:
+    """(..., first, h): a row per place of each `line`, with the hash of its shingle; `first` is true once a line."""
+    cut = F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    rest = [c for c in lines.columns if c != "line"]
+    pieces = lines.select(*rest, cut.alias("cut"))
+    joined = F.transform("cut", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("cut", i + 1), 1, SHINGLE - 1), F.lit(""))))
+    pieces = pieces.select(*rest, F.posexplode(joined).alias("p", "piece"))
+    places = F.length("piece") - (SHINGLE - 1)
+    places = F.when(F.col("p") == 0, F.greatest(F.lit(1), places)).otherwise(places)
+    each = pieces.select(*rest, "p", "piece", F.explode(F.when(places > 0, F.sequence(F.lit(1), places))).alias("at"))
+    first = (F.col("p") == 0) & (F.col("at") == 1)
+    return each.select(*rest, first.alias("first"), F.xxhash64(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("h"))
+
+
 def signatures(docs: DataFrame, text: str) -> DataFrame:
     """(id, digest, copies, s0, s1 ...) of every distinct line with a word. Lines with more copies have smaller ids."""
-    lines = _occurrences(docs, text).filter("digest is not null")
-    shingles = lines.select("digest", F.posexplode(F.regexp_extract_all("line", F.lit(STARTS), F.lit(1))).alias("i", "shingle"))
-    hashed = shingles.select("digest", "i", F.hash("shingle").alias("h"))
+    lines = _occurrences(docs, text).filter("digest is not null").select(F.col("digest.a").alias("da"), F.col("digest.b").alias("db"), "line")
+    hashed = _exploded(lines).select("da", "db", "first", F.hash("h").alias("h"))
     masks = [(2654435761 * (k + 1) * (2 * k + 7) ^ (k * 40503 << 9)) % (1 << 32) - (1 << 31) for k in range(BANDS * ROWS)]
     least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"s{k}") for k, m in enumerate(masks)]
-    made = hashed.groupBy("digest").agg(F.count_if(F.col("i") == 0).alias("copies"), *least)
+    made = hashed.groupBy("da", "db").agg(F.count_if("first").alias("copies"), *least)
     level = F.lit(1023) - F.least(F.lit(1023), F.floor(F.log2("copies") * 32)).cast("int")
-    return made.withColumn("id", F.shiftleft(level.cast("long"), 53) + F.monotonically_increasing_id())
+    digest = F.struct(F.col("da").alias("a"), F.col("db").alias("b")).alias("digest")
+    return made.withColumn("id", F.shiftleft(level.cast("long"), 53) + F.monotonically_increasing_id()).withColumn("digest", digest).drop("da", "db")
 
 
 def _promising(a: str, b: str, least: int) -> Column:
@@ -83,14 +99,16 @@ def _promising(a: str, b: str, least: int) -> Column:
 
 def _shingles(line: Column) -> Column:
     """The set of a line's shingles, as hashes."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(STARTS), F.lit(1)), lambda x: F.xxhash64(x)))
+    every = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
+    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of ids whose lines are that similar."""
     for k in "ab":
-        pairs = pairs.join(texts.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")), k)
-    both = pairs.select("a", "b", F.size("sa").alias("nx"), F.size("sb").alias("ny"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+        pairs = pairs.join(texts.select(F.col("id").alias(k), F.col("line").alias(f"line{k}")), k)
+    sets = pairs.select("a", "b", _shingles(F.col("linea")).alias("sa"), _shingles(F.col("lineb")).alias("sb"))
+    both = sets.select("a", "b", F.size("sa").alias("nx"), F.size("sb").alias("ny"), F.size(F.array_intersect("sa", "sb")).alias("n"))
     return both.filter(F.col("n") >= F.lit(similarity) * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b")
 
 
@@ -115,14 +133,14 @@ def similar_lines(docs: DataFrame, text: str, similarity: float = 0.8) -> tuple[
     lines = _occurrences(docs, text).filter("digest is not null").select("digest", "line")
     near = _marked(lines, "digest", wanted, "__needed").filter("__needed").select("digest", "line")
     once = near.join(wanted, "digest").select("id", "line").dropDuplicates(["id"])
-    texts = written(once.select("id", _shingles(F.col("line")).alias("shingles")), "texts")
+    texts = written(once.select("id", "line", F.size(_shingles(F.col("line"))).alias("size")), "texts")
     links = written(_verified(first, texts, similarity), "links")
     # Lines that are not like their bucket's leader meet the rest of the bucket, but for what is linked already.
     groups = written(components(links).withColumnRenamed("node", "id"), "groups")
     known = links.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.lit(True).alias("linked"))
     rest = written(star.filter("n > 2").join(known, ["id", "leader"], "left").select("key", "id", F.coalesce("linked", F.lit(False)).alias("linked")), "rest")
     values = [f"s{k}" for k in range(BANDS * ROWS)]
-    sized = texts.select("id", F.size("shingles").alias("size"))
+    sized = texts.select("id", "size")
     signed_rest = rest.join(small.select("id", *values), "id").join(sized, "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     alone, others = signed_rest.filter("not linked").alias("x"), signed_rest.alias("y")
     order = F.col("y.linked") | (F.col("x.id") < F.col("y.id"))

@@ -152,6 +152,32 @@ def test_lines_like_the_leader_and_others(spark):
     assert sum(got[x] == expected[x] for x in expected) >= 0.95 * len(rows)
 
 
+def every_shingle(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def deduped(spark, rows):
+    frame = spark.createDataFrame(rows, "k int, text string").withColumn("t0", F.col("text"))
+    return {(r["k"], r["t0"]): r["text"] for r in line_dedup.dedup(frame, "k", "text").collect()}
+
+
+def test_lines_that_begin_alike_stay(spark):
+    """What lies beyond the first characters of a word tells lines apart."""
+    digests = ["sha256 9f86d081" + hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)]
+    rows = list(enumerate(digests + ["2024010112000001", "2024010199999999", "Krankenversicherungsbeitrag", "Krankenversicherungskarte"]))
+    assert deduped(spark, rows) == {x: x[1] for x in rows}
+
+
+def test_shingles_of_a_line(spark):
+    lines = ["abc", "12345678", "x" * 31 + "😀" + "yz" * 20, "the quick brown fox 😀😀 jumps", "é" * 70, "ab" * 35 + "c"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    placed = Counter((r["i"], r["h"]) for r in line_dedup._exploded(frame).collect())
+    sets = {r["i"]: set(r["s"]) for r in frame.select("i", line_dedup._shingles(F.col("line")).alias("s")).collect()}
+    for i, line in enumerate(lines):
+        assert {h for k, h in placed if k == i} == sets[i] and len(sets[i]) == len(every_shingle(line))
+        assert sum(n for (k, _), n in placed.items() if k == i) == max(1, len(line) - 7)
+
+
 VECTORS = [(400, None, 1), (401, [0.0] * 6, 1), (402, [float("nan")] + [1.0] * 5, 1), (403, [None] * 6, 1), (404, [1.0, 2.0], 1), (405, [2.0, 4.0], 1), (406, [], 1), (407, [float("inf")] * 6, 1), (None, [1.0, 2.0], 1)]
 
 
