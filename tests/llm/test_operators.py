@@ -156,6 +156,12 @@ def every_shingle(line):
     return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
 
 
+@pytest.fixture
+def full_sets(monkeypatch):
+    """Brute force on the shingles from every place."""
+    monkeypatch.setattr(brute, "SHINGLE", SimpleNamespace(findall=every_shingle))
+
+
 def deduped(spark, rows):
     frame = spark.createDataFrame(rows, "k int, text string").withColumn("t0", F.col("text"))
     return {(r["k"], r["t0"]): r["text"] for r in line_dedup.dedup(frame, "k", "text").collect()}
@@ -168,6 +174,12 @@ def test_lines_that_begin_alike_stay(spark):
     assert deduped(spark, rows) == {x: x[1] for x in rows}
 
 
+def test_line_dedup_on_every_shingle(spark, docs, full_sets):
+    expected = brute.deduped_lines(docs[1])
+    rows = run("op3_line_dedup", spark, docs[0])
+    assert Counter((r[0], r[3]) for r in rows) == Counter((k, expected[(k, t)]) for k, t in docs[1])
+
+
 def test_shingles_of_a_line(spark):
     lines = ["abc", "12345678", "x" * 31 + "😀" + "yz" * 20, "the quick brown fox 😀😀 jumps", "é" * 70, "ab" * 35 + "c"]
     frame = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
