@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bwt_dedup, byte_bpe, cover_tree, html_text, language_id, line_dedup, packing, quality_rules, secret_scan, simhash
+from tablewright.llm import bwt_dedup, byte_bpe, cover_tree, html_text, language_id, line_dedup, packing, quality_rules, secret_scan, sentence_piece, simhash, token_alignment
 from tablewright.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by a merge-type model, with an end id, and the text they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    done = sentence_piece.round_trip(docs.select("doc_id", "text"), "text", public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers cut every document, and how common its linked pairs of ids are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    done = token_alignment.align(docs, "text", a, public_tokenizers.PATTERN, b)
+    return done.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -114,6 +134,8 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_html_text": op9_html_text,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_sentence_piece": op11_sentence_piece,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: For the secret kinds, in their order: pattern, and the least length of group 2.
