@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bwt_dedup, byte_bpe, cover_tree, html_text, language_id, line_dedup, packing, quality_rules, secret_scan, sentence_piece, simhash, token_alignment
+from tablewright.llm import bwt_dedup, byte_bpe, conversation_trie, cover_tree, html_text, language_id, line_dedup, packing, quality_rules, secret_scan, sentence_piece, simhash, token_alignment
 from tablewright.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,11 @@ def op11_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared beginning of rebuilt conversations, with subtree totals."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two tokenizers cut every document, and how common its linked pairs of ids are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -135,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "op9_html_text": op9_html_text,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_sentence_piece": op11_sentence_piece,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_token_alignment": op13_token_alignment,
 }
 
