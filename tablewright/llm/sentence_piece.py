@@ -153,17 +153,28 @@ class PieceCodec:
                 token = shorter[last]
         return out
 
+    def _resolved(self, segment: str, ids: array) -> None:
+        """Appends the ids of a segment (spaces as in pieces)."""
+        for piece in self.split(segment) if segment[0] in self.shorter else (segment,):
+            own = self.id_of.get(piece)
+            if own is None:  # a character that is no piece
+                ids.extend([self.byte_id[b] for b in piece.encode()])
+            else:
+                ids.append(own)
+
+    def ids(self, normal: str) -> array:
+        """The ids of a text as `pieces_of` takes it, without memory."""
+        ids = array("I")
+        for segment in self.segments.findall(normal):
+            self._resolved(segment, ids)
+        return ids
+
     def resolve(self, segment: str) -> bytes:
-        """The ids of a segment (spaces as in pieces) as little-endian 32-bit numbers."""
+        """The ids of a segment as little-endian 32-bit numbers."""
         found = self.old.get(segment)
         if found is None:
             ids = array("I")
-            for piece in self.split(segment) if segment[0] in self.shorter else [segment]:
-                own = self.id_of.get(piece)
-                if own is None:  # a character that is no piece
-                    ids.extend(self.byte_id[b] for b in piece.encode())
-                else:
-                    ids.append(own)
+            self._resolved(segment, ids)
             found = ids.tobytes()
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}

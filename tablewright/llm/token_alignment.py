@@ -17,6 +17,7 @@ inverted index: for each pair, a compressed bitmap of the documents that hold it
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ from tablewright.llm.common import read_bytes, ship, written
 from tablewright.llm.packing import Tokens, _alphabet
 from tablewright.llm.sentence_piece import BYTE, NORMAL, SPACE, Model, PieceCodec
 
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 SHARD_DOCS, SHARD_LINKS = 1 << 16, 1_000_000
+#: Bits for one of the counts of a segment that are added as one number.
+DIGITS = 32
 #: Rows of postings that are read back at once.
 SLICE_ROWS = 8192
 
@@ -38,8 +41,11 @@ SLICE_ROWS = 8192
 class Aligner:
     """Tokens, groups and links of texts: tokenizer A is a byte-level file, B a SentencePiece model that puts a space first."""
 
-    def __init__(self, a: bytes, pattern: str, b: Model):
-        self.a, self.b = Tokens(a, pattern), PieceCodec(b)
+    def __init__(self, a: bytes, pattern: str, model: bytes):
+        from sentencepiece import SentencePieceProcessor
+
+        b = Model.read(model)
+        self.a, self.b, self.library = Tokens(a, pattern), PieceCodec(b), SentencePieceProcessor(model_proto=model)
         own = _alphabet()
         vocabulary = self.a.model.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -47,12 +53,7 @@ class Aligner:
             self.a_bytes[i] = bytes(own[c] for c in token) if all(c in own for c in token) else token.encode()
         self.b_bytes = [self._bytes(p, k) for p, k in zip(b.pieces, b.kinds)]
         self.width = len(b.pieces)
-        # Both tokenizers start anew before these, after a character that is no white space, for A's pattern is known.
-        crossed = {y for p, k in zip(b.pieces, b.kinds) if k == NORMAL for x, y in zip(p, p[1:]) if not (x.isspace() or x == SPACE)}
-        starts = "".join(c for c, as_piece in ((" ", SPACE), ("\n", "\n"), ("\t", "\t")) if as_piece not in crossed)
-        self.cut = None
-        if self.a.fast is not None and starts:
-            self.cut = re.compile(rf"\s*\S+(?:[^\S{starts}]\s*\S*)*|\s+")
+        self.cut = self._cuts([p for p, k in zip(b.pieces, b.kinds) if k == NORMAL]) if self.a.fast is not None else None
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
@@ -60,21 +61,34 @@ class Aligner:
     def _bytes(piece: str, kind: int) -> bytes:
         return bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(SPACE, " ").encode()
 
-    def resolve(self, segment: str) -> tuple | None:
-        """(tokens of A, of B, groups, links, groups as text, links packed) of a segment; None if its bytes are not kept."""
-        if segment in self.old:
-            found = self.old[segment]
-        else:
-            found = self._aligned(segment)
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        if len(segment) <= 64:
-            self.young[segment] = found
-        return found
+    @staticmethod
+    def _cuts(pieces: list[str]) -> re.Pattern | None:
+        """Finds segments at whose borders both tokenizers start anew; A's pattern is known, B's pieces say what they cross.
+
+        Borders are: before a space, line feed or tab after another character; after letters before an ASCII sign.
+        """
+        crossed = {(x, y) for p in pieces for x, y in zip(p, p[1:])}
+        starts = "".join(c for c, own in ((" ", SPACE), ("\n", "\n"), ("\t", "\t")) if not any(y == own and not (x.isspace() or x == SPACE) for x, y in crossed))
+        if not starts:
+            return None
+        word = "" if any(x.isalnum() and y.isascii() and not (y.isalnum() or y == "_") for x, y in crossed) else r"\s*[^\W\d_]+(?=[^\w\x80-\U0010ffff]|$)|"
+        return re.compile(rf"{word}\s*\S+(?:[^\S{starts}]\s*\S*)*|\s+")
+
+    def _resolve(self, segments: list[str]) -> list[tuple | None]:
+        """(tokens of A, of B and groups in one number, groups as text, links packed) of segments; None if bytes are not kept."""
+        # B's library puts a space first, which stands for the one that most segments begin with; others go by pieces.
+        by_library = [self.b.model.prefix and x[0] == " " and len(x) > 1 for x in segments]
+        spaced = [x[1:] for x, own in zip(segments, by_library) if own]
+        whole = iter(self.library.encode(spaced, num_threads=1)) if spaced else iter(())
+        out = []
+        for x, spaced_first in zip(segments, by_library):
+            plain = self.a.fast is not None and len(x) < 1000
+            a = self.a.fast.encode_ordinary(x) if plain else np.frombuffer(self.a([x])[0], "<u4").tolist()
+            b = next(whole) if spaced_first else self.b.ids(x.replace(" ", SPACE)).tolist()
+            out.append(self._aligned(x, a, b))
+        return out
 
-    def _aligned(self, segment: str) -> tuple | None:
-        a = np.frombuffer(self.a([segment])[0], "<u4").tolist()
-        b = np.frombuffer(self.b.pieces_of(segment.replace(" ", SPACE)), "<u4").tolist()
+    def _aligned(self, segment: str, a: list[int], b: list[int]) -> tuple | None:
         a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         whole = segment.encode()
         if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
@@ -97,23 +111,23 @@ class Aligner:
             else:
                 j += 1
                 b_end += len(b_parts[j])
-        return len(a), len(b), len(groups), len(links), ";".join(groups), np.array(links, "<i8").tobytes()
-
-    def __call__(self, text: str | None) -> list[tuple]:
-        """The segments' results for a space and the text; none if the text is NULL or empty, or its bytes are not kept."""
-        if not text or SPACE in text:
-            return []
-        spaced = " " + text
-        known, out = self.young, []
-        for segment in self.cut.findall(spaced) if self.cut else [spaced]:
-            found = known.get(segment)
-            if found is None:
-                found = self.resolve(segment)
-                known = self.young
-                if found is None:
-                    return []
-            out.append(found)
-        return out
+        return (len(a) << DIGITS | len(b)) << DIGITS | len(groups), ";".join(groups), array("q", links).tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[list[tuple]]:
+        """For each text, the segments' results for a space and the text; none if it is NULL or empty, or its bytes are not kept."""
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        known = self.young
+        cut = [[] if not x or SPACE in x else self.cut.findall(" " + x) if self.cut else [" " + x] for x in texts]
+        missing = [x for x in set().union(*cut) if x not in known]
+        known.update((x, self.old[x]) for x in missing if x in self.old)
+        missing = [x for x in missing if x not in known]
+        known.update(zip(missing, self._resolve(missing)))
+        out = [[known[x] for x in segments] for segments in cut]
+        for x in missing:
+            if len(x) > 64:
+                del known[x]
+        return [[] if None in found else found for found in out]
 
 
 _ALIGNERS: dict[str, Aligner] = {}
@@ -132,7 +146,7 @@ def aligner_of(frame: DataFrame, a_path: str, pattern: str, b_path: str) -> Call
     ship(spark)
     a, b = read_bytes(spark, a_path), read_bytes(spark, b_path)
     name = xxhash.xxh3_128_hexdigest(a + b + pattern.encode())
-    parts = spark.sparkContext.broadcast((a, pattern, Model.read(b)))
+    parts = spark.sparkContext.broadcast((a, pattern, b))
     return lambda: _aligner(name, parts.value)
 
 
@@ -211,16 +225,19 @@ def _inverted(frame: DataFrame, text: str, aligner: Callable[[], Aligner], group
                 if doc + part.num_rows > SHARD_DOCS or sum(counts) >= SHARD_LINKS:
                     yield from inverted()
                     packs, counts, doc, shard = [], [], 0, shard + 1
-                done = [align(x) for x in part.column("text").to_pylist()]
-                sums = [np.array([sum(r[k] for r in rs) for rs in done], np.int64) for k in range(4)]
-                texts = [";".join([r[4] for r in rs]) for rs in done]
+                done = align(part.column("text").to_pylist())
+                parts = [list(zip(*rs)) or [(0,), (), ()] for rs in done]
+                total = [sum(p[0]) for p in parts]
+                texts = [";".join(p[1]) for p in parts]
+                packs.extend(b"".join(p[2]) for p in parts)
+                links = [len(x) // 8 for x in packs[-len(done) :]]
+                sums = [pa.array([t >> k * DIGITS & (1 << DIGITS) - 1 for t in total], pa.int64()) for k in (2, 1, 0)] + [pa.array(links, pa.int64())]
                 told = texts if groups else [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts]
-                packs.extend(b"".join([r[5] for r in rs]) for rs in done)
-                counts.extend(sums[3].tolist())
+                counts.extend(links)
                 numbers = np.arange(doc, doc + len(done), dtype=np.int32)
                 doc += len(done)
                 given = {"row": part.column("row"), "doc": pa.array(numbers), "groups": pa.array(told), "shard": pa.array(np.full(len(done), shard))}
-                yield padded(given | dict(zip(["n_a", "n_b", "n_groups", "n_links"], map(pa.array, sums))), len(done))
+                yield padded(given | dict(zip(["n_a", "n_b", "n_groups", "n_links"], sums)), len(done))
         yield from inverted()
 
     return packed.mapInArrow(run, schema)
