@@ -309,7 +309,9 @@ def align(frame: DataFrame, text: str, a_path: str, pattern: str, b_path: str, g
     width = len(Model.read(read_bytes(frame.sparkSession, b_path)).pieces)
     both = written(_inverted(frame, text, aligner, groups), "postings")
     posted = both.filter("doc is null").select("shard", "plane", "pair", "dense", "bits", "n")
-    scored = posted.join(pair_counts(posted, width).select("pair", "count", "best"), "pair").select("shard", "plane", "dense", "bits", "n", "count", "best")
+    # The pairs grow with the corpus: never broadcast, however few they are.
+    counts = pair_counts(posted, width).select("pair", "count", "best").hint("merge")
+    scored = posted.join(counts, "pair").select("shard", "plane", "dense", "bits", "n", "count", "best")
     docs = both.filter("doc is not null").select("row", "shard", "doc", "n_a", "n_b", "n_groups", "n_links", "groups")
     done = docs.join(_returned(scored), ["shard", "doc"], "left")
     made = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
