@@ -4,13 +4,15 @@ All steps are Spark's own expressions over lines, which a 128-bit digest of thei
 64-bit hashes.
 
 1. Signature. The shingles of a line are the eight characters from every place (a shorter line is its own shingle). They
-   are hashed; the k-th value is the least of a hash seeded by k, two values to a 64-bit hash. One aggregate by digest does
-   this for all lines, and equal lines become one with their number of copies. It also sets a bit of 256 per shingle.
-2. Bands of three values. In each bucket, lines are first compared with the leader, the line with most copies. Those that
-   are not like it are then compared with the other lines of the bucket, but for lines that are linked already, by any
-   way. So a bucket full of variants of one line costs a comparison each, and no component loses a line.
-3. Pairs are left out only by bounds that no similar pair exceeds: lines differ in at least as many shingles as their bits
-   do, and their sizes limit what they share. All others are verified on their texts: exact Jaccard of their shingles.
+   are hashed once, then again with ten seeds; a seeded hash has three parts, and a value of the signature is the least
+   such part in the line. A row holds several places, so the aggregate by digest takes fewer rows than characters; equal
+   lines become one there, with their number of copies.
+2. Bands: the three values of one seed. In each bucket, lines are first compared with the leader, the line with most
+   copies. Those that are not like it are then compared with the other lines of the bucket, but for lines that are linked
+   already, by any way. So a bucket full of variants of one line costs a comparison each, and no component loses a line.
+3. Lines that share a bucket with another are read again: 1,024 bits say which hashes they hold. Two lines differ in at
+   least as many shingles as their bits do; only by this bound, which no similar pair exceeds, are pairs left out. All
+   others are verified on their texts: exact Jaccard of their shingles.
 4. Components of the verified links; each keeps its first line by (document, line number).
 
 Texts move only if they can matter: a bitmap of fixed size (1 MB, a Bloom filter with one hash) says which lines or
@@ -29,11 +31,13 @@ from tablewright.llm.quality_rules import SPACE
 
 #: Characters of a shingle; ten bands of three values miss 0.08 % of pairs at a similarity of 0.8, 0.0002 % at 0.9.
 SHINGLE = 8
-BANDS, ROWS = 10, 3
+BANDS = 10
+#: A seeded hash has three parts, of 21, 21 and 22 bits.
+PARTS = 3
 #: Longs of 64 bits that bound from below in how many shingles two lines differ.
-BITS = 4
-#: Places that are read from one piece of a line.
-PIECE = 32
+BITS = 16
+#: Places of a row (with more, the code of a row is beyond what the JVM compiles), and characters of a line cut off at once.
+PLACES, PIECE = 3, 63
 SLOTS = 1 << 23
 #: Not from the second half of a character that Java keeps as two.
 EVERY = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{SHINGLE - 1}}}))"
@@ -66,41 +70,58 @@ def _occurrences(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     return lines.withColumn("digest", F.when(F.btrim("line", F.lit(SPACE)) != "", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("again"), "line").alias("b"))))
 
 
-def _exploded(lines: DataFrame) -> DataFrame:
-    """(..., first, h): a row per place of each `line`, with the hash of its shingle; `first` is true once a line."""
+def _placed(lines: DataFrame) -> DataFrame:
+    """(..., first, m, h1, h2 ...): hashes of the shingles at up to PLACES places of each `line`, m of them; what is beyond
+    repeats the first. `first` is true once a line."""
     cut = F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
     rest = [c for c in lines.columns if c != "line"]
     pieces = lines.select(*rest, cut.alias("cut"))
     joined = F.transform("cut", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("cut", i + 1), 1, SHINGLE - 1), F.lit(""))))
     pieces = pieces.select(*rest, F.posexplode(joined).alias("p", "piece"))
+    # A line shorter than a shingle has one place; a later piece of such a length has none of its own.
     places = F.length("piece") - (SHINGLE - 1)
     places = F.when(F.col("p") == 0, F.greatest(F.lit(1), places)).otherwise(places)
-    each = pieces.select(*rest, "p", "piece", F.explode(F.when(places > 0, F.sequence(F.lit(1), places))).alias("at"))
-    first = (F.col("p") == 0) & (F.col("at") == 1)
-    return each.select(*rest, first.alias("first"), F.xxhash64(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("h"))
+    each = pieces.select(*rest, "p", "piece", places.alias("places"), F.explode(F.when(places > 0, F.sequence(F.lit(0), places - 1, F.lit(PLACES)))).alias("at"))
+    rows = each.select(*rest, ((F.col("p") == 0) & (F.col("at") == 0)).alias("first"), F.least(F.lit(PLACES), F.col("places") - F.col("at")).alias("m"), F.substring("piece", F.col("at") + 1, F.lit(PLACES + SHINGLE - 1)).alias("part"))
+
+    def shingle(i: int) -> Column:
+        return F.xxhash64(F.substring("part", i, SHINGLE))
+
+    return rows.select(*rest, "first", "m", *(shingle(i) if i == 1 else F.when(F.col("m") >= i, shingle(i)).otherwise(shingle(1)) for i in range(1, PLACES + 1))).toDF(*rest, "first", "m", *(f"h{i}" for i in range(1, PLACES + 1)))
 
 
 def signatures(docs: DataFrame, text: str) -> DataFrame:
-    """(id, digest, copies, places, keys, b0, b1 ...) of every distinct line with a word. `keys` has one per band, `places`
-    counts shingles with their repeats. Lines with more copies have smaller ids."""
+    """(id, digest, copies, places, keys) of every distinct line with a word. `keys` has one per band, `places` counts
+    shingles with their repeats. Lines with more copies have smaller ids."""
     lines = _occurrences(docs, text).filter("digest is not null").select(F.col("digest.a").alias("da"), F.col("digest.b").alias("db"), "line")
-    seeded = [F.xxhash64(F.lit(k), F.col("h")).alias(f"v{k}") for k in range(BANDS * ROWS // 2)]
-    hashed = _exploded(lines).select("da", "db", "first", "h", *seeded)
-    least = []
-    for k in range(BANDS * ROWS // 2):
-        least += [F.min(F.shiftrightunsigned(f"v{k}", 32)).alias(f"s{2 * k}"), F.min(F.col(f"v{k}").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"s{2 * k + 1}")]
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    bits = [F.bit_or(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(BITS - 1)) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(BITS)]
-    made = hashed.groupBy("da", "db").agg(F.count_if("first").alias("copies"), F.count("*").alias("all"), *least, *bits)
+    each = range(1, PLACES + 1)
+    seeded = _placed(lines).select("da", "db", "first", "m", *(F.xxhash64(F.lit(k), F.col(f"h{i}")).alias(f"g{k}_{i}") for k in range(BANDS) for i in each))
+
+    def part(g: Column, j: int) -> Column:
+        return F.shiftrightunsigned(g, 42) if j == 2 else (F.shiftrightunsigned(g, 21) if j else g).bitwiseAND(F.lit((1 << 21) - 1))
+
+    least = [F.least(*(part(F.col(f"g{k}_{i}"), j) for i in each)).alias(f"v{k}_{j}") for k in range(BANDS) for j in range(PARTS)]
+    made = seeded.select("da", "db", "first", "m", *least).groupBy("da", "db").agg(
+        F.count_if("first").alias("copies"), F.sum("m").alias("all"), *(F.min(f"v{k}_{j}").alias(f"v{k}_{j}") for k in range(BANDS) for j in range(PARTS))
+    )
     level = F.lit(1023) - F.least(F.lit(1023), F.floor(F.log2("copies") * 32)).cast("int")
-    keys = F.array(*(F.xxhash64(F.lit(j), *(F.col(f"s{j * ROWS + r}") for r in range(ROWS))) for j in range(BANDS)))
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"v{k}_{j}") for j in range(PARTS))) for k in range(BANDS)))
     return made.select(
         (F.shiftleft(level.cast("long"), 53) + F.monotonically_increasing_id()).alias("id"),
         F.struct(F.col("da").alias("a"), F.col("db").alias("b")).alias("digest"),
-        "copies", F.expr("all div copies").alias("places"), keys.alias("keys"), *(f"b{j}" for j in range(BITS)),
+        "copies", F.expr("all div copies").alias("places"), keys.alias("keys"),
     )
 
 
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """(id, b0, b1 ...): the bits of the hashes that each line holds."""
+    each = range(1, PLACES + 1)
+    hashed = _placed(texts.select("id", "line")).select("id", *(F.expr(f"shiftleft(1L, cast(h{i} & 63 as int))").alias(f"bit{i}") for i in each), *(F.shiftright(f"h{i}", 6).bitwiseAND(F.lit(BITS - 1)).alias(f"at{i}") for i in each))
+    zero = F.lit(0).cast("long")
+    bits = [reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.col(f"at{i}") == j, F.col(f"bit{i}")).otherwise(zero) for i in each)).alias(f"b{j}") for j in range(BITS)]
+    return hashed.select("id", *bits).groupBy("id").agg(*(F.bit_or(f"b{j}").alias(f"b{j}") for j in range(BITS)))
+
+
 def _possible(a: str, b: str, size: str, similarity: float) -> Column:
     """False only for pairs that cannot be similar: they differ in at least a shingle per bit that differs. `size` is no
     less than the number of a line's shingles."""
@@ -129,34 +150,27 @@ def similar_lines(docs: DataFrame, text: str, similarity: float = 0.8) -> tuple[
     bands = signed.select("id", F.explode("keys").alias("key"))
     leaders = written(bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
     star = written(bands.join(leaders, "key").filter("id != leader"), "star")
-    some = star.select(F.col("id")).unionByName(star.select(F.col("leader").alias("id"))).distinct()
-    some = written(some, "some")
-    small = written(_marked(signed.drop("keys"), "id", some, "__needed").filter("__needed").drop("__needed").join(some, "id", "left_semi"), "candidates")
+    some = written(star.select(F.col("id")).unionByName(star.select(F.col("leader").alias("id"))).distinct(), "some")
+    wanted = written(signed.select("id", "digest", "places").join(some, "id", "left_semi"), "wanted")
+    lines = _occurrences(docs, text).filter("digest is not null").select("digest", "line")
+    near = _marked(lines, "digest", wanted, "__needed").filter("__needed").select("digest", "line")
+    texts = written(near.join(wanted.select("id", "digest"), "digest").select("id", "line").dropDuplicates(["id"]), "texts")
+    small = written(_bitmaps(texts).join(wanted.select("id", "places"), "id"), "candidates")
 
     def possible(pairs: DataFrame) -> DataFrame:
         joined = pairs.alias("p").join(small.alias("x"), F.col("p.a") == F.col("x.id")).join(small.alias("y"), (F.col("p.b") == F.col("y.id")) & _possible("x", "y", "places", similarity))
         return joined.select("p.a", "p.b")
 
     first = written(possible(star.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()), "first")
-    needed = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(star.filter("n > 2").select("id")).distinct()
-    wanted = written(small.join(needed, "id", "left_semi").select("id", "digest"), "wanted")
-    lines = _occurrences(docs, text).filter("digest is not null").select("digest", "line")
-    near = _marked(lines, "digest", wanted, "__needed").filter("__needed").select("digest", "line")
-    once = near.join(wanted, "digest").select("id", "line").dropDuplicates(["id"])
-    texts = written(once.select("id", "line", F.size(_shingles(F.col("line"))).alias("size")), "texts")
     links = written(_verified(first, texts, similarity), "links")
     # Lines that are not like their bucket's leader meet the rest of the bucket, but for what is linked already.
     groups = written(components(links).withColumnRenamed("node", "id"), "groups")
     known = links.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.lit(True).alias("linked"))
     rest = written(star.filter("n > 2").join(known, ["id", "leader"], "left").select("key", "id", F.coalesce("linked", F.lit(False)).alias("linked")), "rest")
-    values = [f"b{j}" for j in range(BITS)]
-    sized = texts.select("id", "size")
-    signed_rest = rest.join(small.select("id", *values), "id").join(sized, "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    signed_rest = rest.join(small, "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     alone, others = signed_rest.filter("not linked").alias("x"), signed_rest.alias("y")
     order = F.col("y.linked") | (F.col("x.id") < F.col("y.id"))
-    # Sets whose sizes differ more than the similarity allows cannot be similar.
-    order = order & (F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size"))
-    second = alone.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & _possible("x", "y", "size", similarity))
+    second = alone.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & _possible("x", "y", "places", similarity))
     second = second.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     late = _verified(second, texts, similarity)
     for k in "ab":

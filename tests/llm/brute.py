@@ -10,7 +10,6 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SHINGLE = re.compile(r"(?s)(?<![a-zA-Z0-9À-ɏ])(?=(.{1,8}))")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -118,7 +117,7 @@ def deduped_lines(docs, similarity=0.8):
             if WORD.search(line):
                 where[line].append((n, pos))
     lines = list(where)
-    sets = [set(SHINGLE.findall(x)) for x in lines]
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
     union = Union(len(lines))
     for i in range(len(lines)):
         for j in range(i):
