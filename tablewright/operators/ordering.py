@@ -96,7 +96,11 @@ def _counted(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """
     cells = [f"named_struct('column', {i}, 'value', {number_sql(df, c)})" for i, c in enumerate(columns)]
     long = df.select(*by, F.expr(f"inline(array({', '.join(cells)}))")).where("value is not null")
-    counts = long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return ranged(long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n")), df, columns)
+
+
+def ranged(counts: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts of (column number, value) with the range of each value; limits come from the rows of ``df``."""
     limits = range_limits(df, [number(df, c) for c in columns], PER_RANGE)
     cut = {i: x for i, x in enumerate(limits) if x}
     if not cut:
@@ -104,7 +108,7 @@ def _counted(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     wide = counts.withColumns({f"__v{i}": F.when(F.col("column") == i, F.col("value")) for i in cut})
     wide = with_ranges(wide, {f"__v{i}": x for i, x in cut.items()}, {f"__v{i}": f"__r{i}" for i in cut})
     placed = F.coalesce(*[F.when(F.col("column") == i, F.col(f"__r{i}")) for i in cut], F.lit(0))
-    return wide.select(*by, "column", "value", "n", placed.alias(RANGE))
+    return wide.select(*counts.columns, placed.alias(RANGE))
 
 
 def _starts(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,7 +18,8 @@ from ..functions.stats import (
     skew_category,
     skew_label,
 )
-from .ordering import _nothing, average_ranks, column_fences, exact_quantiles, keyed, spread, top_values, value_counts
+from .correlation import pearson_pairs, spearman_pairs
+from .ordering import _nothing, column_fences, exact_quantiles, keyed, spread, top_values, value_counts
 from .profile import (
     _described,
     as_timestamp,
@@ -99,9 +99,7 @@ def shape_labels(summary_: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
     """(var1, var2, r, n) for every pair, pairwise complete. Columns without spread have no pair."""
     columns = columns if columns is not None else numeric_columns(df)
-    if method == "spearman":
-        return _spearman(df, columns)
-    return pair_correlations(df, list(combinations(columns, 2)))
+    return spearman_pairs(df, columns) if method == "spearman" else pearson_pairs(df, columns)
 
 
 def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -127,34 +125,6 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where(F.col("r").isNotNull())
 
 
-def _spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson of average ranks. Ranks depend on the pair only where a column has missing values."""
-    if len(columns) < 2:
-        return pair_correlations(df, [])
-    counted = df.agg(*[F.count_if(number(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    complete = [c for i, c in enumerate(columns) if counted[f"m{i}"] == 0]
-    parts = []
-    if len(complete) >= 2:
-        parts.append(_ranked_pairs(df, complete))
-    for a, b in combinations(columns, 2):
-        if a in complete and b in complete:
-            continue
-        both = df.where(number(df, a).isNotNull() & number(df, b).isNotNull())
-        parts.append(_ranked_pairs(both, [a, b]))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _ranked_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace each value by its rank (an equi-join per column, small rank tables are broadcast at run time)."""
-    rows = df.select(*[number(df, c).alias(f"__v{i}") for i, c in enumerate(columns)])
-    ranks = average_ranks(df, columns)
-    for i, c in enumerate(columns):
-        one = ranks.where(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), F.col("rank").alias(f"__r{i}"))
-        rows = rows.join(one, f"__v{i}").drop(f"__v{i}")
-    ranked = rows.toDF(*[columns[int(name[3:])] for name in rows.columns])
-    return pair_correlations(ranked, list(combinations(columns, 2)))
-
-
 def full_matrix(pairs: DataFrame) -> DataFrame:
     """Both triangles and the diagonal of a correlation table, long format."""
     a, b, one = F.col("var1"), F.col("var2"), F.lit(1.0)

@@ -99,9 +99,9 @@ def _(t: Tables) -> DataFrame:
     return A.correlations(t("lineitem"), RANKED, "spearman")
 
 
-@query("corr_spearman_gaps", " union all ".join(spearman_sql(source_sql("lineitem_gaps"), a, b) for a, b in combinations(RANKED[:3], 2)))
+@query("corr_spearman_gaps", " union all ".join(spearman_sql(source_sql("lineitem_gaps"), a, b) for a, b in combinations(LINE_NUMBERS, 2)))
 def _(t: Tables) -> DataFrame:
-    return A.correlations(t("lineitem_gaps"), RANKED[:3], "spearman")
+    return A.correlations(t("lineitem_gaps"), method="spearman")
 
 
 STRENGTH = """case when abs(r) >= 0.85 then 'Very Strong' when abs(r) >= 0.70 then 'Strong' when abs(r) >= 0.50 then 'Moderate'
