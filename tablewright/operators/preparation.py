@@ -26,6 +26,7 @@ from ..functions.missing import (
 )
 from ..functions.stats import percent
 from ..functions.text import blank_to_null, parse_boolean, title_case
+from .copies import each_once
 from .fills import directional_fill
 from .ordering import exact_quantiles, keyed, value_counts
 from .profile import column_counts, column_stats, duplicate_summary
@@ -177,7 +178,7 @@ def drop_duplicates(
     """
     clean = without_nan(df)
     if not columns or set(columns) == set(df.columns):
-        return clean.distinct()
+        return each_once(df)
     if not order_by:
         raise ValueError("keeping the first or last row of a key needs order_by")
     keys = [name_col(c) for c in columns]

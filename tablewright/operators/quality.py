@@ -20,10 +20,10 @@ from ..functions.missing import (
     parse_number,
     strip,
     value,
-    without_nan,
 )
 from ..functions.stats import clamp, percent, tiers
 from ..functions.text import fixed
+from .copies import copied_rows
 from .ordering import spread, top_values
 from .profile import column_counts, column_stats, duplicate_summary, full_profile, named, ranked, sample_values
 
@@ -59,9 +59,13 @@ def missing_analysis(df: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys..., copies) for every key that occurs more than once; the default key is the whole row."""
+    """(keys..., copies) for every key that occurs more than once; the default key is the whole row.
+
+    Only rows that may have a copy are grouped; the others are told by their digest and never shuffled.
+    """
     keys = keys or df.columns
-    grouped = without_nan(df).groupBy(*[name_col(k) for k in keys]).agg(F.count(F.lit(1)).alias("copies"))
+    only = df.select(*[name_col(k) for k in keys])
+    grouped = copied_rows(only).groupBy(*[name_col(k) for k in keys]).agg(F.count(F.lit(1)).alias("copies"))
     return grouped.where(F.col("copies") > 1)
 
 
@@ -74,7 +78,8 @@ def duplicate_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     Copies of a whole row are equal, so they are listed from (row, copies): in chunks that are spread over
     the tasks before the last step, so a row with very many copies is no bottleneck. With key columns the
-    rows differ; they come from a semi join against the duplicated keys, whose hot keys AQE's skew join splits.
+    rows differ; they come from a semi join against the duplicated keys, whose hot keys AQE's skew join splits. Rows whose
+    digest occurs once take no part.
     """
     if not keys or set(keys) == set(df.columns):
         groups = duplicate_groups(df)
@@ -85,7 +90,7 @@ def duplicate_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         listed = spread_out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__size"))))
         return listed.select(*[name_col(c) for c in df.columns])
     groups = duplicate_groups(df, keys).alias("g")
-    rows = without_nan(df).alias("r")
+    rows = copied_rows(df, keys).alias("r")
     match = reduce(
         Column.__and__, [F.col(f"r.`{k}`").eqNullSafe(F.col(f"g.`{k}`")) for k in keys]
     )

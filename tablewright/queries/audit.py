@@ -92,7 +92,15 @@ def _(t: Tables) -> DataFrame:
 CHOICES = "select l_returnflag, l_linestatus, l_quantity, l_discount, count(*) as n from lineitem group by all"
 
 
-@query("dq_duplicate_rows", f"""select l_returnflag, l_linestatus, {r('l_quantity')} as l_quantity, {r('l_discount')} as l_discount,
+WHOLE_LINE = ", ".join(ts(c) + f" as {c}" if k == "datetime" else r(c) + f" as {c}" if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else i(c) + f" as {c}" if c == "l_linenumber" else c for c, k in LINEITEM)
+
+
+@query("dq_duplicate_rows", f"select {WHOLE_LINE}, count(*) as copies from {source_sql('lineitem_repeated')} group by all having count(*) > 1")
+def _(t: Tables) -> DataFrame:
+    return Q.duplicate_groups(t("lineitem_repeated"))
+
+
+@query("dq_duplicate_choices", f"""select l_returnflag, l_linestatus, {r('l_quantity')} as l_quantity, {r('l_discount')} as l_discount,
  n as copies from ({CHOICES}) where n > 1""")
 def _(t: Tables) -> DataFrame:
     return Q.duplicate_groups(t("line_choices"))

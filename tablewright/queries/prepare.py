@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import outliers as O, preparation as R
 from ..plans.pipeline import Preparation, Step
-from .audit import score_sql
+from .audit import WHOLE_LINE, score_sql
 from .registry import Tables, query, source_sql
 from .sqltext import duplicates_sql, i, profile_sql, r, ts
 from .tables import CUSTOMER, EVENTS, ORDERS
@@ -113,6 +113,11 @@ def _(t: Tables) -> DataFrame:
     return R.drop_duplicates(t("line_choices"))
 
 
+@query("prep_dedup_lines", f"select distinct {WHOLE_LINE} from {source_sql('lineitem_repeated')}")
+def _(t: Tables) -> DataFrame:
+    return R.drop_duplicates(t("lineitem_repeated"))
+
+
 # --- columns -------------------------------------------------------------------------------------------------------
 @query("prep_rename", f"select o_orderkey, o_custkey, o_orderstatus, {r('o_totalprice')} as total, {ts('o_orderdate')} as o_orderdate, o_orderpriority from orders")
 def _(t: Tables) -> DataFrame:

@@ -100,6 +100,11 @@ FIXTURES: dict[str, tuple[str, list[str], str | None]] = {
         ["event_id", "ts", "user_id", "event_type", "value"],
         "event_type = 'purchase'",
     ),
+    "lineitem_repeated": (
+        "lineitem",
+        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+        "l_orderkey % 10 = 0",
+    ),
     "line_choices": ("lineitem", ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"], None),
     "order_texts": (
         "orders",
