@@ -23,25 +23,28 @@ def _bit(digest: str) -> Column:
     return F.expr(f"shiftleft(1L, cast({digest} & 63 as int))")
 
 
+def flagged(rows: DataFrame, digest: str, wanted: DataFrame) -> DataFrame:
+    """Replaces the column ``digest`` by `__flag`: false only where no row of ``wanted`` has that digest."""
+    bitmap = wanted.groupBy(_word(digest).alias("__word")).agg(F.bit_or(_bit(digest)).alias("__bits"))
+    joined = rows.withColumn("__word", _word(digest)).join(F.broadcast(bitmap), "__word", "left")
+    flag = F.coalesce(F.col("__bits").bitwiseAND(_bit(digest)) != 0, F.lit(False))
+    return joined.select(*[name_col(c) for c in rows.columns if c != digest], flag.alias("__flag"))
+
+
 def marked(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Adds `__copied`: false only for rows whose key (the whole row by default) occurs once. NaN counts as NULL."""
+    """Adds `__flag`: false only for rows whose key (the whole row by default) occurs once. NaN counts as NULL."""
     own = df.select(*[name_col(k) for k in keys]) if keys else df
-    repeated = row_counts(own).where("n > 1")
-    bitmap = repeated.groupBy(_word("__h0").alias("__word")).agg(F.bit_or(_bit("__h0")).alias("__bits"))
-    placed = df.withColumn("__h0", row_digest(own)[0])
-    joined = placed.withColumn("__word", _word("__h0")).join(F.broadcast(bitmap), "__word", "left")
-    copied = F.coalesce(F.col("__bits").bitwiseAND(_bit("__h0")) != 0, F.lit(False))
-    return joined.select(*[name_col(c) for c in df.columns], copied.alias("__copied"))
+    return flagged(df.withColumn("__h0", row_digest(own)[0]), "__h0", row_counts(own).where("n > 1").select("__h0"))
 
 
 def copied_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The rows, NaN as NULL, that may have a copy: all that do, and few others."""
     clean = without_nan(df)
-    return marked(clean, keys).where("__copied").drop("__copied")
+    return marked(clean, keys).where("__flag").drop("__flag")
 
 
 def each_once(df: DataFrame) -> DataFrame:
     """Every row once, NaN as NULL. Rows without a copy are not shuffled."""
     rows = marked(without_nan(df))
-    several = rows.where("__copied").drop("__copied")
-    return rows.where("not __copied").drop("__copied").unionByName(several.distinct())
+    several = rows.where("__flag").drop("__flag")
+    return rows.where("not __flag").drop("__flag").unionByName(several.distinct())

@@ -30,6 +30,7 @@ from .copies import each_once
 from .fills import directional_fill
 from .ordering import exact_quantiles, keyed, value_counts
 from .profile import column_counts, column_stats, duplicate_summary
+from .winners import winning_rows
 
 # --- missing values ----------------------------------------------------------------------------------------
 
@@ -172,21 +173,12 @@ def duplicate_info(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def drop_duplicates(
     df: DataFrame, columns: list[str] | None = None, keep: str = "first", order_by: list[str] | None = None
 ) -> DataFrame:
-    """One row per key. Whole rows need no order; a subset keeps the first or last row by ``order_by``.
-
-    Both are grouped aggregates with a partial step, so a hot key is reduced before the shuffle.
-    """
-    clean = without_nan(df)
+    """One row per key. Whole rows need no order; a subset keeps the first or last row by ``order_by``."""
     if not columns or set(columns) == set(df.columns):
         return each_once(df)
     if not order_by:
         raise ValueError("keeping the first or last row of a key needs order_by")
-    keys = [name_col(c) for c in columns]
-    pick = F.min_by if keep == "first" else F.max_by
-    order = F.struct(*[name_col(o) for o in order_by])
-    whole = F.struct(*[name_col(c) for c in df.columns])
-    kept = clean.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(pick(whole, order).alias("row"))
-    return kept.select("row.*")
+    return winning_rows(without_nan(df), columns, order_by, keep)
 
 
 # --- columns -----------------------------------------------------------------------------------------------

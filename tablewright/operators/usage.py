@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.dates import parse_utc
 from ..functions.missing import name_col
 from .profile import column_types, table_summary
+from .winners import winning_rows
 
 GUEST = "guest@session"
 PERIODS = ("Today", "Last 7 Days", "Last 30 Days", "All Time")
@@ -155,12 +156,10 @@ def search(log: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 def upsert_users(log: DataFrame, key: str, time: str, latest: list[str]) -> DataFrame:
     """One row per user: first and last time seen, and the other fields as last seen."""
-    order = F.struct(name_col(time), *[name_col(c) for c in latest])
-    return log.groupBy(name_col(key)).agg(
-        F.min(name_col(time)).alias("created_at"),
-        F.max(name_col(time)).alias("last_login_at"),
-        *[F.max_by(name_col(c), order).alias(c) for c in latest],
-    )
+    seen = {"created_at": F.min(name_col(time)), "last_login_at": F.max(name_col(time))}
+    own = log.select(*[name_col(c) for c in dict.fromkeys([key, time, *latest])])
+    last = winning_rows(own, [key], [time, *latest], "last", seen)
+    return last.select(name_col(key), *seen, *[name_col(c) for c in latest])
 
 
 def upload_record(df: DataFrame, dataset: str, file_type: str = "CSV") -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import charts, fills, ordering, preparation, profile, quality, usage
+from tablewright.operators import charts, copies, fills, ordering, preparation, profile, quality, usage
 
 LINES = "/root/testdata/sf0.001/lineitem.parquet"
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -105,9 +105,21 @@ def test_fill_is_one_plan_with_a_scalar(lines):
     assert "Subquery" in text and "Join" not in text
 
 
-def test_first_per_key_is_an_aggregate(lines):
-    text = plan(preparation.drop_duplicates(lines, ["l_orderkey"], "first", ["l_linenumber", "l_partkey"]))
-    assert "partial_min_by" in text and "Window" not in text
+def test_first_per_key_sorts_no_table(lines, spark):
+    first = preparation.drop_duplicates(lines, ["l_orderkey"], "first", ["l_linenumber", "l_partkey"])
+    users = usage.upsert_users(spark.read.parquet(EVENTS), "user_id", "ts", ["event_type", "value"])
+    for text in (plan(first), plan(users)):
+        assert "SortAggregate" not in text and "partial_m" in text and "__word" in text
+
+
+def test_rows_without_a_copy_are_not_shuffled(lines):
+    """Digests are counted first; what is grouped has passed the bitmap."""
+    for df in (quality.duplicate_groups(lines), preparation.drop_duplicates(lines)):
+        text = plan(df)
+        assert "BroadcastHashJoin" in text and "bit_or" in text and "SortAggregate" not in text
+    once = lines.dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    assert copies.copied_rows(once).count() <= 5
+    assert copies.copied_rows(once.unionByName(once.limit(50))).count() >= 100
 
 
 def test_profile_plan_does_not_grow_with_columns(spark):

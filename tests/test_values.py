@@ -376,3 +376,25 @@ def test_group_column_with_a_reserved_name(frame):
     for name in ("column", "n", "total", "start", "size"):
         got = C.box(df.withColumnRenamed("value", name), "x", name) if name not in ("n",) else C.aggregate(df.withColumnRenamed("value", name), name, "x", "Median")
         assert got.count() == 2
+
+
+def test_first_and_last_rows_of_odd_keys(frame):
+    """NULL keys and orders, NaN, infinite values, ties of the first order column and texts with equal beginnings."""
+    rows = [
+        (None, None, "a", 1), (None, 2.0, "b", 2), ("k", float("nan"), "c", 3), ("k", float("inf"), "d", 4), ("k", float("-inf"), "e", 5),
+        ("m", 0.0, "longer text 1", 6), ("m", -0.0, "longer text 0", 7), ("n", 1.0, None, 8), ("n", 1.0, "", 9),
+    ]
+    df = frame(rows, "k string, o double, t string, i int")
+    first = {r["k"]: r["i"] for r in R.drop_duplicates(df, ["k"], "first", ["o", "t"]).collect()}
+    assert first == {None: 1, "k": 3, "m": 7, "n": 8}  # NaN counts as missing, which comes first
+    last = {r["k"]: r["i"] for r in R.drop_duplicates(df, ["k"], "last", ["o", "t"]).collect()}
+    assert last == {None: 2, "k": 4, "m": 6, "n": 9}
+    by_text = {r["k"]: r["i"] for r in R.drop_duplicates(df, ["k"], "first", ["t"]).collect()}
+    assert by_text == {None: 1, "k": 3, "m": 7, "n": 8}
+    assert R.drop_duplicates(df.limit(0), ["k"], "first", ["o"]).count() == 0
+
+
+def test_copies_of_rows_with_nan(frame):
+    df = frame([(1, float("nan")), (1, None), (2, 1.0), (None, None), (None, None)], "a int, b double")
+    assert sorted(map(tuple, R.drop_duplicates(df).collect()), key=str) == [(1, None), (2, 1.0), (None, None)]
+    assert Q.duplicate_rows(df).count() == 4
