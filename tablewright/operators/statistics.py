@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import day_span
 from ..functions.missing import NUMERIC, name_col, number, number_sql, numeric_columns, text_literal, value
@@ -192,15 +192,20 @@ def outlier_totals(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def outlier_samples(df: DataFrame, columns: list[str], order_by: list[str], n: int = 10) -> DataFrame:
-    """(column, order keys..., value): first ``n`` outliers of each column; one top-n per column."""
+    """(column, order keys..., value): first ``n`` outliers of each column.
+
+    One scan for all columns: a row gives a cell per column in which it is an outlier, each task keeps its first ``n`` cells
+    of a column, and only those are shuffled.
+    """
+    if not columns:
+        return _nothing(df, order_by, "column string, value double")
     fence = keyed(column_fences(df, columns), "column", "lower", "upper")
-    keys = [name_col(o) for o in order_by]
-    parts = []
-    for c in columns:
-        v, f = value(df, c).cast("double"), fence[c]
-        hit = df.where((v < f["lower"]) | (v > f["upper"])).orderBy(*keys).limit(n)
-        parts.append(hit.select(F.lit(c).alias("column"), *keys, v.alias("value")))
-    return reduce(DataFrame.unionByName, parts) if parts else _nothing(df, order_by, "column string, value double")
+    cells = [F.struct(F.lit(c).alias("__column"), value(df, c).cast("double").alias("__value"), fence[c]["lower"].alias("__lower"), fence[c]["upper"].alias("__upper")) for c in columns]
+    keys = [name_col(o).alias(f"__o{i}") for i, o in enumerate(order_by)]
+    outside = df.select(*keys, F.inline(F.array(*cells))).where("__value < __lower or __value > __upper")
+    first = Window.partitionBy("__column").orderBy(*[f"__o{i}" for i in range(len(order_by))])
+    kept = outside.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= n)
+    return kept.select(F.col("__column").alias("column"), *[F.col(f"__o{i}").alias(o) for i, o in enumerate(order_by)], F.col("__value").alias("value"))
 
 
 # --- one column --------------------------------------------------------------------------------------------

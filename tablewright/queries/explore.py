@@ -143,6 +143,14 @@ def _(t: Tables) -> DataFrame:
     return A.outlier_samples(t("documents"), ["n_chars"], ["doc_id"])
 
 
+DIRTY_SAMPLES = " union all ".join(_sample(source_sql("events_dirty"), c, "event_id") for c in ("age", "amount"))
+
+
+@query("eda_outlier_samples_events", DIRTY_SAMPLES)
+def _(t: Tables) -> DataFrame:
+    return A.outlier_samples(t("events_dirty"), ["user_id", "age", "amount"], ["event_id"])
+
+
 # --- deep dives ----------------------------------------------------------------------------------------------------
 @query("deep_dive_overview", f"""with {profile_sql('(select p_brand from part)', [('p_brand', 'text')])} select col as "column", {SEMANTIC} as semantic_type, rows, non_null,
  missing, {r('missing_pct')} as missing_pct, distinct_ as "distinct", {r(pct('distinct_', 'non_null'))} as distinct_pct, distinct_ = 1 as is_constant,
