@@ -28,10 +28,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors see; one of our own only in a local session without it (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     application = spark.sparkContext.applicationId
     if application not in _OWN:
         _OWN[application] = "file://" + tempfile.mkdtemp(prefix="tablewright-")

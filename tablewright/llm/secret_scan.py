@@ -10,6 +10,7 @@ same pattern gives the gaps between them, and the lengths of gaps and matches ad
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -47,7 +48,13 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
 )
 RULES = BASE + ADDED
-RULE_VERSION = "base-3+2"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A digest of everything that decides what rules find: other rules never read an older scan's findings."""
+    told = [(r.kind, r.pattern, r.hint, str(r.keep(F.col("hit"))) if r.keep else "") for r in rules]
+    return hashlib.sha256(repr(told).encode()).hexdigest()
+
 
 SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
 LEDGER = f"blob binary, rule_version string, findings array<{SPAN}>"
@@ -96,13 +103,14 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def update(versions: DataFrame, text: str, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> None:
-    """Scans the blobs of `versions` that `ledger` doesn't hold under `rule_version`, and adds them to it.
+def update(versions: DataFrame, text: str, ledger: str, rules: tuple[Rule, ...] = RULES, edition: str = "") -> None:
+    """Scans the blobs of `versions` that `ledger` doesn't hold under these rules, and adds them to it.
 
     Copies of a blob are dropped before the shuffle and after it, so no group of copies meets in one task. What a
-    failed run has not committed is simply unseen again. NULL counts as the empty text.
+    failed run has not committed is simply unseen again. NULL counts as the empty text. Another `edition` scans all anew.
     """
     spark = versions.sparkSession
+    rule_version = version_of(rules) + edition
     seen = open_ledger(spark, ledger).filter(F.col("rule_version") == rule_version).select("blob")
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     blobs = versions.select(blob_of(content).alias("blob"), content.alias("content")).dropDuplicates(["blob"])
@@ -112,7 +120,7 @@ def update(versions: DataFrame, text: str, ledger: str, rules: tuple[Rule, ...]
 
 
 def findings(
-    versions: DataFrame, text: str, ledger: str | None = None, into: str = "findings", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION
+    versions: DataFrame, text: str, ledger: str | None = None, into: str = "findings", rules: tuple[Rule, ...] = RULES, edition: str = ""
 ) -> DataFrame:
     """Every row of `versions` (a path at a time, with its text) with `into`: the spans found in its blob.
 
@@ -121,7 +129,8 @@ def findings(
     """
     spark = versions.sparkSession
     ledger = ledger or new_ledger(spark)
-    update(versions, text, ledger, rules, rule_version)
+    update(versions, text, ledger, rules, edition)
+    rule_version = version_of(rules) + edition
     known = spark.read.schema(LEDGER).parquet(ledger).filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0))
     found = known.groupBy(F.col("blob").alias("__blob")).agg(F.first("findings").alias("__findings"))
     rows = versions.drop(into).withColumn("__blob", blob_of(F.col(f"`{text}`")))

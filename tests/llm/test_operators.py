@@ -350,10 +350,20 @@ def test_ledger_scans_only_what_is_new(spark):
     second = frame(("a", "token=abcdefgh"), ("e", "secret: 12345678"))
     secret_scan.update(second, "text", ledger)
     assert secret_scan.open_ledger(spark, ledger).count() == 4
-    secret_scan.update(second, "text", ledger, rule_version="next")
+    secret_scan.update(second, "text", ledger, edition="next")
     assert secret_scan.open_ledger(spark, ledger).count() == 6
 
 
+def test_other_rules_do_not_read_older_findings(spark):
+    ledger = secret_scan.new_ledger(spark)
+    frame = spark.createDataFrame([("a", "token=abcdefgh ZZZ123")], "path string, text string")
+    kinds = lambda rules: [f["kind"] for f in secret_scan.findings(frame, "text", ledger, rules=rules).first()["findings"]]
+    assert kinds(secret_scan.RULES) == ["assign"]
+    assert kinds((secret_scan.Rule("own", "Z{3}[0-9]+", "ZZZ"),)) == ["own"]
+    shorter = (secret_scan.Rule("assign", secret_scan.ASSIGN, "token", lambda hit: F.length(hit) > 99),)
+    assert kinds(shorter) == [] and kinds(secret_scan.RULES) == ["assign"]
+
+
 def test_masked(spark):
     frame = spark.createDataFrame([("é token=abcdef0123456789abcdef0123456789 z",), ("plain",), (None,)], "text string")
     got = secret_scan.findings(frame, "text").select(secret_scan.masked(F.col("text"), F.col("findings")).alias("t")).collect()
@@ -420,3 +430,5 @@ def test_no_python_in_native_plans(spark, name):
 
 def test_shared_folder_is_the_session_s():
     assert shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "file:///some/where/"})) == "file:///some/where"
+    with pytest.raises(ValueError):  # a folder of the driver's own would be seen by no other machine
+        shared_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://somewhere")))
