@@ -37,7 +37,7 @@ PARTS = 3
 #: Longs of 64 bits that bound from below in how many shingles two lines differ.
 BITS = 16
 #: Places of a row (with more, the code of a row is beyond what the JVM compiles), and characters of a line cut off at once.
-PLACES, PIECE = 3, 63
+PLACES, PIECE = 2, 64
 SLOTS = 1 << 23
 #: Not from the second half of a character that Java keeps as two.
 EVERY = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{SHINGLE - 1}}}))"
