@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .records import read_broken_csv
+
 
 class TableError(ValueError):
     """The source holds no usable table."""
@@ -64,8 +66,8 @@ def load_csv(
 
     Encoding and separator are found for each given path; paths that agree are read together and the groups
     are united by column name. Give ``schema``, ``encoding`` and ``multi_line`` for large inputs: finding any of them
-    reads the data once more. ``multi_line`` allows line breaks inside quotes; such a file cannot be split between
-    tasks, so by default only paths that hold such a break are read that way.
+    reads the data once more, and types of columns of files with line breaks inside quotes are found by one task per file.
+    ``multi_line`` allows such breaks; by default only paths that hold one are read that way, by many tasks per file.
     """
     groups: dict[tuple[str, str, bool], list[str]] = {}
     for path in [paths] if isinstance(paths, str) else paths:
@@ -77,7 +79,8 @@ def load_csv(
         reader = spark.read.option("header", True).option("encoding", found).option("sep", sep)
         reader = reader.option("quote", '"').option("escape", '"').option("multiLine", broken)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        parts.append(trim_names(reader.csv(members)))
+        plain = reader.csv(members)
+        parts.append(trim_names(read_broken_csv(spark, members, plain.schema, found, sep) if broken else plain))
     df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     usable, message = validate(df)
     if not usable:

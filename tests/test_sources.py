@@ -66,3 +66,32 @@ def test_dispatch(spark, tmp_path):
     assert S.load_table(spark, path).count() == 3
     with pytest.raises(S.TableError):
         S.load_table(spark, os.path.join(tmp_path, "t.docx"))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_breaks_inside_quotes_are_read_by_many_tasks(spark, tmp_path, end):
+    import csv
+    import io
+    import random
+
+    draw, rows = random.Random(3), []
+    for i in range(3000):
+        text = "".join(draw.choice(["word ", "\n", "\n\n", '"', ",", "é", "a,b", " x", end]) for _ in range(draw.randrange(12)))
+        rows.append((i, text + "." if i % 50 else "long " + "line\n" * 3000 * (i == 50) + "."))
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator=end).writerows([("n", " t "), *rows])
+    path = written(tmp_path, "a.csv", (end + out.getvalue()).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = S.load_csv(spark, path, "n int, t string")
+        lines = spark.read.text(path)
+        assert lines.rdd.getNumPartitions() > 5
+        assert sorted(map(tuple, df.collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_several_files_with_breaks(spark, tmp_path):
+    one = written(tmp_path, "a.csv", b'n,t\n1,"x\ny"\n2,plain\n')
+    two = written(tmp_path, "b.csv", 'n;t\n3;"Å\n\n;"\n\n4;""\n'.encode("latin-1"))
+    assert {tuple(r) for r in S.load_csv(spark, [one, two]).collect()} == {(1, "x\ny"), (2, "plain"), (3, "Å\n\n;"), (4, None)}
