@@ -206,12 +206,12 @@ def segment_sql(card: int, column: str) -> str:
 @query("dash_segments", f"""{segment_sql(1, 'p_type')} union all {segment_sql(2, 'p_brand')}
  union all select 3, 'Total Categorical Fields', null, 2, count(*)::double from part union all select 4, 'Total Categorical Fields', null, 2, count(*) from part""")
 def _(t: Tables) -> DataFrame:
-    return B.segment_cards(t("part").drop("p_name"))
+    return B.segment_cards(t("part"))
 
 
 @query("dash_segment_bars", " union all ".join(f"select '{c}' as \"column\", label, records from ({top_other_sql('part', c, 10)})" for c in ("p_type", "p_brand")))
 def _(t: Tables) -> DataFrame:
-    return B.segment_bars(t("part").drop("p_name"))
+    return B.segment_bars(t("part"))
 
 
 @query("dash_drivers", f"""with c as ({pairs_sql(COMPLETE, FOUR, None)})
@@ -223,18 +223,18 @@ def _(t: Tables) -> DataFrame:
     return B.driver_cards(_named(t))
 
 
-EVENT_COLUMNS = [("user_id", "numeric"), ("event_type", "text"), ("value", "numeric"), ("ts", "datetime")]
-FEW = f"(select user_id, event_type, value, ts from {source_sql('events_gaps')})"
-FEW_MISSING = "count(*) * 4 - count(user_id) - count(event_type) - count(value) - count(ts)"
+EVENT_COLUMNS = [("event_id", "numeric"), ("ts", "datetime"), ("user_id", "numeric"), ("event_type", "text"), ("value", "numeric")]
+GAPPED = source_sql("events_gaps")
+GAPPED_MISSING = "count(*) * 5 - count(event_id) - count(user_id) - count(event_type) - count(value) - count(ts)"
 
 
-@query("dash_anomalies", f"""with {score_sql(EVENT_COLUMNS, FEW)}
+@query("dash_anomalies", f"""with {score_sql(EVENT_COLUMNS, GAPPED)}
  select 1::bigint as card, 'Total Potential Outliers' as label, null::varchar as subject, outliers::double as value, null::double as extra from p where col = 'value'
- union all select 2, 'Missing Data Cells', null, {FEW_MISSING}, {r(f'({FEW_MISSING}) * 100.0 / (count(*) * 4)', 2)} from {FEW}
+ union all select 2, 'Missing Data Cells', null, {GAPPED_MISSING}, {r(f'({GAPPED_MISSING}) * 100.0 / (count(*) * 5)', 2)} from {GAPPED}
  union all select 3, 'Duplicate Rows', null, duplicate_rows, {r('duplicate_pct', 2)} from dup
  union all select 4, 'Health Index', {STATUS}, {r('score', 1)}, null from sc""", digits=2)
 def _(t: Tables) -> DataFrame:
-    return B.anomaly_cards(t("events_gaps").select("user_id", "event_type", "value", "ts"))
+    return B.anomaly_cards(t("events_gaps"))
 
 
 @query("dash_type_mix", f"with {profile_sql('part', PART)} select {SEMANTIC} as semantic_type, count(*) as columns from p group by 1")
