@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import questions as K
+from . import words as W
 from .audit import DOCUMENTS, STATUS, score_sql
 from .explore import STRENGTH, pairs_sql
 from .registry import Tables, query, source_sql
@@ -60,14 +61,14 @@ def _(t: Tables) -> DataFrame:
 
 QUESTION = "lower(trim(text))"
 GREETING = (
-    f"({QUESTION} in ({', '.join(repr(g) for g in K.GREETINGS)}) or "
-    + " or ".join(f"starts_with({QUESTION}, '{g} ')" for g in K.GREETINGS)
+    f"({QUESTION} in ({', '.join(repr(g) for g in W.GREETINGS)}) or "
+    + " or ".join(f"starts_with({QUESTION}, '{g} ')" for g in W.GREETINGS)
     + ")"
 )
 
 
 def intent_sql(numeric: list[str], other: list[str]) -> str:
-    says = {k: _any(QUESTION, v) for k, v in K.PHRASES.items()}
+    says = {k: _any(QUESTION, v) for k, v in W.PHRASES.items()}
     return f"""select c.conv_id, c.turn, case when {GREETING} or {says['help']} then 'greeting' when {says['schema']} then 'schema' when {says['shape']} then 'shape'
  when {says['quality']} then 'quality' when {says['missing']} then 'missing' when {says['duplicates']} then 'duplicates' when {says['grouped']} then 'grouped'
  when {says['extreme']} and n.col is not null then 'extreme' when {says['column_stats']} and n.col is not null then 'column_stats'

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import names
 from ..operators import decisions as D, quality as Q
 from ..operators.decisions import Repair
+from . import words as W
 from .registry import Tables, query, source_sql
 from .sqltext import duplicates_sql, i, pct, profile_sql, q, r, ts
 from .tables import EVENTS, LINEITEM
@@ -205,8 +205,8 @@ for _source, _columns in AUDITED[:2]:
 IS_NUMERIC = "(kind = 'numeric' and not is_id)"
 IS_CATEGORICAL = f"(kind in ('text', 'boolean') or (not {IS_NUMERIC} and kind <> 'datetime' and not is_id))"
 IS_SKEWED = f"coalesce({IS_NUMERIC} and abs(case when non_null >= 3 then skewness else 0 end) > 1.0, false)"
-IS_TARGET = "(" + " or ".join(f"contains(lower(col), '{w}')" for w in names.TARGET_PARTS) + ")"
-IS_FINANCIAL = "(" + " or ".join(f"contains(lower(col), '{w}')" for w in names.FINANCIAL_PARTS) + ")"
+IS_TARGET = "(" + " or ".join(f"contains(lower(col), '{w}')" for w in W.TARGET_PARTS) + ")"
+IS_FINANCIAL = "(" + " or ".join(f"contains(lower(col), '{w}')" for w in W.FINANCIAL_PARTS) + ")"
 DOMINANT = f"({IS_CATEGORICAL} and top_count::double / nullif(non_null, 0) >= 0.40)"
 SPECIAL = f"(is_id or {IS_TARGET})"
 

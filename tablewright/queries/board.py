@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import names
 from ..operators import charts as C, dashboard as B
+from . import words as W
 from .audit import STATUS, score_sql
 from .chart import histogram_sql
 from .explore import pairs_sql
@@ -50,8 +50,8 @@ SOURCES = {
     "part": ("part", PART, ["p_partkey", "p_size"], lambda t: t("part")),
     "named_lines": (NAMED, NAMED_COLUMNS, ["order_id"], _named),
 }
-METRIC = "(" + " or ".join(f"regexp_matches(lower(col), '(^|_){w}$')" for w in names.METRIC_WORDS.split()) + ")"
-CATEGORY = "(" + " or ".join(f"regexp_matches(lower(col), '(^|_){w}$')" for w in names.CATEGORY_WORDS.split()) + ")"
+METRIC = "(" + " or ".join(f"regexp_matches(lower(col), '(^|_){w}$')" for w in W.METRIC_WORDS.split()) + ")"
+CATEGORY = "(" + " or ".join(f"regexp_matches(lower(col), '(^|_){w}$')" for w in W.CATEGORY_WORDS.split()) + ")"
 FILLED = "(1.0 - missing::double / rows)"
 SCORE = f"""case when role = 'numeric' then case when {METRIC} then 12.0 else 0 end + case when variance > 0 then 4.0 else 0 end + {FILLED} * 3 + case when distinct_ > 5 then 2.0 else 0 end
  else case when distinct_ between 2 and 12 then 10.0 when distinct_ between 13 and 25 then 5.0 else 0 end + case when {CATEGORY} then 8.0 else 0 end + {FILLED} * 2 end"""

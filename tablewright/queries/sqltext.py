@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import names
+from . import words as W
 from .registry import source_sql
 
 CURRENCY = "[$€£₹¥]"
@@ -92,8 +92,8 @@ def _column_sql(position: int, c: str, kind: str, src: str) -> str:
     num, txt = kind == "numeric", kind == "text"
     x = f"cast({c} as double)"
     zero, null = "0::bigint", "null::double"
-    non_negative = f"{named(c, names.NON_NEGATIVE_WORDS)} and not {named(c, names.ID_WORDS)}"
-    percent = f"{named(c, names.PERCENT_WORDS)} and not contains(lower('{c}'), 'diff') and not contains(lower('{c}'), 'growth')"
+    non_negative = f"{named(c, W.NON_NEGATIVE_WORDS)} and not {named(c, W.ID_WORDS)}"
+    percent = f"{named(c, W.PERCENT_WORDS)} and not contains(lower('{c}'), 'diff') and not contains(lower('{c}'), 'growth')"
     quart = f"(select quantile_cont({x}, [0.25, 0.5, 0.75]) as z from {src})"
     outliers = (
         f"(select count(*) from {src}, (select z[1] - (z[3] - z[1]) * 1.5 as lo, z[3] + (z[3] - z[1]) * 1.5 as hi from {quart}) "
@@ -128,7 +128,7 @@ def _column_sql(position: int, c: str, kind: str, src: str) -> str:
  {f'quantile_cont({x}, 0.25)' if num else null} as q1, {f'quantile_cont({x}, 0.5)' if num else null} as median_,
  {f'quantile_cont({x}, 0.75)' if num else null} as q3,
  {outliers if num else zero} as outliers,
- {named(c, names.ID_WORDS)} as is_id, {named(c, names.TYPE_ID_WORDS)} as id_named, {named(c, names.DATE_WORDS)} as date_named
+ {named(c, W.ID_WORDS)} as is_id, {named(c, W.TYPE_ID_WORDS)} as id_named, {named(c, W.DATE_WORDS)} as date_named
  from {src}"""
 
 
