@@ -91,3 +91,24 @@ def test_bins(table):
         assert r["count"] == (expected["count"].iloc[i] if expected["count"].iloc[i] == expected["count"].iloc[i] else 0)
         if r["count"]:
             assert r["mean"] == pytest.approx(round(expected["mean"].iloc[i], 2), abs=0.011)
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+@pytest.mark.parametrize("wide", [250, 6])
+def test_many_columns_with_gaps(spark, monkeypatch, method, wide):
+    """Every pair agrees with pandas, in one block of columns and in several; a constant column has no pair."""
+    from tablewright.operators import correlation
+
+    monkeypatch.setattr(correlation, "WIDE", wide)
+    draw = np.random.default_rng(2)
+    data = pd.DataFrame({f"c{i}": np.round(draw.normal(10.0 ** (i % 5), 3, 400), 1) for i in range(9)})
+    data["c3"] = data["c2"] * -2 + draw.normal(0, 1, 400)
+    for i in (1, 4, 5):
+        data.loc[draw.random(400) < 0.3, f"c{i}"] = np.nan
+    data["still"] = 7.25
+    got = {(r["var1"], r["var2"]): (r["r"], r["n"]) for r in A.correlations(spark.createDataFrame(data), None, method).collect()}
+    assert len(got) == 9 * 8 // 2
+    for (a, b), (r, n) in got.items():
+        both = data[[a, b]].dropna()
+        x, y = (both[a], both[b]) if method == "pearson" else (both[a].rank(), both[b].rank())
+        assert n == len(both) and r == pytest.approx(x.corr(y), abs=1e-9)
