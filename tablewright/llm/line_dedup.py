@@ -10,9 +10,9 @@ All steps are Spark's own expressions over lines, which a 128-bit digest of thei
 2. Bands: the three values of one seed. In each bucket, lines are first compared with the leader, the line with most
    copies. Those that are not like it are then compared with the other lines of the bucket, but for lines that are linked
    already, by any way. So a bucket full of variants of one line costs a comparison each, and no component loses a line.
-3. Lines that share a bucket with another are read again: 1,024 bits say which hashes they hold. Two lines differ in at
-   least as many shingles as their bits do; only by this bound, which no similar pair exceeds, are pairs left out. All
-   others are verified on their texts: exact Jaccard of their shingles.
+3. Lines that share a bucket with another are read again: 1,024 bits, each the parity of the shingles that fall on it. What
+   two lines share cancels out, so they differ in at least as many shingles as their bits do; only by this bound, which no
+   similar pair exceeds, are pairs left out. All others are verified on their texts: exact Jaccard of their shingles.
 4. Components of the verified links; each keeps its first line by (document, line number).
 
 Texts move only if they can matter: a bitmap of fixed size (1 MB, a Bloom filter with one hash) says which lines or
@@ -39,8 +39,8 @@ BITS = 16
 #: Places of a row (with more, the code of a row is beyond what the JVM compiles), and characters of a line cut off at once.
 PLACES, PIECE = 3, 63
 SLOTS = 1 << 23
-#: Not from the second half of a character that Java keeps as two.
-EVERY = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{SHINGLE - 1}}}))"
+#: Pieces of a line, each with what its last shingles need of the next.
+PIECES = rf"(?s)(?=(.{{1,{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
 
 
 def _slot(key: Column) -> Column:
@@ -91,48 +91,48 @@ def _placed(lines: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, text: str) -> DataFrame:
-    """(id, digest, copies, places, keys) of every distinct line with a word. `keys` has one per band, `places` counts
-    shingles with their repeats. Lines with more copies have smaller ids."""
+    """(id, digest, copies, keys) of every distinct line with a word. `keys` has one per band. Lines with more copies have
+    smaller ids."""
     lines = _occurrences(docs, text).filter("digest is not null").select(F.col("digest.a").alias("da"), F.col("digest.b").alias("db"), "line")
     each = range(1, PLACES + 1)
-    seeded = _placed(lines).select("da", "db", "first", "m", *(F.xxhash64(F.lit(k), F.col(f"h{i}")).alias(f"g{k}_{i}") for k in range(BANDS) for i in each))
+    seeded = _placed(lines).select("da", "db", "first", *(F.xxhash64(F.lit(k), F.col(f"h{i}")).alias(f"g{k}_{i}") for k in range(BANDS) for i in each))
 
     def part(g: Column, j: int) -> Column:
         return F.shiftrightunsigned(g, 42) if j == 2 else (F.shiftrightunsigned(g, 21) if j else g).bitwiseAND(F.lit((1 << 21) - 1))
 
     least = [F.least(*(part(F.col(f"g{k}_{i}"), j) for i in each)).alias(f"v{k}_{j}") for k in range(BANDS) for j in range(PARTS)]
-    made = seeded.select("da", "db", "first", "m", *least).groupBy("da", "db").agg(
-        F.count_if("first").alias("copies"), F.sum("m").alias("all"), *(F.min(f"v{k}_{j}").alias(f"v{k}_{j}") for k in range(BANDS) for j in range(PARTS))
+    made = seeded.select("da", "db", "first", *least).groupBy("da", "db").agg(
+        F.count_if("first").alias("copies"), *(F.min(f"v{k}_{j}").alias(f"v{k}_{j}") for k in range(BANDS) for j in range(PARTS))
     )
     level = F.lit(1023) - F.least(F.lit(1023), F.floor(F.log2("copies") * 32)).cast("int")
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"v{k}_{j}") for j in range(PARTS))) for k in range(BANDS)))
     return made.select(
         (F.shiftleft(level.cast("long"), 53) + F.monotonically_increasing_id()).alias("id"),
         F.struct(F.col("da").alias("a"), F.col("db").alias("b")).alias("digest"),
-        "copies", F.expr("all div copies").alias("places"), keys.alias("keys"),
+        "copies", keys.alias("keys"),
     )
 
 
 def _bitmaps(texts: DataFrame) -> DataFrame:
-    """(id, b0, b1 ...): the bits of the hashes that each line holds."""
-    each = range(1, PLACES + 1)
-    hashed = _placed(texts.select("id", "line")).select("id", *(F.expr(f"shiftleft(1L, cast(h{i} & 63 as int))").alias(f"bit{i}") for i in each), *(F.shiftright(f"h{i}", 6).bitwiseAND(F.lit(BITS - 1)).alias(f"at{i}") for i in each))
+    """(id, size, b0, b1 ...): the number of a line's shingles, and the parities of those that fall on each bit."""
+    hashed = texts.select("id", F.explode(_shingles(F.col("line"))).alias("h"))
+    hashed = hashed.select("id", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.shiftright("h", 6).bitwiseAND(F.lit(BITS - 1)).alias("at"))
     zero = F.lit(0).cast("long")
-    bits = [reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.col(f"at{i}") == j, F.col(f"bit{i}")).otherwise(zero) for i in each)).alias(f"b{j}") for j in range(BITS)]
-    return hashed.select("id", *bits).groupBy("id").agg(*(F.bit_or(f"b{j}").alias(f"b{j}") for j in range(BITS)))
+    bits = (F.bit_xor(F.when(F.col("at") == j, F.col("bit")).otherwise(zero)).alias(f"b{j}") for j in range(BITS))
+    return hashed.groupBy("id").agg(F.count("*").alias("size"), *bits)
 
 
-def _possible(a: str, b: str, size: str, similarity: float) -> Column:
-    """False only for pairs that cannot be similar: they differ in at least a shingle per bit that differs. `size` is no
-    less than the number of a line's shingles."""
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """False only for pairs that cannot be similar: they differ in at least a shingle per bit that differs."""
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.b{j}").bitwiseXOR(F.col(f"{b}.b{j}"))) for j in range(BITS)))
-    return apart * F.lit(1 + similarity) <= F.lit(1 - similarity + 1e-9) * (F.col(f"{a}.{size}") + F.col(f"{b}.{size}"))
+    return apart * F.lit(1 + similarity) <= F.lit(1 - similarity + 1e-9) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
 
 
 def _shingles(line: Column) -> Column:
     """The set of a line's shingles, as hashes."""
-    every = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
-    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
+    pieces = F.filter(F.regexp_extract_all(line, F.lit(PIECES), F.lit(1)), lambda x: F.length(x) >= SHINGLE)
+    each = F.transform(pieces, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(x, i, F.lit(SHINGLE)))))
+    return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.flatten(each)))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -151,14 +151,14 @@ def similar_lines(docs: DataFrame, text: str, similarity: float = 0.8) -> tuple[
     leaders = written(bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
     star = written(bands.join(leaders, "key").filter("id != leader"), "star")
     some = written(star.select(F.col("id")).unionByName(star.select(F.col("leader").alias("id"))).distinct(), "some")
-    wanted = written(signed.select("id", "digest", "places").join(some, "id", "left_semi"), "wanted")
+    wanted = written(signed.select("id", "digest").join(some, "id", "left_semi"), "wanted")
     lines = _occurrences(docs, text).filter("digest is not null").select("digest", "line")
     near = _marked(lines, "digest", wanted, "__needed").filter("__needed").select("digest", "line")
-    texts = written(near.join(wanted.select("id", "digest"), "digest").select("id", "line").dropDuplicates(["id"]), "texts")
-    small = written(_bitmaps(texts).join(wanted.select("id", "places"), "id"), "candidates")
+    texts = written(near.join(wanted, "digest").select("id", "line").dropDuplicates(["id"]), "texts")
+    small = written(_bitmaps(texts), "candidates")
 
     def possible(pairs: DataFrame) -> DataFrame:
-        joined = pairs.alias("p").join(small.alias("x"), F.col("p.a") == F.col("x.id")).join(small.alias("y"), (F.col("p.b") == F.col("y.id")) & _possible("x", "y", "places", similarity))
+        joined = pairs.alias("p").join(small.alias("x"), F.col("p.a") == F.col("x.id")).join(small.alias("y"), (F.col("p.b") == F.col("y.id")) & _possible("x", "y", similarity))
         return joined.select("p.a", "p.b")
 
     first = written(possible(star.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()), "first")
@@ -170,7 +170,7 @@ def similar_lines(docs: DataFrame, text: str, similarity: float = 0.8) -> tuple[
     signed_rest = rest.join(small, "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     alone, others = signed_rest.filter("not linked").alias("x"), signed_rest.alias("y")
     order = F.col("y.linked") | (F.col("x.id") < F.col("y.id"))
-    second = alone.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & _possible("x", "y", "places", similarity))
+    second = alone.join(others, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & _possible("x", "y", similarity))
     second = second.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     late = _verified(second, texts, similarity)
     for k in "ab":

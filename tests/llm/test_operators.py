@@ -178,6 +178,23 @@ def test_shingles_of_a_line(spark):
         assert sum(n for (k, _), n in placed.items() if k == i) == max(1, len(line) - 7)
 
 
+def test_lines_with_one_passage_are_told_apart(spark):
+    """Bits rule out nearly all pairs of lines that share a passage but are not similar, and no pair that is."""
+    draw = random.Random(5)
+    words = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    passage = words(50)
+    lines = [words(9) + passage + words(9) for _ in range(40)] + [words(j) + passage for j in (0, 1, 2, 3, 5, 9, 12)] + [passage + passage + words(1), "ab" * 300, "short"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    small = line_dedup._bitmaps(texts)
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.id") < F.col("y.id")) & line_dedup._possible("x", "y", 0.8))
+    left = {(r[0], r[1]) for r in pairs.select("x.id", "y.id").collect()}
+    sets = [every_shingle(x) for x in lines]
+    assert {r["id"]: r["size"] for r in small.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    every = {(a, b) for b in range(len(lines)) for a in range(b)}
+    similar = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(similar) > 3 and similar <= left and len(left) <= len(similar) + len(every) / 20
+
+
 VECTORS = [(400, None, 1), (401, [0.0] * 6, 1), (402, [float("nan")] + [1.0] * 5, 1), (403, [None] * 6, 1), (404, [1.0, 2.0], 1), (405, [2.0, 4.0], 1), (406, [], 1), (407, [float("inf")] * 6, 1), (None, [1.0, 2.0], 1)]
 
 
