@@ -5,8 +5,9 @@ flag that it is present; the sums of products of all these, one distributed Gram
 products of every pair over the rows that have both. One scan, no row per pair; what returns is bounded by the columns.
 
 Spearman: Pearson of ranks, which depend on the pair where the other column has gaps. Equal values are counted together
-with which columns are present beside them, so one table of positions ranks every value for every pair. Ranks then go back
-to the rows by one merge on (column, value), and one vector of products per row is added up.
+with which columns are present beside them, so one table of positions ranks every value for every pair. Of few columns,
+each has a table of its own, which a join on the value brings back to the rows: a broadcast if it has few values, a merge
+otherwise. Of many, ranks go back by one merge on (column, value), as joins of wide rows would move more.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.missing import number, text_literal
-from .ordering import _nothing, _placed, _starts, ranged
+from . import ordering
+from .ordering import RANGE, _nothing, _placed, _starts, range_limits, ranged, with_ranges
 
 RESULT = "var1 string, var2 string, r double, n bigint"
 # Columns whose products are added in one scan; wider tables take a scan per two blocks of half as many.
 WIDE = 250
+# Sums that one aggregate of ranks may hold; beyond that, columns are taken as cells.
+NARROW = 90
 # Rows that say roughly where a column's values lie. Any centre and scale give the same result.
 NEAR = 1_000
 # A column that varies by less than this share of its mean square, as far as the sums can tell, does not vary.
@@ -108,6 +112,8 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
         return _nothing(df, [], RESULT)
     missing = df.agg(*[F.count_if(number(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     gaps = [i for i in range(len(columns)) if missing[f"m{i}"]]
+    if len(columns) * (len(columns) - 1) // 2 + 2 * len(columns) * (len(gaps) + 1) <= NARROW:
+        return _narrow_spearman(df, columns, gaps)
     # Beside which columns a value is ranked: 0 all rows, k the rows that have the k-th column with gaps.
     beside = {c: k + 1 for k, c in enumerate(gaps)}
     cells = [F.struct(F.lit(i).alias("column"), number(df, c).alias("value")) for i, c in enumerate(columns)]
@@ -146,3 +152,55 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     titles = F.expr("array(" + ", ".join(map(text_literal, columns)) + ")")
     r = F.col("product") / F.sqrt("sa") / F.sqrt("sb")
     return labelled.where("sa > 0 and sb > 0").select(titles[F.col("ca")].alias("var1"), titles[F.col("cb")].alias("var2"), r.alias("r"), F.col("na").alias("n"))
+
+
+def _narrow_spearman(df: DataFrame, columns: list[str], gaps: list[int]) -> DataFrame:
+    """`spearman_pairs` of few columns, of which `gaps` have missing values."""
+    rows = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    limits = range_limits(df, [number(df, c) for c in columns], ordering.PER_RANGE)
+    # Beside which columns a value is ranked: -1 all rows, g the rows that have column g, which has gaps.
+    beside = {i: sorted({b if b in gaps else -1 for b in range(len(columns)) if b != i}) for i in range(len(columns))}
+    grid = rows
+    # Columns of many values first, while rows are narrow.
+    for i in sorted(beside, key=lambda i: not limits[i]):
+        ranks = _column_ranks(rows, i, beside[i], limits[i])
+        grid = grid.join(ranks if limits[i] else F.broadcast(ranks), f"v{i}", "left").drop(f"v{i}")
+
+    def rank(a: int, b: int) -> Column:
+        """Of column a, over the rows that have column b; NULL elsewhere."""
+        return F.col(f"r{a}_{b}") if b < 0 else F.when(F.col(f"r{b}_{beside[b][0]}").isNotNull(), F.col(f"r{a}_{b}"))
+
+    own = [(a, g) for a, others in beside.items() for g in others]
+    pairs = [(a, b, b if b in gaps else -1, a if a in gaps else -1) for a, b in combinations(range(len(columns)), 2)]
+    sums = grid.agg(
+        *[F.sum(rank(a, g) * rank(a, g)).alias(f"s{a}_{g}") for a, g in own],
+        *[F.count(rank(a, g)).alias(f"n{a}_{g}") for a, g in own],
+        *[F.sum(F.col(f"r{a}_{i}") * F.col(f"r{b}_{j}")).alias(f"p{a}_{b}") for a, b, i, j in pairs],
+    )
+    told = [
+        F.struct(
+            F.lit(columns[a]).alias("var1"),
+            F.lit(columns[b]).alias("var2"),
+            F.when((F.col(f"s{a}_{i}") > 0) & (F.col(f"s{b}_{j}") > 0), F.col(f"p{a}_{b}") / F.sqrt(f"s{a}_{i}") / F.sqrt(f"s{b}_{j}")).alias("r"),
+            F.col(f"n{a}_{i}").alias("n"),
+        )
+        for a, b, i, j in pairs
+    ]
+    return sums.select(F.inline(F.array(*told))).where("r is not null")
+
+
+def _column_ranks(rows: DataFrame, i: int, beside: list[int], limits: list[float]) -> DataFrame:
+    """(v, r...) for each value of column `i`: its average rank, less the mean, over all rows (-1) or those that have a column."""
+    v, key = f"v{i}", [RANGE]
+    held = [F.count(F.lit(1) if g < 0 else F.col(f"v{g}")).alias(f"n{g}") for g in beside]
+    counts = rows.where(F.col(v).isNotNull()).groupBy(v).agg(*held)
+    # Also with one limit or none: by a constant range Spark would join in a nested loop.
+    counts = with_ranges(counts, {v: limits}, {v: RANGE})
+    sizes = counts.groupBy(*key).agg(*[F.sum(f"n{g}").alias(f"size{g}") for g in beside])
+    # One row per range.
+    every = Window.partitionBy(F.lit(0))
+    before = every.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*key, *[F.coalesce(F.sum(f"size{g}").over(before), F.lit(0)).alias(f"start{g}") for g in beside], *[F.sum(f"size{g}").over(every).alias(f"total{g}") for g in beside])
+    running = Window.partitionBy(*key).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(F.broadcast(starts), key).select(v, *[f"start{g}" for g in beside], *[f"total{g}" for g in beside], *[f"n{g}" for g in beside], *[F.sum(f"n{g}").over(running).alias(f"upto{g}") for g in beside])
+    return placed.select(v, *[(F.col(f"start{g}") + F.col(f"upto{g}") - (F.col(f"n{g}") + F.col(f"total{g}")) / 2).alias(f"r{i}_{g}") for g in beside])

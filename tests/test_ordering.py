@@ -88,6 +88,32 @@ def test_spearman_with_gaps(path, data):
     assert got["n"] == len(both)
 
 
+@pytest.mark.parametrize("narrow", [90, 0])
+def test_spearman_of_few_columns_and_of_many(spark, monkeypatch, path, narrow):
+    """Both ways back to the rows: repeated rows, a hot value, columns that miss values together, one without any."""
+    from tablewright.operators import correlation
+
+    monkeypatch.setattr(correlation, "NARROW", narrow)
+    draw = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": draw.normal(size=900), "b.c": np.where(draw.random(900) < 0.5, 3.0, draw.random(900)), "d": draw.integers(0, 5, 900) * 1.0})
+    pdf["e"] = pdf["a"].round(1) + pdf["d"]
+    pdf.loc[draw.random(900) < 0.3, ["a"]] = np.nan
+    pdf.loc[pdf["d"] == 2, ["e"]] = np.nan
+    pdf["none"] = np.nan
+    pdf = pd.concat([pdf, pdf[:50]])
+    df = spark.createDataFrame(pdf)
+    pairs = statistics.correlations(df, method="spearman")
+    got = {(r["var1"], r["var2"]): (r["r"], r["n"]) for r in pairs.collect()}
+    assert len(got) == 6
+    for (x, y), (r, n) in got.items():
+        both = pdf[[x, y]].dropna()
+        assert n == len(both) and r == pytest.approx(both[x].rank().corr(both[y].rank()), abs=1e-9)
+    # Few columns: no row is taken apart and put together again.
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert ("collect_list" in text) == (narrow == 0)
+    assert statistics.correlations(df.where("false"), method="spearman").collect() == []
+
+
 def test_ecdf(path, data):
     pdf, df = data
     got = {(r["g"], r["value"]): r["fraction"] for r in charts.ecdf(df, "x", "g").collect()}
