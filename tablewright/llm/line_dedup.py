@@ -3,11 +3,11 @@
 All steps are Spark's own expressions over lines, which a 128-bit digest of their text names. Shingles are compared by
 64-bit hashes.
 
-1. Signature. The shingles of a line are the eight characters from every place (a shorter line is its own shingle). They
-   are hashed once, then again with ten seeds; a seeded hash has three parts, and a value of the signature is the least
-   such part in the line. A row holds several places, so the aggregate by digest takes fewer rows than characters; equal
-   lines become one there, with their number of copies.
-2. Bands: the three values of one seed. In each bucket, lines are first compared with the leader, the line with most
+1. Signature. The shingles of a line are the eight characters from every place (a shorter line is its own shingle). Each is
+   hashed once: half of the hash tells one of 30 bins, and the least other half in a bin is a value of the signature. A bin
+   without a shingle borrows from the first filled one in an order drawn for it. A row holds several places, so the aggregate
+   by digest takes fewer rows than characters; equal lines become one there, with their number of copies.
+2. Bands: three values each, and two bands more for short lines, whose values are less independent. In each bucket, lines are first compared with the leader, the line with most
    copies. Those that are not like it are then compared with the other lines of the bucket, but for lines that are linked
    already, by any way. So a bucket full of variants of one line costs a comparison each, and no component loses a line.
 3. Lines that share a bucket with another are read again: 1,024 bits, each the parity of the shingles that fall on it. What
@@ -21,6 +21,7 @@ documents a later join needs, and all others are left out before the shuffle.
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,18 +30,19 @@ from tablewright.llm.common import split_lines, written
 from tablewright.llm.components import components
 from tablewright.llm.quality_rules import SPACE
 
-#: Characters of a shingle; ten bands of three values miss 0.08 % of pairs at a similarity of 0.8, 0.0002 % at 0.9.
+#: Characters of a shingle, and the bands of values; each value is the least hash of one bin.
 SHINGLE = 8
-BANDS = 10
-#: A seeded hash has three parts, of 21, 21 and 22 bits.
-PARTS = 3
+BANDS, ROWS = 10, 3
+BINS = BANDS * ROWS
+#: Short lines, with so many empty bins, have further bands of values of different bands.
+FEW, ACROSS = 10, ((0, 10, 20), (4, 14, 24))
+#: What stands for the least hash of a bin without one.
+EMPTY = (1 << 31) - 1
 #: Longs of 64 bits that bound from below in how many shingles two lines differ.
 BITS = 16
-#: Places of a row (with more, the code of a row is beyond what the JVM compiles), and characters of a line cut off at once.
-PLACES, PIECE = 3, 63
+#: Places of a row: an aggregate takes the least of so many before it touches its buffer.
+PLACES = 8
 SLOTS = 1 << 23
-#: Pieces of a line, each with what its last shingles need of the next.
-PIECES = rf"(?s)(?=(.{{1,{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
 
 
 def _slot(key: Column) -> Column:
@@ -70,24 +72,40 @@ def _occurrences(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     return lines.withColumn("digest", F.when(F.btrim("line", F.lit(SPACE)) != "", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("again"), "line").alias("b"))))
 
 
+def _characters(line: Column) -> Column:
+    """A line as four bytes a character, so that a shingle is cut out at once."""
+    return F.encode(line, "UTF-32")
+
+
+def _last(characters: Column) -> Column:
+    """Where the last shingle begins, in bytes from 1; a line shorter than a shingle has one place."""
+    return F.greatest(F.lit(1), F.length(characters) - (4 * SHINGLE - 1))
+
+
+def _shingle(characters: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(characters, at, F.lit(4 * SHINGLE)))
+
+
 def _placed(lines: DataFrame) -> DataFrame:
     """(..., first, m, h1, h2 ...): hashes of the shingles at up to PLACES places of each `line`, m of them; what is beyond
     repeats the first. `first` is true once a line."""
-    cut = F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
     rest = [c for c in lines.columns if c != "line"]
-    pieces = lines.select(*rest, cut.alias("cut"))
-    joined = F.transform("cut", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("cut", i + 1), 1, SHINGLE - 1), F.lit(""))))
-    pieces = pieces.select(*rest, F.posexplode(joined).alias("p", "piece"))
-    # A line shorter than a shingle has one place; a later piece of such a length has none of its own.
-    places = F.length("piece") - (SHINGLE - 1)
-    places = F.when(F.col("p") == 0, F.greatest(F.lit(1), places)).otherwise(places)
-    each = pieces.select(*rest, "p", "piece", places.alias("places"), F.explode(F.when(places > 0, F.sequence(F.lit(0), places - 1, F.lit(PLACES)))).alias("at"))
-    rows = each.select(*rest, ((F.col("p") == 0) & (F.col("at") == 0)).alias("first"), F.least(F.lit(PLACES), F.col("places") - F.col("at")).alias("m"), F.substring("piece", F.col("at") + 1, F.lit(PLACES + SHINGLE - 1)).alias("part"))
+    wide = lines.select(*rest, _characters(F.col("line")).alias("characters"))
+    wide = wide.select(*rest, "characters", _last(F.col("characters")).alias("last"))
+    rows = wide.select(*rest, "characters", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(4 * PLACES))).alias("at"))
+    named = rows.select(*rest, "characters", "last", "at", _shingle(F.col("characters"), F.col("at")).alias("h1"))
+    more = (F.when(F.col("at") + 4 * i <= F.col("last"), _shingle(F.col("characters"), F.col("at") + 4 * i)).otherwise(F.col("h1")).alias(f"h{i + 1}") for i in range(1, PLACES))
+    m = F.least(F.lit(PLACES), F.shiftright(F.col("last") - F.col("at"), 2) + 1)
+    return named.select(*rest, (F.col("at") == 1).alias("first"), m.alias("m"), "h1", *more)
 
-    def shingle(i: int) -> Column:
-        return F.xxhash64(F.substring("part", i, SHINGLE))
 
-    return rows.select(*rest, "first", "m", *(shingle(i) if i == 1 else F.when(F.col("m") >= i, shingle(i)).otherwise(shingle(1)) for i in range(1, PLACES + 1))).toDF(*rest, "first", "m", *(f"h{i}" for i in range(1, PLACES + 1)))
+def _borrowed(j: int) -> Column:
+    """Of `values`, the first that is there in an order of the bins drawn for bin j: lines with the same bins filled agree on it."""
+    order = list(range(BINS))
+    random.Random(j).shuffle(order)
+    order = [x for x in order if x != j]
+    near = [F.get("values", F.lit(x)) for x in order[:4]]
+    return F.coalesce(*near, F.get(F.filter(F.transform(F.array(*map(F.lit, order[4:])), lambda x: F.get("values", x)), lambda x: x.isNotNull()), F.lit(0)))
 
 
 def signatures(docs: DataFrame, text: str) -> DataFrame:
@@ -95,17 +113,22 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
     smaller ids."""
     lines = _occurrences(docs, text).filter("digest is not null").select(F.col("digest.a").alias("da"), F.col("digest.b").alias("db"), "line")
     each = range(1, PLACES + 1)
-    seeded = _placed(lines).select("da", "db", "first", *(F.xxhash64(F.lit(k), F.col(f"h{i}")).alias(f"g{k}_{i}") for k in range(BANDS) for i in each))
+    # The lower half of a hash tells the bin, the upper half is the value.
+    halves = (F.shiftright(f"h{i}", 32).cast("int").alias(f"h{i}") for i in each)
+    bins = (F.shiftright(F.col(f"h{i}").bitwiseAND(F.lit((1 << 32) - 1)) * BINS, 32).cast("int").alias(f"bin{i}") for i in each)
+    placed = _placed(lines).select("da", "db", "first", *halves, *bins)
 
-    def part(g: Column, j: int) -> Column:
-        return F.shiftrightunsigned(g, 42) if j == 2 else (F.shiftrightunsigned(g, 21) if j else g).bitwiseAND(F.lit((1 << 21) - 1))
+    def least(j: int) -> Column:
+        return F.min(F.least(*(F.when(F.col(f"bin{i}") == j, F.col(f"h{i}")).otherwise(F.lit(EMPTY)) for i in each)))
 
-    least = [F.least(*(part(F.col(f"g{k}_{i}"), j) for i in each)).alias(f"v{k}_{j}") for k in range(BANDS) for j in range(PARTS)]
-    made = seeded.select("da", "db", "first", *least).groupBy("da", "db").agg(
-        F.count_if("first").alias("copies"), *(F.min(f"v{k}_{j}").alias(f"v{k}_{j}") for k in range(BANDS) for j in range(PARTS))
-    )
+    made = placed.groupBy("da", "db").agg(F.count_if("first").alias("copies"), *(least(j).alias(f"v{j}") for j in range(BINS)))
+    made = made.select("da", "db", "copies", F.array(*(F.nullif(F.col(f"v{j}"), F.lit(EMPTY)) for j in range(BINS))).alias("values"))
+    value = [F.coalesce(F.get("values", F.lit(j)), _borrowed(j)) for j in range(BINS)]
     level = F.lit(1023) - F.least(F.lit(1023), F.floor(F.log2("copies") * 32)).cast("int")
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"v{k}_{j}") for j in range(PARTS))) for k in range(BANDS)))
+    keys = F.array(*(F.xxhash64(F.lit(k), *value[k * ROWS : (k + 1) * ROWS]) for k in range(BANDS)))
+    empty = reduce(Column.__add__, (F.get("values", F.lit(j)).isNull().cast("int") for j in range(BINS)))
+    across = F.array(*(F.xxhash64(F.lit(BANDS + k), *(value[j] for j in own)) for k, own in enumerate(ACROSS)))
+    keys = F.when(empty >= FEW, F.concat(keys, across)).otherwise(keys)
     return made.select(
         (F.shiftleft(level.cast("long"), 53) + F.monotonically_increasing_id()).alias("id"),
         F.struct(F.col("da").alias("a"), F.col("db").alias("b")).alias("digest"),
@@ -115,11 +138,19 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
 
 def _bitmaps(texts: DataFrame) -> DataFrame:
     """(id, size, b0, b1 ...): the number of a line's shingles, and the parities of those that fall on each bit."""
-    hashed = texts.select("id", F.explode(_shingles(F.col("line"))).alias("h"))
-    hashed = hashed.select("id", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.shiftright("h", 6).bitwiseAND(F.lit(BITS - 1)).alias("at"))
+    sets = texts.select("id", _shingles(F.col("line")).alias("s"))
+    rows = sets.select("id", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(PLACES))).alias("at"))
+    each = range(PLACES)
+    hashed = rows.select("id", F.when(F.col("at") == 0, F.size("s")).otherwise(0).alias("n"), *(F.get("s", F.col("at") + i).alias(f"h{i}") for i in each))
     zero = F.lit(0).cast("long")
-    bits = (F.bit_xor(F.when(F.col("at") == j, F.col("bit")).otherwise(zero)).alias(f"b{j}") for j in range(BITS))
-    return hashed.groupBy("id").agg(F.count("*").alias("size"), *bits)
+    bit = [F.coalesce(F.expr(f"shiftleft(1L, cast(h{i} & 63 as int))"), zero).alias(f"bit{i}") for i in each]
+    word = [F.coalesce(F.shiftright(f"h{i}", 6).bitwiseAND(F.lit(BITS - 1)).cast("int"), F.lit(0)).alias(f"word{i}") for i in each]
+    hashed = hashed.select("id", "n", *bit, *word)
+
+    def parity(j: int) -> Column:
+        return F.bit_xor(reduce(Column.bitwiseXOR, (F.when(F.col(f"word{i}") == j, F.col(f"bit{i}")).otherwise(zero) for i in each)))
+
+    return hashed.groupBy("id").agg(F.sum("n").alias("size"), *(parity(j).alias(f"b{j}") for j in range(BITS)))
 
 
 def _possible(a: str, b: str, similarity: float) -> Column:
@@ -130,9 +161,9 @@ def _possible(a: str, b: str, similarity: float) -> Column:
 
 def _shingles(line: Column) -> Column:
     """The set of a line's shingles, as hashes."""
-    pieces = F.filter(F.regexp_extract_all(line, F.lit(PIECES), F.lit(1)), lambda x: F.length(x) >= SHINGLE)
-    each = F.transform(pieces, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(x, i, F.lit(SHINGLE)))))
-    return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.flatten(each)))
+    one = F.array(_characters(line))  # so that it is made once a line
+    each = F.transform(one, lambda x: F.transform(F.sequence(F.lit(1), _last(x), F.lit(4)), lambda at: _shingle(x, at)))
+    return F.array_distinct(F.get(each, F.lit(0)))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

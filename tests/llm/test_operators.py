@@ -178,6 +178,32 @@ def test_shingles_of_a_line(spark):
         assert sum(n for (k, _), n in placed.items() if k == i) == max(1, len(line) - 7)
 
 
+def test_signatures_hash_a_place_once_and_similar_lines_meet(spark):
+    """A row holds eight places, each hashed once; lines of any length that are similar share a bucket, others hardly."""
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    pairs = []
+    while len(pairs) < 300:
+        n = draw.choice([14, 20, 30, 60, 120, 300])
+        a = word(n)
+        cut = draw.randrange(n // 8 + 1)
+        b = draw.choice([a[cut:], a[: n - cut], a[:n] + word(cut), a[: n - 1] + word(1)])
+        x, y = every_shingle(a), every_shingle(b)
+        if a != b and a.strip() and b.strip() and len(x & y) >= 0.8 * len(x | y):
+            pairs.append((a, b))
+    short = ["abc", "abd", "x", "y", "zzzzzzzz", "12345678"]
+    lines = sorted({x for p in pairs for x in p} | set(short))
+    frame = spark.createDataFrame([(x, "\n".join(lines)) for x in (0, 1)], "k int, text string")
+    digests = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.xxhash64("line").alias("d")).collect()
+    rows = {r["digest"]["a"]: r for r in line_dedup.signatures(frame, "text").collect()}
+    assert len(rows) == len(lines) and all(r["copies"] == 2 for r in rows.values())
+    keys = {r["line"]: set(rows[r["d"]]["keys"]) for r in digests}
+    assert sum(not keys[a] & keys[b] for a, b in pairs) <= 1
+    assert not any(keys[a] & keys[b] for a in short for b in short if a != b)
+    placed = line_dedup._placed(frame.select("k", F.lit(word(407)).alias("line"))).filter("k = 0").collect()
+    assert len(placed) == 50 and sum(r["m"] for r in placed) == 400
+
+
 def test_lines_with_one_passage_are_told_apart(spark):
     """Bits rule out nearly all pairs of lines that share a passage but are not similar, and no pair that is."""
     draw = random.Random(5)
