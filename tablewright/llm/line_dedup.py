@@ -7,9 +7,10 @@ All steps are Spark's own expressions over lines, which a 128-bit digest of thei
    hashed once: half of the hash tells one of 30 bins, and the least other half in a bin is a value of the signature. A bin
    without a shingle borrows from the first filled one in an order drawn for it. A row holds several places, so the aggregate
    by digest takes fewer rows than characters; equal lines become one there, with their number of copies.
-2. Bands: three values each, and two bands more for short lines, whose values are less independent. In each bucket, lines are first compared with the leader, the line with most
-   copies. Those that are not like it are then compared with the other lines of the bucket, but for lines that are linked
-   already, by any way. So a bucket full of variants of one line costs a comparison each, and no component loses a line.
+2. Bands: three values each, and two bands more for short lines, whose values are less independent. In each bucket, lines
+   are first compared with the leader, the line with most copies. Those that are not like it are then compared with the other
+   lines of the bucket, but for lines that are linked already, by any way. So a bucket full of variants of one line costs a
+   comparison each, and no component loses a line.
 3. Lines that share a bucket with another are read again: 1,024 bits, each the parity of the shingles that fall on it. What
    two lines share cancels out, so they differ in at least as many shingles as their bits do; only by this bound, which no
    similar pair exceeds, are pairs left out. All others are verified on their texts: exact Jaccard of their shingles.
