@@ -25,7 +25,7 @@ from __future__ import annotations
 import random
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.llm.common import split_lines, written
 from tablewright.llm.components import components
@@ -54,11 +54,14 @@ def _marked(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFram
     """Rows with boolean `name`: false only where no row of `wanted` has that key. Broadcasts at most 256 bitmaps of 4 KB."""
     slots = wanted.select(_slot(F.col(key)).alias("__slot"))
     maps = slots.groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    # As 512 longs of eight bytes, the first byte highest: a row looks its bit up without making a text of it.
+    words = "transform(sequence(0, 511), i -> cast(conv(hex(substring(__bits, 8 * i + 1, 8)), 16, -10) as bigint))"
+    maps = maps.select("__bucket", F.expr(words).alias("__words"))
     placed = rows.withColumns({"__bucket": F.bitmap_bucket_number(_slot(F.col(key))), "__at": F.bitmap_bit_position(_slot(F.col(key)))})
-    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
-    bit = F.getbit(byte, F.expr("cast(__at % 8 as int)")) == 1
+    word = F.get("__words", F.shiftright("__at", 6).cast("int"))
+    bit = F.getbit(word, F.expr("cast(56 - 8 * (shiftright(__at, 3) & 7) + (__at & 7) as int)")) == 1
     joined = placed.join(F.broadcast(maps), "__bucket", "left")
-    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__bucket", "__at", "__bits")
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__bucket", "__at", "__words")
 
 
 def document_key(key: str, text: str) -> Column:
@@ -68,9 +71,11 @@ def document_key(key: str, text: str) -> Column:
 
 
 def _occurrences(docs: DataFrame, text: str, *more: Column) -> DataFrame:
-    """(..., pos, line, digest) of every line; the digest of a line without a word is NULL."""
+    """(..., pos, line, digest) of every line with a word."""
     lines = docs.select(*more, F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
-    return lines.withColumn("digest", F.when(F.btrim("line", F.lit(SPACE)) != "", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("again"), "line").alias("b"))))
+    # From the left only: a trim from the right looks at every character.
+    wordy = lines.filter(F.ltrim("line", F.lit(SPACE)) != "")
+    return wordy.withColumn("digest", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("again"), "line").alias("b")))
 
 
 def _characters(line: Column) -> Column:
@@ -91,7 +96,7 @@ def _placed(lines: DataFrame) -> DataFrame:
     """(..., first, m, h1, h2 ...): hashes of the shingles at up to PLACES places of each `line`, m of them; what is beyond
     repeats the first. `first` is true once a line."""
     rest = [c for c in lines.columns if c != "line"]
-    wide = lines.select(*rest, _characters(F.col("line")).alias("characters"))
+    wide = lines.select(*rest, F.coalesce(_characters(F.col("line")), F.lit(b"")).alias("characters"))
     wide = wide.select(*rest, "characters", _last(F.col("characters")).alias("last"))
     rows = wide.select(*rest, "characters", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(4 * PLACES))).alias("at"))
     named = rows.select(*rest, "characters", "last", "at", _shingle(F.col("characters"), F.col("at")).alias("h1"))
@@ -112,7 +117,7 @@ def _borrowed(j: int) -> Column:
 def signatures(docs: DataFrame, text: str) -> DataFrame:
     """(id, digest, copies, keys) of every distinct line with a word. `keys` has one per band. Lines with more copies have
     smaller ids."""
-    lines = _occurrences(docs, text).filter("digest is not null").select(F.col("digest.a").alias("da"), F.col("digest.b").alias("db"), "line")
+    lines = _occurrences(docs, text).select(F.col("digest.a").alias("da"), F.col("digest.b").alias("db"), "line")
     each = range(1, PLACES + 1)
     # The lower half of a hash tells the bin, the upper half is the value.
     halves = (F.shiftright(f"h{i}", 32).cast("int").alias(f"h{i}") for i in each)
@@ -176,15 +181,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.filter(F.col("n") >= F.lit(similarity) * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b")
 
 
+def _star(signed: DataFrame) -> DataFrame:
+    """(key, id, leader, n): the n lines of a bucket, but for its leader, the least id. Buckets of one line have no rows."""
+    # Hardly a key is found twice, so an aggregate before the shuffle would gain nothing; one shuffle and sort serve both.
+    bands, bucket = signed.select("id", F.explode("keys").alias("key")), Window.partitionBy("key")
+    met = bands.select("key", "id", F.min("id").over(bucket).alias("leader"), F.count("*").over(bucket).alias("n"))
+    return met.filter("id != leader")
+
+
 def similar_lines(docs: DataFrame, text: str, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(signatures, groups): groups (id, component) of lines that links of at least `similarity` join."""
     signed = written(signatures(docs, text), "signatures")
-    bands = signed.select("id", F.explode("keys").alias("key"))
-    leaders = written(bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
-    star = written(bands.join(leaders, "key").filter("id != leader"), "star")
+    star = written(_star(signed), "star")
     some = written(star.select(F.col("id")).unionByName(star.select(F.col("leader").alias("id"))).distinct(), "some")
     wanted = written(signed.select("id", "digest").join(some, "id", "left_semi"), "wanted")
-    lines = _occurrences(docs, text).filter("digest is not null").select("digest", "line")
+    lines = _occurrences(docs, text).select("digest", "line")
     near = _marked(lines, "digest", wanted, "__needed").filter("__needed").select("digest", "line")
     texts = written(near.join(wanted, "digest").select("id", "line").dropDuplicates(["id"]), "texts")
     small = written(_bitmaps(texts), "candidates")
@@ -222,7 +233,7 @@ def removed_lines(docs: DataFrame, key: str, text: str, similarity: float = 0.8)
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("document"), F.col("pos"))
     named = docs.select(F.col("__document").alias("document"), F.col(key), F.col(text))  # below the lines: once a text
     lines = _occurrences(named, text, F.col("document"), F.col(key)).select("document", "pos", "digest", rank.alias("rank"))
-    near = _marked(lines.filter("digest is not null"), "digest", several, "__needed").filter("__needed").drop("__needed")
+    near = _marked(lines, "digest", several, "__needed").filter("__needed").drop("__needed")
     held = written(near.join(several, "digest").select("line_group", "document", "pos", "rank"), "held")
     first = held.groupBy("line_group").agg(F.min("rank").alias("first"))
     gone = held.join(first, "line_group").filter(F.col("rank") != F.col("first")).select("document", "pos").distinct()

@@ -204,6 +204,37 @@ def test_signatures_hash_a_place_once_and_similar_lines_meet(spark):
     assert len(placed) == 50 and sum(r["m"] for r in placed) == 400
 
 
+def test_buckets_take_one_shuffle(spark):
+    """The leader and the number of lines of each bucket, from one exchange of the bands."""
+    draw = random.Random(3)
+    rows = [(i, [draw.randrange(60) * 10 + k for k in range(3)]) for i in range(150)]
+    star = line_dedup._star(spark.createDataFrame(rows, "id long, keys array<long>"))
+    buckets = {}
+    for i, keys in rows:
+        for key in keys:
+            buckets.setdefault(key, []).append(i)
+    expected = Counter((key, i, min(ids), len(ids)) for key, ids in buckets.items() for i in ids if i != min(ids))
+    assert expected and Counter((r["key"], r["id"], r["leader"], r["n"]) for r in star.collect()) == expected
+    assert star._jdf.queryExecution().sparkPlan().toString().count("Window [") == 1
+    assert star._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_lines_without_a_word_have_no_digest(spark):
+    frame = spark.createDataFrame([(1, "a\n\n \t\r\x0b\x0c\n b \n\u00a0"), (2, None), (3, "")], "k int, text string")
+    rows = line_dedup._occurrences(frame, "text", F.col("k")).collect()
+    assert sorted((r["k"], r["pos"], r["line"]) for r in rows) == [(1, 0, "a"), (1, 3, " b "), (1, 4, "\u00a0")]
+    assert all(r["digest"] is not None for r in rows)
+
+
+def test_marked_rows_are_those_whose_bit_is_set(spark):
+    """Each bit of the bitmaps is found again: no wanted key is left out, and hardly another is let in."""
+    keys = spark.range(40000).select("id", F.md5(F.col("id").cast("string")).alias("key"))
+    marked = line_dedup._marked(keys, "key", keys.filter("id % 4 = 0"), "wanted")
+    assert marked.columns == ["id", "key", "wanted"]
+    found = {r["id"] for r in marked.filter("wanted").collect()}
+    assert found >= set(range(0, 40000, 4)) and len(found) < 10100
+
+
 def test_lines_with_one_passage_are_told_apart(spark):
     """Bits rule out nearly all pairs of lines that share a passage but are not similar, and no pair that is."""
     draw = random.Random(5)
